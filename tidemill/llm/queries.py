@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.language_id import op8_language_id
+from tidemill.llm.licenses import op2_licenses
 from tidemill.llm.packing import op3_packing
+from tidemill.llm.quality import op10_quality
+from tidemill.llm.sharding import OP1_SQL, op1_sharding
+from tidemill.llm.token_counts import op6_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_licenses": op2_licenses,
     "op3_packing": op3_packing,
+    "op6_token_counts": op6_token_counts,
+    "op8_language_id": op8_language_id,
+    "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": OP1_SQL}
