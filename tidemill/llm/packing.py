@@ -31,7 +31,7 @@ class WordIds:
     the tokenizer's own pieces, which repeat more often than words do.
     """
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 600_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -41,38 +41,42 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _encode_pieces(self, pieces: list[str]) -> None:
         for low in range(0, len(pieces), 2048):
             some = pieces[low : low + 2048]
-            ids = self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(some):
-                self.pieces.update(zip(some, (tuple(ids[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+                raw = ids.tobytes()
+                self.pieces.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
             else:
                 every = self.tokenizer.encode_batch(some, add_special_tokens=False)
-                self.pieces.update((p, tuple(e.ids)) for p, e in zip(some, every, strict=True))
+                self.pieces.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, every, strict=True))
 
-    def learn(self, words: list[bytes]) -> None:
+    def _cut(self, word: bytes) -> list[str]:
+        text = word.decode()
+        if not text.isascii() and max(text) >= "\u0250":
+            return [text]
+        text = text.lower()
+        return [text] if text.isalpha() else self.find(text)
+
+    def learn(self, texts: list[list[bytes]]) -> None:
         """Make sure that every word is known."""
-        new = set(words).difference(self.words)
-        if len(self.words) + len(new) > self.keep:
-            self.words, new = {}, set(words)
+        if len(self.words) > self.keep:
+            self.words = {}
         if len(self.pieces) > self.keep:
             self.pieces = {}
-        cut = {}
-        for word in new:
-            text = word.decode()
-            cut[word] = self.find(text.lower()) if text.isascii() or max(text) < "ɐ" else [text]
+        known = self.words
+        cut = {word: self._cut(word) for word in {word for words in texts for word in words if word not in known}}
         self._encode_pieces(list({p for parts in cut.values() for p in parts}.difference(self.pieces)))
         get = self.pieces.__getitem__
-        self.words.update((word, get(parts[0]) if len(parts) == 1 else sum(map(get, parts), ())) for word, parts in cut.items())
+        known.update((word, b"".join(map(get, parts))) for word, parts in cut.items())
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        get = self.words.__getitem__
-        return np.array([i for word in words for i in get(word)], np.uint32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
 
 
 _known: dict[str, WordIds] = {}
@@ -96,10 +100,10 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, mos
         for part in slices(batches, text_col, 4 << 20):
             raw, at = part.data.tobytes(), part.offsets.tolist()
             texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
-            book.learn([w for words in texts for w in words])
+            book.learn(texts)
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for k, words in enumerate(texts):
-                own = np.append(book.ids(words), np.uint32(end_id)).astype("<u4")
+                own = np.append(book.ids(words), np.array(end_id, "<u4"))
                 for low in range(0, len(own), most):
                     piece = own[low : low + most]
                     row.append(k), start.append(low), length.append(len(piece)), total.append(len(own))
