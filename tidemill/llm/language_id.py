@@ -170,8 +170,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     A text that is null or holds no letter, and any text where no language was learned,
     gets `und` and score 0. Of equally likely languages the first by name is given.
     """
-    letters = docs.select(id_col, *keep, text_col, F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter__"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(id_col, *keep).schema) + ", lang_pred string, score double"
+    kept = list(dict.fromkeys([id_col, *keep]))
+    letters = docs.select(*dict.fromkeys([*kept, text_col]), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter__"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", lang_pred string, score double"
     names = [*model.languages, "und"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +203,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 top = likely.argmax(1)
                 best[sure] = top[sure]
                 score[sure] = (1 / np.exp(likely - likely.max(1, keepdims=True)).sum(1))[sure]
-            kept = [part.rows.column(part.rows.schema.get_field_index(c)) for c in (id_col, *keep)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names).take(pa.array(best)), pa.array(score)], names=[id_col, *keep, "lang_pred", "score"])
+            own = [part.rows.column(part.rows.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(names).take(pa.array(best)), pa.array(score)], names=[*kept, "lang_pred", "score"])
 
     return letters.mapInArrow(run, schema)
 

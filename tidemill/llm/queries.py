@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.decontamination import op9_decontamination
 from tidemill.llm.embedding_dedup import op7_embedding_dedup
 from tidemill.llm.language_id import op8_language_id
 from tidemill.llm.licenses import op2_licenses
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_language_id": op8_language_id,
+    "op9_decontamination": op9_decontamination,
     "op10_quality": op10_quality,
 }
 
