@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Windows of a pattern that are searched for as one at first.
+CHUNK = 16
+
 
 class Bits:
     """A packed bit vector with a count every 64 bits."""
@@ -59,10 +62,14 @@ class FMIndex:
         head = np.flatnonzero(np.diff(now, prepend=-1))
         self.start = np.zeros(alphabet + 1, np.int64)
         self.start[now[head]] = head
-        self.least = [owners[order]]
-        while 2 << (len(self.least) - 1) <= self.size:
-            half, row = 1 << (len(self.least) - 1), self.least[-1]
-            self.least.append(np.minimum(row[:-half], row[half:]))
+        # owners by rank, and the least of 1, 2, 4, ... of them from each suffix on
+        self.owners, rank = np.unique(owners, return_inverse=True)
+        self.least = np.empty((max(1, self.size.bit_length()), self.size), np.int32)
+        self.least[0] = rank[order]
+        for k in range(1, len(self.least)):
+            half, row = 1 << (k - 1), self.least[k - 1]
+            self.least[k] = row
+            self.least[k, :-half] = np.minimum(row[:-half], row[half:])
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more word in front."""
@@ -75,50 +82,44 @@ class FMIndex:
         return ends[: len(low)] + begin, ends[len(low) :] + begin
 
     def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Least owner over each interval, all of which hold something."""
-        out = np.empty(len(low), np.int64)
+        """Rank of the least owner over each interval, all of which hold something."""
         level = np.frexp((high - low).astype(float))[1] - 1
-        for k in np.unique(level):
-            own = level == k
-            row = self.least[k]
-            out[own] = np.minimum(row[low[own]], row[high[own] - (1 << int(k))])
-        return out
+        return np.minimum(self.least[level, low], self.least[level, high - (1 << level)])
 
     def covered(self, texts: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
         """For each place of texts, whether the `size` words from there on occur in a text of an owner below.
 
         Patterns texts[begin:end] with their owners are streamed together; symbols unknown to the
-        index are -1. From the end of a window the search goes backwards: a failure at some word rules
-        out every window up to it, and after a success longer matches are tried, twice as long each time.
+        index are -1. They are cut into chunks of CHUNK windows. From the end of a chunk the search goes
+        backwards; where the whole chunk doesn't occur, its windows are tried from the first on, and a
+        failure at some word rules out every window up to it.
         """
         found = np.zeros(len(texts), bool)
-        live = np.flatnonzero(end - begin >= size)
-        at, gain = begin[live].copy(), np.zeros(len(live), np.int64)
-        stop, own = end[live], owner[live]
-        tail = at + size
-        place, low, high = tail.copy(), np.zeros(len(live), np.int64), np.full(len(live), self.size, np.int64)
+        parts = np.maximum(0, -(-(end - begin - size + 1) // CHUNK))
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        at = np.repeat(begin, parts) + nth * CHUNK
+        stop = np.minimum(at + CHUNK + size - 1, np.repeat(end, parts))
+        own = np.searchsorted(self.owners, np.repeat(owner, parts))
+        tail, place = stop.copy(), stop.copy()
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.size, np.int64)
         while len(at):
             symbol = texts[place - 1]
             known = symbol >= 0
             new_low, new_high = self.extend(np.where(known, symbol, 0), low, high)
-            good = known & (new_high > new_low)
-            some = np.flatnonzero(good)
+            some = np.flatnonzero(known & (new_high > new_low))
+            good = np.zeros(len(at), bool)
             good[some] = self.least_owner(new_low[some], new_high[some]) < own[some]
             low, high, place = np.where(good, new_low, low), np.where(good, new_high, high), place - good
             hit = np.flatnonzero(good & (place == at))
-            for i in hit:
-                found[at[i] : tail[i] - size + 1] = True
-            miss = np.flatnonzero(~good)
-            # after a hit go on behind it with a longer reach; after a miss go on behind the word that failed, or try less
+            windows = tail[hit] - size + 1 - at[hit]
+            found[np.repeat(at[hit] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())] = True
             at[hit] = tail[hit] - size + 1
-            gain[hit] = np.maximum(2 * gain[hit], 16)
-            single = tail[miss] - at[miss] == size
-            at[miss] = np.where(single, place[miss], at[miss])
-            gain[miss] = np.where(single, 0, gain[miss] // 4)
+            miss = np.flatnonzero(~good)
+            at[miss] = np.where(tail[miss] - at[miss] == size, place[miss], at[miss])
             anew = np.concatenate([hit, miss])
-            tail[anew] = np.minimum(at[anew] + size + gain[anew], stop[anew])
+            tail[anew] = at[anew] + size
             place[anew], low[anew], high[anew] = tail[anew], 0, self.size
             on = at + size <= stop
             if not on.all():
-                at, gain, stop, own, tail, place, low, high = (x[on] for x in (at, gain, stop, own, tail, place, low, high))
+                at, stop, own, tail, place, low, high = (x[on] for x in (at, stop, own, tail, place, low, high))
         return found
