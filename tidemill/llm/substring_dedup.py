@@ -17,6 +17,8 @@ from tidemill.llm.fm_index import FMIndex
 ANCHOR, STRETCH, PIECE = 12, 1024, 256
 #: A route with an anchor of more rows is split, and words of one shard, about.
 HOT, SHARD_WORDS = 256, 1 << 18
+#: As many word ranges (about 12 MB) are sent to every task; more are joined by exchange.
+FEW_RANGES = 1 << 19
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -201,9 +203,13 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
 
 
 def remove_spans(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_words, n_removed and kept_text: the words outside the ranges (id, begin, end), one space between them."""
+    """docs with n_words, n_removed and kept_text: the words outside the ranges (id, begin, end), one space between them.
+
+    Up to FEW_RANGES ranges, docs aren't exchanged.
+    """
     grouped = ranges.groupBy(F.col("id").alias("id__")).agg(F.collect_list(F.struct("begin", "end")).alias("ranges__"))
-    joined = docs.drop("n_words", "n_removed", "kept_text").join(grouped.hint("shuffle_hash"), F.col(id_col).cast("long") == F.col("id__"), "left").drop("id__")
+    how = "broadcast" if ranges.count() <= FEW_RANGES else "shuffle_hash"
+    joined = docs.drop("n_words", "n_removed", "kept_text").join(grouped.hint(how), F.col(id_col).cast("long") == F.col("id__"), "left").drop("id__")
     own = [f for f in joined.schema.fields if f.name != "ranges__"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", n_words long, n_removed long, kept_text string"
 
