@@ -196,3 +196,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.vec_id <> y.vec_id AND list_cosine_similarity(x.e, y.e) >= 0.9),
+c AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, min(c.b) AS component_id, vec_id = min(c.b) AS kept
+FROM v JOIN c ON c.a = vec_id GROUP BY vec_id
+"""

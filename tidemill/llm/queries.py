@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.llm.decontamination import op9_decontamination
-from tidemill.llm.embedding_dedup import op7_embedding_dedup
+from tidemill.llm.embedding_dedup import OP7_SQL, op7_embedding_dedup
 from tidemill.llm.language_id import op8_language_id
 from tidemill.llm.licenses import op2_licenses
 from tidemill.llm.near_dedup import OP5_SQL, op5_near_dedup
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": OP1_SQL, "op4_substring_dedup": OP4_SQL, "op5_near_dedup": OP5_SQL, "op7_embedding_dedup": OP7_SQL}
