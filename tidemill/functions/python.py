@@ -23,9 +23,9 @@ def spread(value: pd.Series) -> float:
     return float(value.max() - value.min())
 
 
-def centred(group: pd.DataFrame) -> pd.DataFrame:
-    """Values of a group less their mean."""
-    return group.assign(value=group["value"] - group["value"].mean())[["event_id", "user_id", "value"]]
+def above_least(group: pd.DataFrame) -> pd.DataFrame:
+    """Values of a group less their least."""
+    return group.assign(value=group["value"] - group["value"].min())[["event_id", "user_id", "value"]]
 
 
 def matched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.python import Letters, centred, matched, positive, spread, squash
+from tidemill.functions.python import Letters, above_least, matched, positive, spread, squash
 from tidemill.sources.ranges import register
 from tidemill.sources.tables import load, round_trip
 
@@ -56,7 +56,7 @@ def window_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = load(spark, sf_dir, "events").select("event_id", "user_id", "value").groupBy("user_id").applyInPandas(centred, "event_id long, user_id long, value double")
+    done = load(spark, sf_dir, "events").select("event_id", "user_id", "value").groupBy("user_id").applyInPandas(above_least, "event_id long, user_id long, value double")
     return done.select("event_id", F.round("value", 4).alias("value"))
 
 
@@ -110,7 +110,7 @@ SQL = {
     "scalar_udf": "SELECT event_id, round(value / (1 + abs(value)), 6) AS squashed FROM events",
     "aggregate_udf": "SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY event_type",
     "window_udf": "SELECT event_id, round(max(value) OVER w - min(value) OVER w, 6) AS spread FROM events WINDOW w AS (PARTITION BY user_id)",
-    "grouped_map": "SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 4) AS value FROM events",
+    "grouped_map": "SELECT event_id, round(value - min(value) OVER (PARTITION BY user_id), 4) AS value FROM events",
     "cogrouped_map": """SELECT user_id, count(*) FILTER (event_type = 'click') AS n_left, count(*) FILTER (event_type = 'error') AS n_right FROM events
         WHERE event_type IN ('click', 'error') GROUP BY user_id""",
     "batch_map": "SELECT event_id, value FROM events WHERE value > 0",
