@@ -15,6 +15,8 @@ from tidemill.llm._words import LOWER, NOT_SPACE, hashes, spans
 
 #: Longest piece in bytes, and longest stretch of a word that is segmented as one.
 PIECE, STRETCH = 8, 32
+#: Words of one lattice when the model is fit.
+BLOCK = 8192
 
 
 def default_vocabulary() -> str:
@@ -34,7 +36,7 @@ class Pieces:
         data = np.frombuffer(b"".join(known), np.uint8)
         self.size = len(known)
         self.keys = np.append(hashes(data, ends - [len(p) for p in known], ends), np.uint64(0))
-        self.first, self.second = np.full(1 << 21, self.size), np.full(1 << 21, self.size)
+        self.first, self.second = np.full(1 << 21, self.size, np.int32), np.full(1 << 21, self.size, np.int32)
         self.first[self.keys[:-1] >> np.uint64(43)] = np.arange(self.size)
         left = np.flatnonzero(self.first[self.keys[:-1] >> np.uint64(43)] != np.arange(self.size))
         self.second[self.keys[left] & np.uint64((1 << 21) - 1)] = left
@@ -59,7 +61,7 @@ class Lattice:
         self.begin, self.node = offsets[:-1], offsets[:-1] + np.arange(len(self.size))
         self.total, self.none = len(data) + len(self.size), pieces.size
         room = np.repeat(offsets[1:], self.size) - np.arange(len(data))
-        self.piece = np.full((PIECE + 1, len(data)), pieces.size)
+        self.piece = np.full((PIECE + 1, len(data)), pieces.size, np.int32)
         for n in range(1, PIECE + 1):
             at = np.flatnonzero(room >= n)
             self.piece[n, at] = pieces.find(hashes(data, at, at + n))
@@ -129,7 +131,7 @@ class Model:
         return np.add.reduceat(each, np.flatnonzero(np.diff(word, prepend=-1)), axis=0) if len(word) else each
 
 
-def fit(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int = 400, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def fit(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int = 250, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from about docs_per_language documents of each language, drawn by a hash of their ids.
 
     Rows whose language or text is null teach nothing; without other rows the model
@@ -147,16 +149,20 @@ def fit(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int =
     words = drawn.select("lang", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).where("word <> ''")
     found = words.groupBy("lang", "word").count().toPandas()
     codes, texts = found["word"].factorize()
-    raw = [w.encode() for w in texts]
-    weight = np.zeros((len(raw), len(languages)))
+    weight = np.zeros((len(texts), len(languages)))
     np.add.at(weight, (codes, found["lang"].map(languages.index).to_numpy(dtype=np.int64)), found["count"])
-    ends = np.cumsum([len(w) for w in raw], dtype=np.int64)
-    flat, offsets, word = stretches(LOWER[np.frombuffer(b"".join(raw), np.uint8)], ends - np.array([len(w) for w in raw], np.int64), ends)
-    lattice, weight = Lattice(pieces, flat, offsets), weight[word]
-    size = np.array([0] + [1] * pieces.size + [0])[1:, None]
-    chance = np.repeat(size / pieces.size, len(languages), axis=1)
+    blocks = []
+    for low in range(0, len(texts), BLOCK):
+        raw = [w.encode() for w in texts[low : low + BLOCK]]
+        size = np.array([len(w) for w in raw], np.int64)
+        ends = np.cumsum(size)
+        flat, offsets, word = stretches(LOWER[np.frombuffer(b"".join(raw), np.uint8)], ends - size, ends)
+        blocks.append((Lattice(pieces, flat, offsets), weight[low + word]))
+    del found, texts, codes
+    real = np.append(np.ones(pieces.size), 0)[:, None]
+    chance = np.repeat(real / pieces.size, len(languages), axis=1)
     for _ in range(rounds):
-        counts = lattice.expected(chance, weight) + 0.01 * size
+        counts = sum(lattice.expected(chance, own) for lattice, own in blocks) + 0.01 * real
         chance = counts / counts.sum(0)
     return Model(path, languages, chance)
 
