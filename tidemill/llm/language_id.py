@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -167,7 +168,9 @@ def fit(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int =
     return Model(path, languages, chance)
 
 
-_pieces: dict[str, Pieces] = {}
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -182,9 +185,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     names = [*model.languages, "und"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.path not in _pieces:
-            _pieces[model.path] = Pieces(model.path)
-        pieces, width = _pieces[model.path], len(model.languages)
+        pieces, width = _pieces(model.path), len(model.languages)
         # the words met of late: a slot for each of 2**17 values of the hash's high bits
         met, scores = np.zeros(1 << 17, np.uint64), np.zeros((1 << 17, width))
         for part in slices(batches, text_col):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -79,7 +80,10 @@ class WordIds:
         return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
 
 
-_known: dict[str, WordIds] = {}
+@lru_cache(maxsize=2)
+def _word_ids(path: str) -> WordIds:
+    """One for each Python worker, so that words stay known from task to task."""
+    return WordIds(path)
 
 
 def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most: int = 2048, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,9 +98,7 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, mos
     schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _known:
-            _known[path] = WordIds(path)
-        book = _known[path]
+        book = _word_ids(path)
         for part in slices(batches, text_col, 4 << 20):
             raw, at = part.data.tobytes(), part.offsets.tolist()
             texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,10 @@ class LongestMatch:
         return total
 
 
-_automata: dict[str, LongestMatch] = {}
+@lru_cache(maxsize=2)
+def _automaton(path: str) -> LongestMatch:
+    """One for each Python worker."""
+    return LongestMatch(read_vocabulary(path))
 
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, keep: int = 300_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -92,9 +96,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, keep: int = 300
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_bytes long, n_words long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _automata:
-            _automata[path] = LongestMatch(read_vocabulary(path))
-        count, met = _automata[path].count, {}
+        count, met = _automaton(path).count, {}
         for part in slices(batches, text_col):
             raw, at = part.data.tobytes(), part.offsets.tolist()
             n_words, n_tokens = [], []
