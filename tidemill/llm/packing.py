@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,7 @@ class WordIds:
     the tokenizer's own pieces, which repeat more often than words do.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -66,10 +67,10 @@ class WordIds:
 
     def learn(self, texts: list[list[bytes]]) -> None:
         """Make sure that every word is known."""
-        if len(self.words) > self.keep:
-            self.words = {}
-        if len(self.pieces) > self.keep:
-            self.pieces = {}
+        for met in (self.words, self.pieces):
+            if len(met) > self.keep:  # the older half goes
+                for old in list(islice(met, len(met) // 2)):
+                    del met[old]
         known = self.words
         cut = {word: self._cut(word) for word in {word for words in texts for word in words if word not in known}}
         self._encode_pieces(list({p for parts in cut.values() for p in parts}.difference(self.pieces)))
