@@ -12,37 +12,46 @@ from pyspark.sql import functions as F
 from tidemill.llm._spark import slices, stored, table
 from tidemill.llm._words import ALNUM, LOWER, hashes, mix, spans
 
-#: Random walks, steps of a walk, and for each walk the steps sampled by each of its keys.
-WALKS, STEPS, SAMPLED = 4, 24, 5
+#: Random walks, the reaches in steps of each walk's keys, and how many steps a key samples at most.
+WALKS, REACHES, SAMPLED = 4, (12, 24), 5
 #: Words between two windows of a document at most, and bytes of benchmark text looked for at once.
 STRIDE, BLOCK_BYTES = 6, 8 << 20
 
-_rng = np.random.default_rng(4242)
-_SEEDS = _rng.integers(0, 2**64, WALKS, np.uint64)
-_SAMPLES = [[sorted(_rng.choice(reach, SAMPLED, replace=False).tolist()) for reach in (STEPS // 2, STEPS)] for _ in range(WALKS)]
+_SEEDS = np.random.default_rng(4242).integers(0, 2**64, WALKS, np.uint64)
 
 
-def window_keys(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """LSH keys of the windows that begin at start, by key and window; words are hashes, stop bounds each window's text.
+def window_keys(words: np.ndarray, start: np.ndarray, stop: np.ndarray, reaches: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """LSH keys of the windows that begin at start, by key and window, and whether each is whole; words are hashes, stop bounds each window's text.
 
     A walk reads a word at each step and moves on or stays by a random bit of step and word, which
     maps texts of small edit distance to walks of small Hamming distance. A key is what a walk reads
-    at a few sampled steps. Behind stop a walk reads nought.
+    at a few sampled steps; it is whole unless one of them lies at stop or behind.
     """
-    out = []
+    out, whole = [], []
     for w in range(WALKS):
+        samples = [set(np.random.default_rng([w, r]).choice(r, min(SAMPLED, r), replace=False).tolist()) for r in reaches]
         symbols = np.append(mix(words ^ _SEEDS[w]), np.uint64(0))
         at = start.copy()
-        keys = [np.full(len(start), 2 * w + k, np.uint64) for k in range(len(_SAMPLES[w]))]
-        for step in range(STEPS):
+        keys = [np.full(len(start), len(reaches) * w + k, np.uint64) for k in range(len(reaches))]
+        ends = [np.zeros(len(start), np.int64) for _ in reaches]
+        for step in range(max(reaches)):
             read = symbols[np.minimum(at, len(words))]
-            read[at >= stop] = 0
-            for k, sampled in enumerate(_SAMPLES[w]):
+            for k, sampled in enumerate(samples):
                 if step in sampled:
                     keys[k] = keys[k] * np.uint64(0x9E3779B97F4A7C15) + read
+                    ends[k] = at.copy()
             at += ((read >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
         out += [mix(k) for k in keys]
-    return np.array(out)
+        whole += [e < stop for e in ends]
+    return np.array(out), np.array(whole)
+
+
+def may_hold(item: np.ndarray, text: np.ndarray, most: int) -> bool:
+    """Whether text has enough of item's runs of three bytes; an edit spoils three of them at most."""
+    if len(item) < 3 or len(text) < 3:
+        return True
+    a, b = ((x[:-2].astype(np.int64) << 16) | (x[1:-1].astype(np.int64) << 8) | x[2:] for x in (item, text))
+    return int(np.isin(a, b).sum()) >= len(a) - 3 * most
 
 
 def least_edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
@@ -72,9 +81,11 @@ class Items:
         self.ids, self.size = [i for i, _ in rows], counts
         self.texts = [np.frombuffer(b" ".join(data[begin[k] : end[k]].tobytes() for k in range(a, b)), np.uint8) for a, b in zip(edge, edge[1:], strict=False)]
         self.shortest = int(counts[counts > 0].min()) if (counts > 0).any() else 0
+        # a walk moves on by one word a step at most, so a reach of the shortest item's words stays inside it
+        self.reaches = tuple(sorted({*REACHES} | ({self.shortest} if 0 < self.shortest < REACHES[0] else set())))
         item = np.repeat(np.arange(len(rows)), counts)
-        keys = window_keys(words, np.arange(len(words)), edge[1:][item])
-        order = np.argsort(keys.ravel(), kind="stable")
+        keys, whole = window_keys(words, np.arange(len(words)), edge[1:][item], self.reaches)
+        order = np.flatnonzero(whole.ravel())[np.argsort(keys[whole], kind="stable")]
         self.keys = keys.ravel()[order]
         self.item = np.tile(item, len(keys))[order]
         self.at = np.tile(np.arange(len(words)) - edge[item], len(keys))[order]
@@ -82,11 +93,11 @@ class Items:
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[self.keys >> np.uint64(64 - self.bits)] = True
 
-    def candidates(self, keys: np.ndarray, start: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def candidates(self, keys: np.ndarray, whole: np.ndarray, start: np.ndarray, of: np.ndarray) -> np.ndarray:
         """Distinct (text, item, where the item would begin) for windows that share a key with an item's."""
         out = []
-        for row in keys:
-            some = np.flatnonzero(self.seen[row >> np.uint64(64 - self.bits)])
+        for row, fit in zip(keys, whole, strict=True):
+            some = np.flatnonzero(self.seen[row >> np.uint64(64 - self.bits)] & fit)
             low = np.searchsorted(self.keys, row[some], "left")
             n = np.searchsorted(self.keys, row[some], "right") - low
             hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
@@ -105,23 +116,27 @@ def _find(docs: DataFrame, items: Items, edit_share: float, id_col: str, text_co
             words, edge = hashes(data, begin, end), np.append(0, np.cumsum(counts))
             text = np.repeat(np.arange(len(part)), counts)
             start = np.flatnonzero((np.arange(len(words)) - edge[text]) % stride == 0)
-            found: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for d, item, at in items.candidates(window_keys(words, start, edge[1:][text[start]]), start, text[start]).tolist():
+            found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+            for d, item, at in items.candidates(*window_keys(words, start, edge[1:][text[start]], items.reaches), start, text[start]).tolist():
                 size, wanted = int(items.size[item]), items.texts[item]
                 most = int(edit_share * len(wanted))
-                best = found.get((d, item))
-                if best and best[0] == 0:
+                best, slack = found.get((d, item)), 1 + size // 5
+                if best and (best[0] == 0 or abs(best[3] - at) <= 2):
                     continue
-                slack = 1 + size // 5
                 low, high = max(at - slack, int(edge[d])), min(at + size + slack, int(edge[d + 1]))
                 around = np.frombuffer(b" ".join(data[begin[k] : end[k]].tobytes() for k in range(low, high)), np.uint8)
                 place = around.tobytes().find(wanted.tobytes())
-                edits, stop = (0, place + len(wanted)) if place >= 0 else least_edits(wanted, around, most)
+                if place >= 0:
+                    edits, stop = 0, place + len(wanted)
+                elif may_hold(wanted, around, most):
+                    edits, stop = least_edits(wanted, around, most)
+                else:
+                    continue
                 if edits <= most and (best is None or edits < best[0]):
                     last = low + int((around[:stop] == 0x20).sum()) + 1 - int(edge[d])
-                    found[d, item] = (edits, max(0, last - size), last)
+                    found[d, item] = (edits, max(0, last - size), last, at)
             ids = part.rows.column(part.rows.schema.get_field_index(id_col))
-            rows = [(d, items.ids[item], *x, 1 - x[0] / len(items.texts[item])) for (d, item), x in found.items()]
+            rows = [(d, items.ids[item], *x[:3], 1 - x[0] / len(items.texts[item])) for (d, item), x in found.items()]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.float64())],
