@@ -65,20 +65,31 @@ class WordIds:
         text = text.lower()
         return [text] if text.isalpha() else self.find(text)
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        """Make sure that every word is known."""
+    def _learn(self, new: set[bytes]) -> None:
+        cut = {word: self._cut(word) for word in new}
+        self._encode_pieces(list({p for parts in cut.values() for p in parts}.difference(self.pieces)))
+        get = self.pieces.__getitem__
+        self.words.update((word, b"".join(map(get, parts))) for word, parts in cut.items())
+
+    def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Ids of each text, given as its words. Each word is looked up once, and again only if it was new."""
         for met in (self.words, self.pieces):
             if len(met) > self.keep:  # the older half goes
                 for old in list(islice(met, len(met) // 2)):
                     del met[old]
-        known = self.words
-        cut = {word: self._cut(word) for word in {word for words in texts for word in words if word not in known}}
-        self._encode_pieces(list({p for parts in cut.values() for p in parts}.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        known.update((word, b"".join(map(get, parts))) for word, parts in cut.items())
+        found = [list(map(self.words.get, words)) for words in texts]
+        holes = [(words, got, at) for words, got in zip(texts, found, strict=True) for at in _nones(got)]
+        self._learn({words[at] for words, _, at in holes})
+        for words, got, at in holes:
+            got[at] = self.words[words[at]]
+        return [np.frombuffer(b"".join(got), "<u4") for got in found]
+
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+def _nones(values: list) -> Iterator[int]:
+    at = -1
+    for _ in range(values.count(None)):
+        at = values.index(None, at + 1)
+        yield at
 
 
 @lru_cache(maxsize=2)
@@ -103,10 +114,9 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, mos
         for part in slices(batches, text_col, 4 << 20):
             raw, at = part.data.tobytes(), part.offsets.tolist()
             texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
-            book.learn(texts)
             row, start, length, crc, total, ids = [], [], [], [], [], []
-            for k, words in enumerate(texts):
-                own = np.append(book.ids(words), np.array(end_id, "<u4"))
+            for k, ids_ in enumerate(book.ids(texts)):
+                own = np.append(ids_, np.array(end_id, "<u4"))
                 for low in range(0, len(own), most):
                     piece = own[low : low + most]
                     row.append(k), start.append(low), length.append(len(piece)), total.append(len(own))
