@@ -13,36 +13,42 @@ from tidemill.llm._spark import slices, stored, table
 from tidemill.llm._words import ALNUM, LOWER, hashes, mix, spans
 
 #: Random walks, the reaches in steps of each walk's keys, and how many steps a key samples at most.
-WALKS, REACHES, SAMPLED = 4, (12, 24), 5
+WALKS, REACHES, SAMPLED = 6, (12, 24), 7
+#: Bytes of words that a key must have read, lest common words alone make one.
+KEY_BYTES = 24
 #: Words between two windows of a document at most, and bytes of benchmark text looked for at once.
 STRIDE, BLOCK_BYTES = 6, 8 << 20
 
 _SEEDS = np.random.default_rng(4242).integers(0, 2**64, WALKS, np.uint64)
 
 
-def window_keys(words: np.ndarray, start: np.ndarray, stop: np.ndarray, reaches: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """LSH keys of the windows that begin at start, by key and window, and whether each is whole; words are hashes, stop bounds each window's text.
+def window_keys(words: np.ndarray, sizes: np.ndarray, start: np.ndarray, stop: np.ndarray, reaches: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """LSH keys of the windows that begin at start, by key and window, and whether each is whole; words are hashes, sizes their bytes, and stop bounds each window's text.
 
     A walk reads a word at each step and moves on or stays by a random bit of step and word, which
     maps texts of small edit distance to walks of small Hamming distance. A key is what a walk reads
-    at a few sampled steps; it is whole unless one of them lies at stop or behind.
+    at a few sampled steps; it is whole unless one of them lies at stop or behind, or the words read
+    have less than KEY_BYTES. Keys of a reach below the usual ones need no such size.
     """
-    out, whole = [], []
+    out, whole, sizes = [], [], np.append(sizes, 0)
     for w in range(WALKS):
         samples = [set(np.random.default_rng([w, r]).choice(r, min(SAMPLED, r), replace=False).tolist()) for r in reaches]
         symbols = np.append(mix(words ^ _SEEDS[w]), np.uint64(0))
         at = start.copy()
         keys = [np.full(len(start), len(reaches) * w + k, np.uint64) for k in range(len(reaches))]
-        ends = [np.zeros(len(start), np.int64) for _ in reaches]
+        ends = [np.full(len(start), -1) for _ in reaches]
+        heard = [np.zeros(len(start), np.int64) for _ in reaches]
         for step in range(max(reaches)):
-            read = symbols[np.minimum(at, len(words))]
+            place = np.minimum(at, len(words))
+            read = symbols[place]
             for k, sampled in enumerate(samples):
                 if step in sampled:
                     keys[k] = keys[k] * np.uint64(0x9E3779B97F4A7C15) + read
+                    heard[k] += np.where(at != ends[k], sizes[place], 0)
                     ends[k] = at.copy()
             at += ((read >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
         out += [mix(k) for k in keys]
-        whole += [e < stop for e in ends]
+        whole += [(e < stop) & ((h >= KEY_BYTES) | (r < REACHES[0])) for e, h, r in zip(ends, heard, reaches, strict=True)]
     return np.array(out), np.array(whole)
 
 
@@ -84,7 +90,7 @@ class Items:
         # a walk moves on by one word a step at most, so a reach of the shortest item's words stays inside it
         self.reaches = tuple(sorted({*REACHES} | ({self.shortest} if 0 < self.shortest < REACHES[0] else set())))
         item = np.repeat(np.arange(len(rows)), counts)
-        keys, whole = window_keys(words, np.arange(len(words)), edge[1:][item], self.reaches)
+        keys, whole = window_keys(words, end - begin, np.arange(len(words)), edge[1:][item], self.reaches)
         order = np.flatnonzero(whole.ravel())[np.argsort(keys[whole], kind="stable")]
         self.keys = keys.ravel()[order]
         self.item = np.tile(item, len(keys))[order]
@@ -117,7 +123,7 @@ def _find(docs: DataFrame, items: Items, edit_share: float, id_col: str, text_co
             text = np.repeat(np.arange(len(part)), counts)
             start = np.flatnonzero((np.arange(len(words)) - edge[text]) % stride == 0)
             found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-            for d, item, at in items.candidates(*window_keys(words, start, edge[1:][text[start]], items.reaches), start, text[start]).tolist():
+            for d, item, at in items.candidates(*window_keys(words, end - begin, start, edge[1:][text[start]], items.reaches), start, text[start]).tolist():
                 size, wanted = int(items.size[item]), items.texts[item]
                 most = int(edit_share * len(wanted))
                 best, slack = found.get((d, item)), 1 + size // 5
