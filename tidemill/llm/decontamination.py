@@ -13,9 +13,9 @@ from tidemill.llm._spark import slices, stored, table
 from tidemill.llm._words import ALNUM, LOWER, hashes, mix, spans
 
 #: Random walks, the reaches in steps of each walk's keys, and how many steps a key samples at most.
-WALKS, REACHES, SAMPLED = 6, (12, 24), 7
+WALKS, REACHES, SAMPLED = 8, (12, 24), 7
 #: Bytes of words that a key must have read, lest common words alone make one.
-KEY_BYTES = 24
+KEY_BYTES = 20
 #: Words between two windows of a document at most, and bytes of benchmark text looked for at once.
 STRIDE, BLOCK_BYTES = 6, 8 << 20
 
