@@ -33,7 +33,7 @@ class WordIds:
     the tokenizer's own pieces, which repeat more often than words do.
     """
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 100_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
