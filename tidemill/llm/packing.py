@@ -5,7 +5,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._spark import slices, table
+from tidemill.llm._words import NOT_SPACE, hashes, spans
 
 #: How the tokenizer cuts lower-cased text between white space (fixed values of its file).
 PIECE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -30,10 +30,14 @@ class WordIds:
 
     The tokenizer drops white space and never joins across it, so a text's ids are
     its words' ids in a row. Words of characters below U+0250 are first cut into
-    the tokenizer's own pieces, which repeat more often than words do.
+    the tokenizer's own pieces, which repeat more often than words do. Words are found
+    by a 64-bit hash with their length and first bytes; each has two slots in a table of
+    fixed size, and all are forgotten when `keep` ids are held.
     """
 
-    def __init__(self, path: str, keep: int = 100_000) -> None:
+    SLOTS = 20
+
+    def __init__(self, path: str, keep: int = 3_000_000) -> None:
         import regex
         from tokenizers import Tokenizer
 
@@ -43,20 +47,27 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        n = 1 << self.SLOTS
+        self.keys, self.heads = np.zeros(n, np.uint64), np.zeros(n, np.uint32)
+        self.sizes, self.at, self.n = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def _encode_pieces(self, pieces: list[str]) -> None:
+    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
         for low in range(0, len(pieces), 2048):
             some = pieces[low : low + 2048]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
             if len(cuts) == len(some):
                 raw = ids.tobytes()
-                self.pieces.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+                out.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
             else:
                 every = self.tokenizer.encode_batch(some, add_special_tokens=False)
-                self.pieces.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, every, strict=True))
+                out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, every, strict=True))
+        return out
 
     def _cut(self, word: bytes) -> list[str]:
         text = word.decode()
@@ -65,31 +76,48 @@ class WordIds:
         text = text.lower()
         return [text] if text.isalpha() else self.find(text)
 
-    def _learn(self, new: set[bytes]) -> None:
-        cut = {word: self._cut(word) for word in new}
-        self._encode_pieces(list({p for parts in cut.values() for p in parts}.difference(self.pieces)))
-        get = self.pieces.__getitem__
-        self.words.update((word, b"".join(map(get, parts))) for word, parts in cut.items())
-
-    def ids(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Ids of each text, given as its words. Each word is looked up once, and again only if it was new."""
-        for met in (self.words, self.pieces):
-            if len(met) > self.keep:  # the older half goes
-                for old in list(islice(met, len(met) // 2)):
-                    del met[old]
-        found = [list(map(self.words.get, words)) for words in texts]
-        holes = [(words, got, at) for words, got in zip(texts, found, strict=True) for at in _nones(got)]
-        self._learn({words[at] for words, _, at in holes})
-        for words, got, at in holes:
-            got[at] = self.words[words[at]]
-        return [np.frombuffer(b"".join(got), "<u4") for got in found]
-
-
-def _nones(values: list) -> Iterator[int]:
-    at = -1
-    for _ in range(values.count(None)):
-        at = values.index(None, at + 1)
-        yield at
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Add the ids of new words to what is held: where each word's begin, and how many they are."""
+        cut = [self._cut(word) for word in words]
+        get = self._encode_pieces(list({p for parts in cut for p in parts})).__getitem__
+        ids = [b"".join(map(get, parts)) for parts in cut]
+        n = np.array([len(x) // 4 for x in ids], np.int64)
+        new = np.frombuffer(b"".join(ids), "<u4")
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.append(self.flat[: self.used], np.zeros(self.used + 2 * len(new), np.uint32))
+        self.flat[self.used : self.used + len(new)] = new
+        at = self.used + np.cumsum(n) - n
+        self.used += len(new)
+        return at, n
+
+    def ids(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin and the last's end."""
+        if self.used > self.keep:
+            self._forget()
+        begin, end, counts = spans(data, offsets, NOT_SPACE)
+        hashed, size = hashes(data, begin, end), (end - begin).astype(np.int32)
+        head = np.zeros(len(begin), np.uint32)
+        for k in range(4):
+            head = head << np.uint32(8) | np.where(size > k, data[np.minimum(begin + k, len(data) - 1)], 0).astype(np.uint32)
+        slot = (hashed >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        other = (hashed & np.uint64((1 << self.SLOTS) - 1)).astype(np.int64)
+        slot = np.where(self.keys[slot] == hashed, slot, other)
+        at, n = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64)
+        miss = np.flatnonzero((self.keys[slot] != hashed) | (self.sizes[slot] != size) | (self.heads[slot] != head))
+        if len(miss):
+            _, first, which = np.unique(hashed[miss], return_index=True, return_inverse=True)
+            one = miss[first]
+            new_at, new_n = self._learn([data[a:b].tobytes() for a, b in zip(begin[one].tolist(), end[one].tolist(), strict=True)])
+            at[miss], n[miss] = new_at[which], new_n[which]
+            place = (hashed[one] >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+            place = np.where(self.keys[place] == 0, place, (hashed[one] & np.uint64((1 << self.SLOTS) - 1)).astype(np.int64))
+            place, last = np.unique(place[::-1], return_index=True)
+            last = len(one) - 1 - last
+            for column, values in ((self.keys, hashed[one]), (self.heads, head[one]), (self.sizes, size[one]), (self.at, new_at), (self.n, new_n)):
+                column[place] = values[last]
+        held = np.cumsum(n)
+        flat = self.flat[np.repeat(at - (held - n), n) + np.arange(held[-1] if len(held) else 0)]
+        return flat, np.append(0, held)[np.append(0, np.cumsum(counts))]
 
 
 @lru_cache(maxsize=2)
@@ -111,12 +139,11 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, mos
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _word_ids(path)
-        for part in slices(batches, text_col, 4 << 20):
-            raw, at = part.data.tobytes(), part.offsets.tolist()
-            texts = [raw[a:b].split() for a, b in zip(at, at[1:], strict=False)]
+        for part in slices(batches, text_col):
+            flat, edge = book.ids(part.data, part.offsets)
             row, start, length, crc, total, ids = [], [], [], [], [], []
-            for k, ids_ in enumerate(book.ids(texts)):
-                own = np.append(ids_, np.array(end_id, "<u4"))
+            for k, (a, b) in enumerate(zip(edge.tolist(), edge[1:].tolist(), strict=False)):
+                own = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
                 for low in range(0, len(own), most):
                     piece = own[low : low + most]
                     row.append(k), start.append(low), length.append(len(piece)), total.append(len(own))
