@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -44,6 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back_memory() -> None:
+    """Return freed memory to the system, which a Python worker otherwise keeps from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Slice:
     """Consecutive rows of a batch: their texts' UTF-8 bytes end to end, and where each begins."""
 
@@ -57,6 +66,7 @@ class Slice:
 def slices(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int = 1 << 20) -> Iterator[Slice]:
     """Cut batches into slices of about most_bytes of text; one text is never cut. Null text counts as empty."""
     for batch in batches:
+        give_back_memory()
         if not batch.num_rows:
             continue
         text = pc.fill_null(batch.column(batch.schema.get_field_index(text_col)).cast(pa.large_binary()), b"")
@@ -70,3 +80,4 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, most_bytes: int = 1
             begin, end = offsets[low], offsets[high]
             yield Slice(batch.slice(low, high - low), whole[begin:end], offsets[low : high + 1] - begin)
             low = high
+    give_back_memory()
