@@ -192,6 +192,34 @@ def test_leaks_with_edits_reach_their_recall(spark):
     assert len(got & want) >= 0.97 * len(want) and got <= want
 
 
+def _edited(rng, text, edits):
+    text = list(text)
+    for _ in range(edits):
+        at, kind = int(rng.integers(0, len(text))), rng.integers(0, 3)
+        new = chr(97 + int(rng.integers(0, 26)))
+        text[at : at + (kind < 2)] = [new] if kind else []
+    return "".join(text)
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.2])
+def test_leaks_with_edited_characters_against_brute_force(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    vocabulary = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 8)))) for _ in range(2000)]
+    some = lambda n: " ".join(vocabulary[k] for k in rng.integers(0, 2000, int(n)))
+    items = [some(n) for n in rng.integers(14, 40, 30)]
+    docs = [f"{some(9)} {_edited(rng, items[d % 30], int(share * len(items[d % 30])))} {some(9)}" for d in range(60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in rows(decontamination.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench))}
+    want = {}
+    for d, text in enumerate(docs):
+        for i, item in enumerate(items):
+            plain = np.frombuffer(" ".join(text.split()).encode(), np.uint8)
+            edits = decontamination.least_edits(np.frombuffer(item.encode(), np.uint8), plain, int(0.2 * len(item)))[0]
+            if edits <= int(0.2 * len(item)):
+                want[d, i] = edits
+    assert len(want) >= 50 and got == want
+
+
 def test_quality(spark, odd_docs, no_docs):
     stats = quality.text_statistics(odd_docs)
     got = {r["doc_id"]: r for r in rows(stats)}

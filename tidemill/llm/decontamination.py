@@ -1,4 +1,4 @@
-"""Benchmark passages in documents, found by the CGK embedding and verified by edit distance."""
+"""Benchmark passages in documents, found by pieces of items with one edit at most and verified by edit distance."""
 
 from __future__ import annotations
 
@@ -10,46 +10,51 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._spark import slices, stored, table
-from tidemill.llm._words import ALNUM, LOWER, hashes, mix, spans
+from tidemill.llm._words import ALNUM, LOWER, spans
 
-#: Random walks, the reaches in steps of each walk's keys, and how many steps a key samples at most.
-WALKS, REACHES, SAMPLED = 8, (12, 24), 7
-#: Bytes of words that a key must have read, lest common words alone make one.
-KEY_BYTES = 20
-#: Words between two windows of a document at most, and bytes of benchmark text looked for at once.
-STRIDE, BLOCK_BYTES = 6, 8 << 20
+#: Bytes of an item's piece at most, and at least; with pieces below the least, items are looked for in every document.
+MOST_PIECE, LEAST_PIECE = 8, 3
+#: Bytes of documents looked at in one step, and bytes of benchmark text looked for at once.
+STEP, BLOCK_BYTES = 1 << 15, 2 << 20
 
-_SEEDS = np.random.default_rng(4242).integers(0, 2**64, WALKS, np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: One value for each length of a key, so that keys of different lengths seldom meet.
+_TAGS = np.random.default_rng(4242).integers(0, 2**64, MOST_PIECE + 1, np.uint64)
 
 
-def window_keys(words: np.ndarray, sizes: np.ndarray, start: np.ndarray, stop: np.ndarray, reaches: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """LSH keys of the windows that begin at start, by key and window, and whether each is whole; words are hashes, sizes their bytes, and stop bounds each window's text.
+def normal(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts' words, one space between them and a zero byte behind each text's last: bytes, where each word begins, and texts' first words."""
+    data = LOWER[data]
+    begin, end, counts = spans(data, offsets, ALNUM)
+    size, edge = end - begin, np.append(0, np.cumsum(counts))
+    first = np.append(0, np.cumsum(size + 1))
+    out = np.full(first[-1], 0x20, np.uint8)
+    out[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = data[ALNUM[data]]
+    out[first[edge[1:][counts > 0]] - 1] = 0
+    return out, first, edge
+
+
+def packed(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros behind the end."""
+    wide = np.append(text, np.zeros(MOST_PIECE, np.uint8)).astype(np.uint64)
+    out = wide[: len(text)].copy()
+    for k in range(1, MOST_PIECE):
+        out |= wide[k : k + len(text)] << np.uint64(8 * k)
+    return out
+
+
+def _low(n: int) -> np.uint64:
+    return np.uint64((1 << 8 * n) - 1)
 
-    A walk reads a word at each step and moves on or stays by a random bit of step and word, which
-    maps texts of small edit distance to walks of small Hamming distance. A key is what a walk reads
-    at a few sampled steps; it is whole unless one of them lies at stop or behind, or the words read
-    have less than KEY_BYTES. Keys of a reach below the usual ones need no such size.
-    """
-    out, whole, sizes = [], [], np.append(sizes, 0)
-    for w in range(WALKS):
-        samples = [set(np.random.default_rng([w, r]).choice(r, min(SAMPLED, r), replace=False).tolist()) for r in reaches]
-        symbols = np.append(mix(words ^ _SEEDS[w]), np.uint64(0))
-        at = start.copy()
-        keys = [np.full(len(start), len(reaches) * w + k, np.uint64) for k in range(len(reaches))]
-        ends = [np.full(len(start), -1) for _ in reaches]
-        heard = [np.zeros(len(start), np.int64) for _ in reaches]
-        for step in range(max(reaches)):
-            place = np.minimum(at, len(words))
-            read = symbols[place]
-            for k, sampled in enumerate(samples):
-                if step in sampled:
-                    keys[k] = keys[k] * np.uint64(0x9E3779B97F4A7C15) + read
-                    heard[k] += np.where(at != ends[k], sizes[place], 0)
-                    ends[k] = at.copy()
-            at += ((read >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
-        out += [mix(k) for k in keys]
-        whole += [(e < stop) & ((h >= KEY_BYTES) | (r < REACHES[0])) for e, h, r in zip(ends, heard, reaches, strict=True)]
-    return np.array(out), np.array(whole)
+
+def _without(keys: np.ndarray, d: int) -> np.ndarray:
+    """keys of some n bytes from each place on, to keys of as many with the byte at d left out of n + 1."""
+    return (keys[:-1] & _low(d)) | (keys[1:] & ~_low(d))
+
+
+def changes(x: np.ndarray) -> np.ndarray:
+    """Places of x whose value isn't that of the place before."""
+    return np.flatnonzero(np.append(x[:1] == x[:1], x[1:] != x[:-1]))
 
 
 def may_hold(item: np.ndarray, text: np.ndarray, most: int) -> bool:
@@ -76,73 +81,169 @@ def least_edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int
 
 
 class Items:
-    """Benchmark items' words, and the keys of the windows that begin at each of their words."""
+    """Benchmark items' words, and keys of their pieces.
+
+    In a passage within most edits, an item's whole pieces, counted twice, and those with one edit come
+    to twice its pieces less most, on diagonals that most edits can reach. A piece that is whole or has a changed byte
+    leaves a key without one of its bytes, one that lost a byte is such a key itself, and one with a
+    byte more is whole once that byte is left out.
+    """
 
-    def __init__(self, rows: list[tuple[int, str]]) -> None:
+    def __init__(self, rows: list[tuple[int, str]], edit_share: float) -> None:
         raw = [(text or "").encode() for _, text in rows]
-        data = LOWER[np.frombuffer(b"".join(raw), np.uint8)]
-        offsets = np.append(0, np.cumsum([len(x) for x in raw], dtype=np.int64))
-        begin, end, counts = spans(data, offsets, ALNUM)
-        words, edge = hashes(data, begin, end), np.append(0, np.cumsum(counts))
-        self.ids, self.size = [i for i, _ in rows], counts
-        self.texts = [np.frombuffer(b" ".join(data[begin[k] : end[k]].tobytes() for k in range(a, b)), np.uint8) for a, b in zip(edge, edge[1:], strict=False)]
-        self.shortest = int(counts[counts > 0].min()) if (counts > 0).any() else 0
-        # a walk moves on by one word a step at most, so a reach of the shortest item's words stays inside it
-        self.reaches = tuple(sorted({*REACHES} | ({self.shortest} if 0 < self.shortest < REACHES[0] else set())))
-        item = np.repeat(np.arange(len(rows)), counts)
-        keys, whole = window_keys(words, end - begin, np.arange(len(words)), edge[1:][item], self.reaches)
-        order = np.flatnonzero(whole.ravel())[np.argsort(keys[whole], kind="stable")]
-        self.keys = keys.ravel()[order]
-        self.item = np.tile(item, len(keys))[order]
-        self.at = np.tile(np.arange(len(words)) - edge[item], len(keys))[order]
-        self.bits = max(10, (64 * len(self.keys)).bit_length())
-        self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[self.keys >> np.uint64(64 - self.bits)] = True
-
-    def candidates(self, keys: np.ndarray, whole: np.ndarray, start: np.ndarray, of: np.ndarray) -> np.ndarray:
-        """Distinct (text, item, where the item would begin) for windows that share a key with an item's."""
-        out = []
-        for row, fit in zip(keys, whole, strict=True):
-            some = np.flatnonzero(self.seen[row >> np.uint64(64 - self.bits)] & fit)
-            low = np.searchsorted(self.keys, row[some], "left")
-            n = np.searchsorted(self.keys, row[some], "right") - low
-            hit = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            who = np.repeat(some, n)
-            out.append(np.column_stack([of[who], self.item[hit], start[who] - self.at[hit]]))
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 3), np.int64)
-
-
-def _find(docs: DataFrame, items: Items, edit_share: float, id_col: str, text_col: str) -> DataFrame:
-    stride = max(1, min(STRIDE, items.shortest // 2))
+        data, first, edge = normal(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw], dtype=np.int64)))
+        self.ids, self.size = [i for i, _ in rows], np.diff(edge)
+        self.texts = [data[first[a] : max(first[a], first[b] - 1)] for a, b in zip(edge, edge[1:], strict=False)]
+        self.length = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array([int(edit_share * n) for n in self.length.tolist()], np.int64)
+        self.need, self.plain, self.anywhere = np.ones(len(rows), np.int64), [], []
+        pieces: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for i, (text, n, most) in enumerate(zip(self.texts, self.length.tolist(), self.most.tolist(), strict=True)):
+            size = min(MOST_PIECE, n // (most // 2 + 1))
+            if n and not most:
+                self.plain.append(i)
+            elif n and size < LEAST_PIECE:
+                self.anywhere.append(i)
+            elif n:
+                at = np.arange(n // size) * size
+                self.need[i] = 2 * len(at) - most
+                pieces.setdefault(size, []).append((packed(text)[at] & _low(size), np.full(len(at), i), at))
+        self.sizes, keys, item, place = sorted(pieces), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size, some in pieces.items():
+            whole, who, at = (np.concatenate(x) for x in zip(*some, strict=True))
+            cut = [(whole & _low(d)) | ((whole >> np.uint64(8)) & ~_low(d)) for d in range(size)]
+            keys += [self._hash(whole, size), *(self._hash(c, size - 1) for c in cut)]
+            item += [who] * (size + 1)
+            place += [at] * (size + 1)
+        keys, item, place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.first = np.append(self.first, len(keys))
+        self.item, self.at = item[order], place[order]
+        self.bits = np.uint64(max(10, (16 * len(self.keys)).bit_length()))
+        self.seen = np.zeros(1 << int(self.bits), bool)
+        self.seen[self.keys >> (np.uint64(64) - self.bits)] = True
+
+    @staticmethod
+    def _hash(keys: np.ndarray, size: int) -> np.ndarray:
+        return (keys ^ _TAGS[size]) * _ODD
+
+    def _hits(self, keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places in keys, and the entries of the index that they meet."""
+        keys = self._hash(keys, size)
+        some = np.flatnonzero(self.seen.take((keys >> (np.uint64(64) - self.bits)).view(np.int64)))
+        keys = keys[some]
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        same = self.keys[at] == keys
+        some, at = some[same], at[same]
+        low, n = self.first[at], self.first[at + 1] - self.first[at]
+        return np.repeat(some, n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def candidates(self, text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, items, and begin and end of the windows of text that may hold the item; starts is where each document begins."""
+        longest = int(self.length.max(initial=0))
+        places, entries, parts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for low in range(0, len(text), STEP):
+            eight = packed(text[low : low + STEP + 2 * MOST_PIECE])
+            for size in self.sizes:
+                less, full = eight & _low(size - 1), eight & _low(size)
+                every = [(full, size), (less, size - 1), *((_without(less, d), size - 1) for d in range(1, size - 1)), *((_without(full, d), size) for d in range(1, size))]
+                for k, (keys, n) in enumerate(every):
+                    where, entry = self._hits(keys[:STEP], n)
+                    places.append(where + low)
+                    entries.append(entry)
+                    parts.append(np.full(len(where), k > 0, np.int64))
+        place, entry, part = np.concatenate(places), np.concatenate(entries), np.concatenate(parts)
+        # diagonals of one passage span most edits, and one more on each side where a key begins a byte off
+        item, at = self.item[entry], self.at[entry]
+        width = self.most + 3
+        start = place - at + longest
+        rows, columns = 2 + (len(text) + longest) // int(width.min(initial=3)), longest + 1
+        own_cell = item * rows + start // width[item]
+        # a piece counts once in a cell, as whole if it is found whole
+        key = np.sort((own_cell * columns + at) * 2 + part)
+        key = key[changes(key // 2)]
+        cell = key // (2 * columns)
+        edge = changes(cell)
+        cell, n = cell[edge], np.add.reduceat(2 - key % 2, edge) if len(edge) else np.zeros(0, np.int64)
+        beside = cell[1:] == cell[:-1] + 1
+        most = np.zeros(len(cell), np.int64)
+        most[:-1] = beside * n[1:]
+        most[1:] = np.maximum(most[1:], beside * n[:-1])
+        cell = np.append(cell[n + most >= self.need[cell // rows]], np.iinfo(np.int64).max)
+        own = np.flatnonzero(cell[np.searchsorted(cell, own_cell)] == own_cell)
+        # in what is left, count within width diagonals from each hit on
+        columns = len(text) + 2 * longest + 3 + int(self.most.max(initial=0))
+        key = np.sort(((item[own] * columns + start[own]) * (longest + 1) + at[own]) * 2 + part[own])
+        key = key[changes(key // 2)]
+        total = np.append(0, np.cumsum(2 - key % 2))
+        line = key // (2 * (longest + 1))
+        item = line // columns
+        stop = np.searchsorted(line, line + width[item], "left")
+        line = line[total[stop] - total[: len(key)] >= self.need[item]]
+        line = line[changes(line)]
+        item, begin = line // columns, line % columns - longest
+        reach = self.most[item] + 2
+        begin, end = begin - reach, begin + self.length[item] + 2 * reach
+        one = np.maximum(np.searchsorted(starts, begin, "right") - 1, 0)
+        n = np.maximum(np.searchsorted(starts, np.minimum(end, len(text)), "left") - one, 0)
+        doc = np.repeat(one - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        item, begin, end = np.repeat(item, n), np.repeat(begin, n), np.repeat(end, n)
+        begin, end = np.maximum(begin, starts[doc]), np.minimum(end, starts[doc + 1] - 1)
+        fits = end - begin >= self.length[item] - self.most[item]
+        return doc[fits], item[fits], begin[fits], end[fits]
+
+
+def leaks_in(text: np.ndarray, first: np.ndarray, edge: np.ndarray, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """For each document and item that it holds: least edits, first word and end word."""
+    starts = first[edge]
+    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def keep(d: int, i: int, edits: int, stop: int) -> None:
+        if (d, i) not in found or edits < found[d, i][0]:
+            last = int(np.searchsorted(first, max(stop - 1, starts[d]), "right")) - int(edge[d])
+            found[d, i] = (edits, max(0, last - int(items.size[i])), last)
+
+    raw = text.tobytes()
+    for i in items.plain:
+        wanted = items.texts[i].tobytes()
+        place = raw.find(wanted)
+        while place >= 0:
+            d = int(np.searchsorted(starts, place, "right")) - 1
+            keep(d, i, 0, place + len(wanted))
+            place = raw.find(wanted, int(starts[d + 1]))
+    doc, item, begin, end = items.candidates(text, starts)
+    some = np.flatnonzero(np.diff(starts) > 0)
+    for i in items.anywhere:
+        doc, item = np.append(doc, some), np.append(item, np.full(len(some), i))
+        begin, end = np.append(begin, starts[some]), np.append(end, starts[some + 1] - 1)
+    order = np.lexsort([begin, item, doc])
+    windows: list[list[int]] = []
+    for d, i, a, b in zip(doc[order].tolist(), item[order].tolist(), begin[order].tolist(), end[order].tolist(), strict=True):
+        if windows and windows[-1][:2] == [d, i] and a - windows[-1][2] <= items.length[i] // 2:
+            windows[-1][3] = max(windows[-1][3], b)
+        else:
+            windows.append([d, i, a, b])
+    for d, i, a, b in windows:
+        if found.get((d, i), (1,))[0] == 0:
+            continue
+        wanted, most = items.texts[i], int(items.most[i])
+        place = raw.find(wanted.tobytes(), a, b)
+        if place >= 0:
+            keep(d, i, 0, place + len(wanted))
+        elif may_hold(wanted, text[a:b], most):
+            edits, stop = least_edits(wanted, text[a:b], most)
+            if edits <= most:
+                keep(d, i, edits, a + stop)
+    return found
+
 
+def _find(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
-            data = LOWER[part.data]
-            begin, end, counts = spans(data, part.offsets, ALNUM)
-            words, edge = hashes(data, begin, end), np.append(0, np.cumsum(counts))
-            text = np.repeat(np.arange(len(part)), counts)
-            start = np.flatnonzero((np.arange(len(words)) - edge[text]) % stride == 0)
-            found: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-            for d, item, at in items.candidates(*window_keys(words, end - begin, start, edge[1:][text[start]], items.reaches), start, text[start]).tolist():
-                size, wanted = int(items.size[item]), items.texts[item]
-                most = int(edit_share * len(wanted))
-                best, slack = found.get((d, item)), 1 + size // 5
-                if best and (best[0] == 0 or abs(best[3] - at) <= 2):
-                    continue
-                low, high = max(at - slack, int(edge[d])), min(at + size + slack, int(edge[d + 1]))
-                around = np.frombuffer(b" ".join(data[begin[k] : end[k]].tobytes() for k in range(low, high)), np.uint8)
-                place = around.tobytes().find(wanted.tobytes())
-                if place >= 0:
-                    edits, stop = 0, place + len(wanted)
-                elif may_hold(wanted, around, most):
-                    edits, stop = least_edits(wanted, around, most)
-                else:
-                    continue
-                if edits <= most and (best is None or edits < best[0]):
-                    last = low + int((around[:stop] == 0x20).sum()) + 1 - int(edge[d])
-                    found[d, item] = (edits, max(0, last - size), last, at)
+            found = leaks_in(*normal(part.data, part.offsets), items)
             ids = part.rows.column(part.rows.schema.get_field_index(id_col))
-            rows = [(d, items.ids[item], *x[:3], 1 - x[0] / len(items.texts[item])) for (d, item), x in found.items()]
+            rows = [(d, items.ids[item], *x, 1 - x[0] / len(items.texts[item])) for (d, item), x in found.items()]
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays(
                 [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.float64())],
@@ -159,8 +260,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, i
     Words are runs of ASCII letters and digits (A-Z lower-cased) and of bytes beyond ASCII. A document
     holds an item when some part of its words, one space between them, is within edit_share of
     the item's bytes in edits; likeness is 1 less that share. Of several places the best is given.
-    Windows begin every STRIDE words of a whole document, but at least twice in the shortest
-    item; they meet windows of items that share a key. Items of no words are never found; null
+    No pair is missed: a passage shares a piece with the item but for one edit, and all tests before
+    the edit distance let every pair within edit_share pass. Items of no words are never found; null
     and empty texts hold none. Rows that repeat give their pairs as often. The benchmark is looked for
     in blocks of about BLOCK_BYTES, one scan of docs each.
     """
@@ -170,7 +271,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, i
     found = None
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).dropDuplicates(["id"]).orderBy("id").collect()
-        part = _find(docs, Items([(r["id"], r["text"]) for r in own]), edit_share, id_col, text_col)
+        part = _find(docs, Items([(r["id"], r["text"]) for r in own], edit_share), id_col, text_col)
         found = part if found is None else found.union(part)
     return found
 
