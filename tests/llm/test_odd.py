@@ -220,6 +220,21 @@ def test_leaks_with_edited_characters_against_brute_force(spark, share):
     assert len(want) >= 50 and got == want
 
 
+@pytest.mark.parametrize("kind", ["short words", "no spaces"])
+def test_leaks_finds_exact_copies(spark, kind):
+    """Without an item of few words, and of one word inside a longer one."""
+    rng = np.random.default_rng(4)
+    if kind == "short words":
+        items = [" ".join(rng.choice(list("abcxyz0123456789"), int(n))) for n in rng.integers(12, 41, 40)]
+        docs = [f"some words before {x} and some behind" for x in items]
+    else:
+        items = ["".join(rng.choice(list("日本語文書検索学習資料評価問題回答"), 40)) for _ in range(20)]
+        docs = [f"前置{x}後続" for x in items]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in rows(decontamination.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench)) if not r["edits"]}
+    assert got == {(k, k) for k in range(len(items))}
+
+
 def test_quality(spark, odd_docs, no_docs):
     stats = quality.text_statistics(odd_docs)
     got = {r["doc_id"]: r for r in rows(stats)}
