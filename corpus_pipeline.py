@@ -24,8 +24,10 @@ def _numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Null, empty and letterless texts go."""
+    """Documents whose language can be told. Null, empty and letterless texts go, and no others where no language is known."""
     model = fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike("\\p{L}"))
     plain, names = _numbered(docs)
     told = predict(plain, model, id_col=names["doc_id"], text_col=names["text"], keep=tuple(plain.columns))
     return told.where("lang_pred <> 'und'").select(*[F.col(n).alias(c) for c, n in names.items()])

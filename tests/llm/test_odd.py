@@ -152,6 +152,14 @@ def test_language(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in rows(language_id.predict(docs, language_id.fit(no_docs)))} == {"und"}
 
 
+def test_pipeline_keeps_letters_where_no_language_is_known(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "words", None), (2, None, None), (3, "12 !", None), (4, "", None), (5, "текст", None), (None, "more", None)], "doc_id long, text string, lang string")
+    got = corpus_pipeline.identify_languages(spark, docs, "")
+    assert got.columns == docs.columns and {r["doc_id"] for r in rows(got)} == {1, 5, None} and got.count() == 3
+
+
 def test_forward_sums_all_segmentations():
     pieces = language_id.Pieces(language_id.default_vocabulary())
     word = np.frombuffer(b" theories", np.uint8)
