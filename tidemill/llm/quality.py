@@ -137,19 +137,21 @@ class Ensemble:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(labelled: DataFrame, label_col: str, most_rows: int = 20_000, trees: int = 40, penalty: float = 5e-4, seed: int = 5) -> Ensemble:
-    """Fit on the statistics of labelled rows, about most_rows of them, drawn by a hash of the statistics and spread over both labels alike.
+def fit(labelled: DataFrame, label_col: str, most_rows: int = 20_000, trees: int = 40, penalty: float = 5e-4, seed: int = 5, id_col: str = "doc_id") -> Ensemble:
+    """Fit on the statistics of labelled rows, about most_rows of them, drawn by a hash of id and statistics, so that copies of one text are drawn one by one.
 
+    A leaf holds at least 20 rows, or a quarter of the rarer label's rows where that is less (2 at least).
     Without rows every score is 0.5; with one label only, the intercept decides.
     """
-    rows = labelled.where(F.col(label_col).isin(0, 1)).select(*STATISTICS, F.col(label_col).cast("double").alias("y"))
+    rows = labelled.where(F.col(label_col).isin(0, 1)).select(id_col, *STATISTICS, F.col(label_col).cast("double").alias("y"))
     share = min(1.0, most_rows / max(rows.count(), 1))
-    drawn = rows.where(F.pmod(F.xxhash64(*STATISTICS), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1)).orderBy("y", *STATISTICS).toPandas()
+    drawn = rows.where(F.pmod(F.xxhash64(id_col, *STATISTICS), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1)).orderBy("y", *STATISTICS).toPandas()
     x, y = drawn[STATISTICS].to_numpy(float), drawn["y"].to_numpy(float)
+    least = int(max(2, min(20, min(y.sum(), len(y) - y.sum()) // 4)))
     rng, rules = np.random.default_rng(seed), {}
     for _ in range(trees if len(y) else 0):
         half = rng.random(len(y)) < 0.5
-        rules |= dict.fromkeys(tree_rules(x[half], y[half], rng))
+        rules |= dict.fromkeys(tree_rules(x[half], y[half], rng, least=least))
     if not rules:
         return Ensemble([], [], math.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     kept: dict[bytes, Rule] = {}
