@@ -47,6 +47,30 @@ def test_packing(spark, odd_docs, no_docs):
     assert got.groupby("sequence_id")["length"].sum().max() <= 2048
 
 
+def test_packing_gives_the_tokenizers_ids_for_every_character(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
+    book = packing.WordIds(packing.default_tokenizer())
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0xE0000, 0xE0200)]
+    texts = [f"{'' if k % 3 else 'A'}{''.join(points[k : k + 7])}b {points[k]} x{points[k]}{points[k]}'s {points[k].upper()}1" for k in range(0, len(points), 7)]
+    texts += [f"a{c}b {c} {c}{c}é {c}S" for c in points[:0x3100]]
+    texts += ["\u3000\n日本、\nabc", "abc 日本、 text", "x<|endoftext|>y <|STARTOFTEXT|> <|startoftext|>", "I'M you'll 'S ''s", "\u2003 \u2029", ""]
+    for order in (texts, texts[::-1]):
+        raw = [t.encode() for t in order]
+        for low in range(0, len(raw), 4000):
+            some = raw[low : low + 4000]
+            flat, edge = book.ids(np.frombuffer(b"".join(some), np.uint8), np.append(0, np.cumsum([len(r) for r in some])))
+            for e, (a, b) in zip(tokenizer.encode_batch(order[low : low + 4000], add_special_tokens=False), zip(edge, edge[1:], strict=False), strict=True):
+                assert flat[a:b].tolist() == e.ids
+
+
+def test_packing_deals_rows_of_one_id(spark):
+    docs = spark.range(600).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"), F.lit(1).alias("row"))
+    got = packing.pack_documents(docs, group_pieces=100).toPandas()
+    assert len(got) == 600 and (got.groupby(got["sequence_id"] // 2**32).size() < 200).all() and got["sequence_id"].nunique() >= 6
+
+
 def test_first_fit_decreasing_against_plain():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 77):

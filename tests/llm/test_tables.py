@@ -43,7 +43,6 @@ def test_packing_keeps_every_id_once(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     rows = QUERIES["op3_packing"](spark, DATA).toPandas()
     assert set(rows["doc_id"]) == set(texts)
     for doc, pieces in rows.sort_values("start").groupby("doc_id"):

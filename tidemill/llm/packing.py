@@ -29,8 +29,9 @@ class WordIds:
     """Token ids by white-space word, remembered for the words met of late.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    its words' ids in a row. Words of characters below U+0250 are first cut into
-    the tokenizer's own pieces, which repeat more often than words do. Words are found
+    its words' ids in a row. Words of printable ASCII and Latin letters are first cut into
+    the tokenizer's own pieces, which repeat more often than words do, and encoded many at once;
+    all other words, and those that may hold a special token, are encoded by themselves. Words are found
     by a 64-bit hash with their length and first bytes; each has two slots in a table of
     fixed size, and all are forgotten when `keep` ids are held.
     """
@@ -42,8 +43,9 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.keep, self.find = keep, regex.compile(PIECE_PATTERN).findall
+        latin = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and c != "\u0130")
+        self.plain = regex.compile(rf"[!-~{latin}]+").fullmatch
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -56,31 +58,34 @@ class WordIds:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pieces as the tokenizer cuts them: each has ids, of which the last alone ends a word."""
         out = {}
         for low in range(0, len(pieces), 2048):
             some = pieces[low : low + 2048]
             ids = np.array(self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
-            if len(cuts) == len(some):
-                raw = ids.tobytes()
-                out.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
-            else:
-                every = self.tokenizer.encode_batch(some, add_special_tokens=False)
-                out.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(some, every, strict=True))
+            raw = ids.tobytes()
+            out.update(zip(some, (raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
         return out
 
-    def _cut(self, word: bytes) -> list[str]:
-        text = word.decode()
-        if not text.isascii() and max(text) >= "\u0250":
-            return [text]
+    def _encode_words(self, words: list[str]) -> dict[str, bytes]:
+        every = self.tokenizer.encode_batch(words, add_special_tokens=False)
+        return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, every, strict=True)}
+
+    def _cut(self, text: str) -> list[str] | None:
+        """Pieces of a word, or None where it must be encoded by itself."""
+        if not self.plain(text) or "<|" in text:
+            return None
         text = text.lower()
         return [text] if text.isalpha() else self.find(text)
 
     def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Add the ids of new words to what is held: where each word's begin, and how many they are."""
-        cut = [self._cut(word) for word in words]
-        get = self._encode_pieces(list({p for parts in cut for p in parts})).__getitem__
-        ids = [b"".join(map(get, parts)) for parts in cut]
+        texts = [word.decode() for word in words]
+        cut = [self._cut(text) for text in texts]
+        get = self._encode_pieces(list({p for parts in cut for p in parts or ()})).__getitem__
+        odd = self._encode_words([t for t, parts in zip(texts, cut, strict=True) if parts is None])
+        ids = [odd[t] if parts is None else b"".join(map(get, parts)) for t, parts in zip(texts, cut, strict=True)]
         n = np.array([len(x) // 4 for x in ids], np.int64)
         new = np.frombuffer(b"".join(ids), "<u4")
         if self.used + len(new) > len(self.flat):
@@ -129,13 +134,14 @@ def _word_ids(path: str) -> WordIds:
 def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most: int = 2048, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's token ids with end_id after them, cut into pieces of at most `most` ids.
 
-    Columns: id_col, start, length, ids_crc32, doc_tokens and, on request, ids.
+    Columns: id_col, start, length, ids_crc32, doc_tokens, ids on request, and row (the document's place in
+    the table; not where id_col has that name). Special tokens in a text get their ids, as the tokenizer's file has it.
     Null and empty texts give one piece that holds end_id alone. Rows that repeat
     give their pieces as often. Other columns of docs are left out.
     """
     path = tokenizer or default_tokenizer()
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {id_type}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep_ids
+    kinds = {id_col: id_type, "start": "long", "length": "long", "ids_crc32": "long", "doc_tokens": "long"} | ({"ids": "array<int>"} if keep_ids else {}) | ({"row": "long"} if id_col != "row" else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = _word_ids(path)
@@ -150,13 +156,14 @@ def tokenize(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, mos
                     crc.append(zlib.crc32(piece.tobytes()))
                     if keep_ids:
                         ids.append(piece.astype(np.int32))
-            out = [part.rows.column(part.rows.schema.get_field_index(id_col)).take(pa.array(row, pa.int64())), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
-            names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
-            if keep_ids:
-                out, names = [*out, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            at = pa.array(row, pa.int64())
+            out = [part.rows.column(0).take(at), *(pa.array(x, pa.int64()) for x in (start, length, crc, total))]
+            out += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids
+            out += [part.rows.column(2).take(at)] * ("row" in kinds)
+            yield pa.RecordBatch.from_arrays(out[: len(kinds)], names=list(kinds))
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    plain = docs.select(F.col(id_col), F.col(text_col), F.monotonically_increasing_id().alias("row__"))
+    return plain.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
 
 
 def first_fit_decreasing(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -190,7 +197,8 @@ def first_fit_decreasing(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np
 def pack(pieces: DataFrame, groups: int, most: int = 2048, seed: int = 17, id_col: str = "doc_id") -> DataFrame:
     """Give each piece (id_col, start, length, ...) a sequence_id and an offset there.
 
-    Pieces are dealt into `groups` by a hash of document, start and seed; each group is
+    Pieces are dealt into `groups` by a hash of seed, document, start, ids and, where pieces has it, the
+    column row (its document's place in the table), so that rows of one id are spread too. Each group is
     packed on its own, in one task. Ties in length are placed by document and start.
     """
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -198,19 +206,22 @@ def pack(pieces: DataFrame, groups: int, most: int = 2048, seed: int = 17, id_co
         bins, offsets = first_fit_decreasing(group["length"].to_numpy(), most)
         return group.drop(columns="group").assign(sequence_id=group["group"] * 2**32 + bins, offset=offsets)
 
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(id_col, "start", F.lit(seed)), F.lit(groups)))
+    own = [id_col, "start", "ids_crc32", *(["row"] if "row" in pieces.columns and id_col != "row" else [])]
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(groups)))
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return dealt.groupBy("group").applyInPandas(run, f"{kind}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most: int = 2048, group_docs: int = 2048, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token pieces of docs with their sequences, in randomised groups of about group_docs documents.
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 1, most: int = 2048, group_pieces: int = 2048, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Token pieces of docs with their sequences, in randomised groups of about group_pieces pieces.
 
-    With keep_ids, each row carries its ids, so that a sequence is its rows' ids in the order of
+    The number of pieces is set from the count and bytes of the texts (some three bytes a token). With keep_ids,
+    each row carries its ids, so that a sequence is its rows' ids in the order of
     offset. Empty tables give no rows; null and empty texts one piece of one id.
     """
-    groups = max(1, -(-docs.select(id_col).count() // group_docs))
-    return pack(tokenize(docs, tokenizer, end_id, most, keep_ids, id_col, text_col), groups, most, id_col=id_col)
+    seen = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("bytes")).first()
+    groups = max(1, -(-(seen["n"] + seen["bytes"] // (3 * most)) // group_pieces))
+    return pack(tokenize(docs, tokenizer, end_id, most, keep_ids, id_col, text_col), groups, most, id_col=id_col).drop(*(["row"] if id_col != "row" else []))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
