@@ -28,6 +28,12 @@ def test_sharding_parts_a_hot_group(spark):
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 20
 
 
+def test_sharding_cuts_one_text_into_thousands_of_ranges(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("one hot text").alias("text"))
+    got = sharding.shard_by_bytes(docs, range_bytes=64).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("last"), F.countDistinct("slot").alias("slots")).collect()
+    assert len(got) == 16 and all(r["n"] == 1250 == r["last"] + 1 == r["slots"] for r in got)
+
+
 def test_licenses(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r for r in rows(licenses.scan_licenses(odd_docs))}
     assert (got[20]["n_words"], got[20]["labels"], got[20]["score"], got[20]["first_word"]) == (0, "", 0.0, None)

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,8 @@ from tidemill.llm._spark import table
 BITS = (60, 64)
 #: How many counts come to the driver from one pass, about.
 PROBES = 1 << 16
+#: Ranges of all shards together at most; in larger tables the ranges grow. High bits of a key that lead to its splitters.
+RANGES, LEAD = 1 << 15, 12
 
 
 @dataclass
@@ -55,7 +56,7 @@ def find_splitters(keys: DataFrame, targets: list[tuple[int, int, int]]) -> list
             elif level == 1:
                 inside = keys.where(F.col("k1").isin(sorted({p[0] for p in brackets})))
                 if done:
-                    inside = inside.where(reduce(or_, [(F.col("k1") == a) & (F.shiftright("k2", bits - done) == b) for a, b in brackets]))
+                    inside = inside.where(F.concat_ws(":", "k1", F.shiftright("k2", bits - done)).isin(sorted(f"{a}:{b}" for a, b in brackets)))
             done += step
             probes = (F.shiftright("k1", bits - done), F.lit(0)) if level == 0 else (F.col("k1"), F.shiftright("k2", bits - done))
             counts = inside.groupBy(probes[0].alias("a"), probes[1].alias("b")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -84,18 +85,28 @@ def find_splitters(keys: DataFrame, targets: list[tuple[int, int, int]]) -> list
     return splitters
 
 
+def _fixed(values: list, kind: str) -> Column:
+    """A list as one literal, however long."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def _ranges(k1: Column, k2: Column, splitters: list[Splitter]) -> Column:
     """How many splitters stand at or below a key: by the key's high bits, then among the few that share them."""
-    high = [s.prefix[0] >> (BITS[0] - 8) for s in splitters]
-    first = F.array(*[F.lit(sum(h < b for h in high)) for b in range(257)])
-    every = F.array(*[F.struct(F.lit(s.prefix[0]).cast("long").alias("k1"), F.lit(min(s.prefix[1], 2**63 - 1)).cast("long").alias("k2")) for s in splitters])
-    own = F.shiftright(k1, BITS[0] - 8).cast("int")
+    high = [s.prefix[0] >> (BITS[0] - LEAD) for s in splitters]
+    lead = [0] * ((1 << LEAD) + 2)
+    for h in high:
+        lead[h + 1] += 1
+    for b in range(1, len(lead)):
+        lead[b] += lead[b - 1]
+    first = _fixed(lead, "int")
+    every = _fixed([{"k1": s.prefix[0], "k2": min(s.prefix[1], 2**63 - 1)} for s in splitters], "struct<k1: bigint, k2: bigint>")
+    own = F.shiftright(k1, BITS[0] - LEAD).cast("int")
     low, end = F.get(first, own), F.get(first, own + 1)
     key = F.struct(k1.alias("k1"), k2.alias("k2"))
     return low + F.size(F.filter(F.slice(every, low + 1, end - low), lambda s: s <= key))
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = 16, range_bytes: int = 16 << 20, most_ranges: int = 256, slack: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = 16, range_bytes: int = 16 << 20, slack: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with size, shard and slot: shards of near equal bytes, sorted by a hash of the text and then by id.
 
     A row's size is its text's UTF-8 bytes (null: none) plus 1. Shard i begins at the first
@@ -104,20 +115,20 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, range_bytes: int = 16 << 2
     cut a group of them, which is how a group larger than a shard is spread. Rows alike in
     text and id are not parted. slot counts a shard's rows from 0 without gaps.
 
-    Rows are exchanged once. A shard is sorted in up to most_ranges ranges of about range_bytes,
-    whose edges come from the same counts, so a task never holds a whole shard of a large
-    table. An empty table gives no rows. Columns of docs named size, shard or slot are replaced.
+    Rows are exchanged once. A shard is sorted in ranges of about range_bytes (in tables of over RANGES
+    of these, in as many ranges that grow with the table), whose edges come from the same counts, so a task never holds
+    a whole shard of a large table. An empty table gives no rows. Columns of docs named size, shard or slot are replaced.
     """
     k1, k2 = _order_keys(text_col, id_col)
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     keys = docs.select(k1.alias("k1"), k2.alias("k2"), size.alias("size")).persist()
     total = keys.agg(F.sum("size")).first()[0] or 0
-    parts = max(1, min(most_ranges, -(-total // (shards * range_bytes))))
+    parts = max(1, min(RANGES // shards, -(-total // (shards * range_bytes))))
     count = shards * parts
     targets = [(total * i, slack * count if i % parts == 0 else total // 10, count) for i in range(1, count)]
     splitters = find_splitters(keys, targets) if total else []
     keys.unpersist()
-    rows = F.array(F.lit(0).cast("long"), *[F.lit(s.rows_below).cast("long") for s in splitters])
+    rows = _fixed([0, *(s.rows_below for s in splitters)], "bigint")
     plain = docs.drop("size", "shard", "slot", "k1__", "k2__", "range__").withColumns({"k1__": k1, "k2__": k2, "size": size})
     placed = plain.withColumn("range__", _ranges(F.col("k1__"), F.col("k2__"), splitters) if splitters else F.lit(0))
     first = (F.col("range__") / parts).cast("int")
