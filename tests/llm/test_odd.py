@@ -45,6 +45,44 @@ def test_licenses(spark, odd_docs, no_docs):
     assert (found[4]["n_base"], found[4]["first_word"], found[4]["last_word"]) == (2, 0, 2) and found[2]["base_labels"] == "" and 0 < found[2]["score"] < 1
 
 
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_brute_force(spark):
+    """Labels, score and spans from all runs of whole words, each held against each notice."""
+    rng = np.random.default_rng(12)
+    notices = {"gnu general public license": "gpl", "released under the mit license": "mit", "all rights reserved": "reserved"}
+    texts = ["gnu general public licenseabcdef", "released under the mit licensexyzabc", "xgnu general public license", "gnu general public license 1", "gnugeneral public license mit license"]
+    for _ in range(120):
+        notice = str(rng.choice(list(notices)))
+        texts.append(f"{rng.choice(['', 'so ', 'wordsbefore ', 'x'])}{_edited(rng, notice, int(rng.integers(0, 6)))}{rng.choice(['', ' end', 'stuck', ' all rights here', '  gnu'])}")
+    got = rows(licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), notices=notices, phrases={}))
+    for r in got:
+        words = texts[r["doc_id"]].split()
+        best, found = {}, {}
+        for a in range(len(words)):
+            for b in range(a + 1, len(words) + 1):
+                part = " ".join(words[a:b])
+                for notice, label in notices.items():
+                    if abs(len(part) - len(notice)) <= 4:
+                        edits = _edits(part, notice)
+                        found[part, label] = edits
+                        if edits <= max(1, int(len(notice) * 0.12)):
+                            best[label] = min(best.get(label, 9), edits)
+        assert r["labels"] == ",".join(sorted(best)), texts[r["doc_id"]]
+        assert r["score"] == pytest.approx(max((1 - e / len(n) for n, label in notices.items() for e in [best.get(label, len(n))]), default=0))
+        for f in r["found"]:
+            part = " ".join(texts[r["doc_id"]].encode()[f["start_byte"] : f["end_byte"]].decode().split())
+            assert found[part, f["label"]] == f["edits"]
+
+
 def test_packing(spark, odd_docs, no_docs):
     got = packing.pack_documents(odd_docs, keep_ids=True).toPandas()
     assert not rows(packing.pack_documents(no_docs))

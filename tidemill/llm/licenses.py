@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,23 @@ PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserv
 #: Short notices that may hold edits, and their labels.
 NOTICES = {
     "licensed under the apache license version 2 0": "apache-2.0",
+    "you may not use this file except in compliance with the license": "apache-2.0",
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy": "mit",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "redistribution and use in source and binary forms": "bsd",
+    "neither the name of the copyright holder nor the names of its contributors": "bsd",
     "mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "boost software license": "bsl-1.0",
     "gnu general public license": "gpl",
+    "gnu lesser general public license": "lgpl",
+    "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
     "creative commons attribution": "cc-by",
+    "creative commons zero": "cc0",
+    "free and unencumbered software released into the public domain": "unlicense",
+    "permission is granted to anyone to use this software for any purpose": "zlib",
     "all rights reserved": "reserved",
 }
 
@@ -54,7 +66,7 @@ class Notices:
         self.known, seeds = [], {}
         for n, (text, label) in enumerate(notices.items()):
             edits = max(1, int(len(text) * edit_share))
-            self.known.append((text, label, edits, regex.compile(rf"(?b)(?<![^ \n])(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}(?![^ \n])")))
+            self.known.append((text, label, edits, regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}")))
             cuts = np.linspace(0, len(text), edits + 2).astype(int).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(text[a:b], []).append((n, a))
@@ -63,9 +75,13 @@ class Notices:
             self.automaton.add_word(seed, (len(seed), uses))
         self.automaton.make_automaton()
 
-    def find(self, text: str) -> set[tuple[int, int, int, int]]:
-        """Each notice found in text: its number, begin, end and edits. A match never holds a line end."""
-        tried, found = set(), set()
+    def find(self, text: str) -> list[tuple[int, int, int, int]]:
+        """Each notice found in text: its number, begin, end and edits.
+
+        Words stand with one space between them, and a line end parts two texts. A match is a run of whole
+        words of one line; of overlapping ones of a notice, that with the least edits counts.
+        """
+        tried, every = set(), []
         for last, (size, uses) in self.automaton.iter(text):
             for n, at in uses:
                 begin = last + 1 - size - at
@@ -73,11 +89,23 @@ class Notices:
                     continue
                 tried.add((n, begin))
                 known, _, edits, pattern = self.known[n]
-                low, high = max(0, begin - edits), begin + len(known) + edits
-                low = max(low, text.rfind("\n", low, last + 1 - size) + 1)
-                line = text.find("\n", last, high)
-                for m in pattern.finditer(text, low, high if line < 0 else line):
-                    found.add((n, m.start(), m.end(), sum(m.fuzzy_counts)))
+                line = text.rfind("\n", max(0, begin - edits), last + 1 - size) + 1
+                stop = text.find("\n", last, begin + len(known) + edits + 1)
+                stop = len(text) if stop < 0 else stop
+                starts = [a for a in range(max(line, begin - edits, 0), begin + edits + 1) if a == 0 or text[a - 1 : a] in (" ", "\n")]
+                ends = [b for b in range(begin + len(known) - edits, min(stop, begin + len(known) + edits) + 1) if b == len(text) or text[b : b + 1] in (" ", "\n")]
+                for a in starts:
+                    for b in ends:
+                        if abs(b - a - len(known)) <= edits and (m := pattern.fullmatch(text, a, b)):
+                            every.append((sum(m.fuzzy_counts), n, a, b))
+        found: list[tuple[int, int, int, int]] = []
+        taken: dict[int, list[int]] = {}
+        for edits, n, a, b in sorted(set(every)):
+            own = taken.setdefault(n, [])
+            at = bisect.bisect_right(own, a)
+            if at % 2 == 0 and (at == len(own) or own[at] >= b):
+                own[at:at] = [a, b]
+                found.append((n, a, b, edits))
         return found
 
 
