@@ -21,9 +21,19 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> None:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share; a temporary folder where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{folder.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share, removed when the driver's JVM ends.
+
+    It is spark.checkpoint.dir; where that is unset, a temporary folder with a local master, and an error with any other.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.gettempdir()
+    path = f"{folder.rstrip('/')}/tidemill-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def round_trip(df: DataFrame, kind: str, partition_by: tuple[str, ...] = (), **options: str) -> DataFrame:
