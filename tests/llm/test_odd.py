@@ -311,6 +311,31 @@ def test_leaks_finds_exact_copies(spark, kind):
     assert got == {(k, k) for k in range(len(items))}
 
 
+def test_leaks_with_items_of_all_lengths(spark):
+    """A one-word item is found where it stands, and changes nothing for the others."""
+    rng = np.random.default_rng(6)
+    words = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(rng.integers(2, 8)))) for _ in range(500)]
+    long = [" ".join(words[k] for k in rng.integers(0, 500, 40)) for _ in range(5)]
+    docs = [(0, "the dog and " * 1000), (1, f"so {_edited(rng, long[1], 20)} end"), (2, long[2].replace(" ", "")), (3, f"to be or not to be it is as it is {long[3]}")]
+    texts = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = [*enumerate(long), (7, "to be or not to be it is as it is so we go on"), (8, "dog and")]
+    got = {}
+    for name, items in (("with", [*bench, (9, "the")]), ("without", bench)):
+        found = rows(decontamination.find_leaks(texts, spark.createDataFrame(items, "item_id long, text string")))
+        got[name] = {(r["doc_id"], r["item_id"]) for r in found}
+    assert got["without"] >= {(1, 1), (2, 2), (3, 3), (0, 8)} and got["with"] - got["without"] == {(0, 9)} and got["without"] <= got["with"]
+
+
+def test_edits_of_stretches_against_plain():
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        item, text = rng.integers(97, 101, int(rng.integers(1, 65))).astype(np.uint8), rng.integers(97, 101, int(rng.integers(0, 150))).astype(np.uint8)
+        masks = np.zeros((1, 256), np.uint64)
+        np.bitwise_or.at(masks, (0, item), np.uint64(1) << np.arange(len(item)).astype(np.uint64))
+        got = decontamination.least_edits_of_stretches(masks, np.array([0]), np.array([len(item)]), np.append(text, 0).astype(np.uint8), np.array([0]), np.array([len(text)]))
+        assert got[0] == decontamination.least_edits(item, text, len(item))[0]
+
+
 def test_quality(spark, odd_docs, no_docs):
     stats = quality.text_statistics(odd_docs)
     got = {r["doc_id"]: r for r in rows(stats)}

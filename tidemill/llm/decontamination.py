@@ -1,4 +1,4 @@
-"""Benchmark passages in documents, found by pieces of items with one edit at most and verified by edit distance."""
+"""Benchmark passages in documents: keys of random walks give candidates, edit distance verifies them."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.llm import cgk
 from tidemill.llm._spark import slices, stored, table
 from tidemill.llm._words import ALNUM, LOWER, spans
 
@@ -80,8 +81,53 @@ def least_edits(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int
     return int(row[end]), end
 
 
-class Items:
-    """Benchmark items' words, and keys of their pieces.
+def least_edits_of_stretches(masks: np.ndarray, row: np.ndarray, size: np.ndarray, text: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least edit distance of each stretch of at most 64 bytes to any part of its window of text, all at once (after Myers).
+
+    masks[row] has, for each byte, a bit for each place of the stretch that holds it.
+    """
+    out = np.empty(len(row), np.int64)
+    order = np.argsort(low - high, kind="stable")
+    for at in range(0, len(order), 4096):
+        own = order[at : at + 4096]
+        begin, length, mask = low[own], (high - low)[own], row[own] * 256
+        top, one = (size[own] - 1).astype(np.uint64), np.uint64(1)
+        up, down = np.full(len(own), ~np.uint64(0)), np.zeros(len(own), np.uint64)
+        score, best, flat = size[own].copy(), size[own].copy(), masks.ravel()
+        going = np.searchsorted(-length, -np.arange(1, int(length.max(initial=0)) + 1), "right").tolist()
+        for k, n in enumerate(going):
+            if n < len(up):
+                out[own[n : len(up)]] = best[n:]
+                begin, mask, top, up, down, score, best = (x[:n] for x in (begin, mask, top, up, down, score, best))
+            same = flat.take(mask + text.take(begin + k))
+            turn = same | down
+            over = (((same & up) + up) ^ up) | same
+            more, less = down | ~(over | up), up & over
+            score = score + (more >> top & one).astype(np.int64) - (less >> top & one).astype(np.int64)
+            best = np.minimum(best, score)
+            more, less = more << one, less << one
+            up, down = less | ~(turn | more), more & turn
+        out[own[: len(best)]] = best
+    return out
+
+
+def by_document(starts: np.ndarray, item: np.ndarray, begin: np.ndarray, end: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows cut at documents' ends (a window may span several), without those too short for their item: documents, items, begins, ends."""
+    one = np.maximum(np.searchsorted(starts, begin, "right") - 1, 0)
+    n = np.maximum(np.searchsorted(starts, np.minimum(end, starts[-1]), "left") - one, 0)
+    doc = np.repeat(one - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    item, begin, end = np.repeat(item, n), np.repeat(begin, n), np.repeat(end, n)
+    begin, end = np.maximum(begin, starts[doc]), np.minimum(end, starts[doc + 1] - 1)
+    fits = end - begin >= least[item]
+    return doc[fits], item[fits], begin[fits], end[fits]
+
+
+def _piece_size(length: int, most: int) -> int:
+    return min(MOST_PIECE, length // (most // 2 + 1))
+
+
+class Pieces:
+    """Pieces of items too short for walks, by which every passage within most edits is found.
 
     In a passage within most edits, an item's whole pieces, counted twice, and those with one edit come
     to twice its pieces less most, on diagonals that most edits can reach. A piece that is whole or has a changed byte
@@ -89,25 +135,14 @@ class Items:
     byte more is whole once that byte is left out.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], edit_share: float) -> None:
-        raw = [(text or "").encode() for _, text in rows]
-        data, first, edge = normal(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw], dtype=np.int64)))
-        self.ids, self.size = [i for i, _ in rows], np.diff(edge)
-        self.texts = [data[first[a] : max(first[a], first[b] - 1)] for a, b in zip(edge, edge[1:], strict=False)]
-        self.length = np.array([len(t) for t in self.texts], np.int64)
-        self.most = np.array([int(edit_share * n) for n in self.length.tolist()], np.int64)
-        self.need, self.plain, self.anywhere = np.ones(len(rows), np.int64), [], []
+    def __init__(self, texts: list[np.ndarray], length: np.ndarray, most: np.ndarray, chosen: list[int]) -> None:
+        self.length, self.most, self.need = length, most, np.ones(len(texts), np.int64)
         pieces: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
-        for i, (text, n, most) in enumerate(zip(self.texts, self.length.tolist(), self.most.tolist(), strict=True)):
-            size = min(MOST_PIECE, n // (most // 2 + 1))
-            if n and not most:
-                self.plain.append(i)
-            elif n and size < LEAST_PIECE:
-                self.anywhere.append(i)
-            elif n:
-                at = np.arange(n // size) * size
-                self.need[i] = 2 * len(at) - most
-                pieces.setdefault(size, []).append((packed(text)[at] & _low(size), np.full(len(at), i), at))
+        for i in chosen:
+            size = _piece_size(int(length[i]), int(most[i]))
+            at = np.arange(length[i] // size) * size
+            self.need[i] = 2 * len(at) - most[i]
+            pieces.setdefault(size, []).append((packed(texts[i])[at] & _low(size), np.full(len(at), i), at))
         self.sizes, keys, item, place = sorted(pieces), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for size, some in pieces.items():
             whole, who, at = (np.concatenate(x) for x in zip(*some, strict=True))
@@ -185,13 +220,113 @@ class Items:
         item, begin = line // columns, line % columns - longest
         reach = self.most[item] + 2
         begin, end = begin - reach, begin + self.length[item] + 2 * reach
-        one = np.maximum(np.searchsorted(starts, begin, "right") - 1, 0)
-        n = np.maximum(np.searchsorted(starts, np.minimum(end, len(text)), "left") - one, 0)
-        doc = np.repeat(one - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        item, begin, end = np.repeat(item, n), np.repeat(begin, n), np.repeat(end, n)
-        begin, end = np.maximum(begin, starts[doc]), np.minimum(end, starts[doc + 1] - 1)
-        fits = end - begin >= self.length[item] - self.most[item]
-        return doc[fits], item[fits], begin[fits], end[fits]
+        return by_document(starts, item, begin, end, self.length - self.most)
+
+
+class Items:
+    """Benchmark items' words, and keys of the walks that begin in them.
+
+    An item's embedding is that of walks from each of its beginnings (a single walk over the whole item would lose
+    step after a few edits). A window of the item's size must meet some number of its beginnings: the longest keys, and
+    with them the largest number, that reach the recall wanted on passages with edit_share of random edits, by
+    simulation. Items with too few beginnings for that are looked for by their pieces, those without room for any edit as they are.
+    """
+
+    def __init__(self, rows: list[tuple[int, str]], edit_share: float, recall: float) -> None:
+        raw = [(text or "").encode() for _, text in rows]
+        data, first, edge = normal(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw], dtype=np.int64)))
+        self.ids, self.size = [i for i, _ in rows], np.diff(edge)
+        self.texts = [data[first[a] : max(first[a], first[b] - 1)] for a, b in zip(edge, edge[1:], strict=False)]
+        self.length = np.array([len(t) for t in self.texts], np.int64)
+        self.most = np.array([int(edit_share * n) for n in self.length.tolist()], np.int64)
+        self.plain = np.flatnonzero((self.length > 0) & (self.most == 0)).tolist()
+        edited = np.flatnonzero(self.most > 0).tolist()
+        begins = {i: cgk.starts(self.texts[i], first[edge[i] : edge[i + 1] + 1] - first[edge[i]]) for i in edited}
+        met = cgk.shares_met([self.texts[i] for i in edited], edit_share).tolist() if edited else []
+        self.need, level = np.zeros(len(rows), np.int64), {}
+        for i in edited:
+            for k, share in enumerate(met):
+                if count := cgk.most_sure(len(begins[i]), share, recall):
+                    self.need[i], level[i] = count, k
+        walked = sorted(level)
+        short = sorted(set(edited) - set(walked))
+        self.anywhere = [i for i in short if _piece_size(int(self.length[i]), int(self.most[i])) < LEAST_PIECE]
+        own = sorted(set(short) - set(self.anywhere))
+        self.pieces = Pieces(self.texts, self.length, self.most, own) if own else None
+        keys, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in walked:
+            text = np.append(self.texts[i], np.zeros(cgk.STEPS + 1, np.uint8))
+            for walk in range(cgk.WALKS):
+                key, last = cgk.keys(text, begins[i], walk)[level[i]]
+                inside = last < self.length[i]
+                keys.append(key[inside]), item.append(np.full(inside.sum(), i)), place.append(begins[i][inside].astype(np.int64))
+        self.walked, self.levels = walked, sorted(set(level.values()))
+        keys, item, place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first = np.unique(keys[order], return_index=True)
+        self.first = np.append(self.first, len(keys))
+        self.item, self.at = item[order], place[order]
+        self.bits = np.uint64(max(10, (32 * len(self.keys)).bit_length()))
+        self.seen = np.zeros(1 << int(self.bits), bool)
+        self.seen[self.keys >> (np.uint64(64) - self.bits)] = True
+        self.masks: np.ndarray | None = None
+
+    def candidates(self, text: np.ndarray, first: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Documents, items, and begin and end of the windows of text that may hold the item; first is where words begin, begins where documents do."""
+        none = np.zeros(0, np.int64)
+        parts = [self.pieces.candidates(text, begins)] if self.pieces else []
+        if self.walked and len(text):
+            longer = np.append(text, np.zeros(cgk.STEPS + 1, np.uint8))
+            start, found = cgk.starts(text, first), []
+            width, longest = self.most + 1, int(self.length.max())
+            rows = 2 + (len(text) + longest) // int(width[self.walked].min())
+            for walk in range(cgk.WALKS):
+                every = cgk.keys(longer, start, walk)
+                for level in self.levels:
+                    key = every[level][0]
+                    some = np.flatnonzero(self.seen.take((key >> (np.uint64(64) - self.bits)).view(np.int64)))
+                    key = key[some]
+                    at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                    same = self.keys[at] == key
+                    some, at = some[same], at[same]
+                    low, n = self.first[at], self.first[at + 1] - self.first[at]
+                    entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                    item, at = self.item[entry], self.at[entry]
+                    diagonal = np.repeat(start[some].astype(np.int64), n) - at + self.length[item]
+                    found.append((item * rows + diagonal // width[item]) * longest + at)
+            # beginnings of an item met in a cell of diagonals, and with those of the next cell
+            key = np.sort(np.concatenate(found))
+            cell = key[changes(key)] // longest
+            edge = changes(cell)
+            cell, n = cell[edge], np.diff(np.append(edge, len(cell)))
+            both = n.copy()
+            both[:-1] += (cell[1:] == cell[:-1] + 1) * n[1:]
+            cell = cell[both >= self.need[cell // rows]]
+            item = cell // rows
+            low = cell % rows * width[item] - self.length[item] - self.most[item]
+            high = low + self.length[item] + 2 * self.most[item] + 2 * width[item]
+            low, high = np.maximum(low, 0), np.minimum(high, len(text))
+            kept = self._within_reach(text, item, low, high)
+            parts.append(by_document(begins, item[kept], low[kept], high[kept], self.length - self.most))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none)
+
+    def _within_reach(self, text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Windows in which the least edits of an item's stretches of 64 bytes, each wherever it fits best, come to no more than most."""
+        if self.masks is None:
+            stretches = -(-self.length // 64)
+            self.first_mask = np.append(0, np.cumsum(stretches))
+            self.masks = np.zeros((self.first_mask[-1], 256), np.uint64)
+            for i, own in enumerate(self.texts):
+                at = np.arange(len(own))
+                np.bitwise_or.at(self.masks, (self.first_mask[i] + at // 64, own), np.uint64(1) << (at % 64).astype(np.uint64))
+        kept = np.arange(len(item))
+        edits = np.zeros(len(item), np.int64)
+        for k in range(int((-(-self.length[item] // 64)).max(initial=0))):
+            some = np.flatnonzero(self.length[item[kept]] > 64 * k)
+            own = kept[some]
+            edits[own] += least_edits_of_stretches(self.masks, self.first_mask[item[own]] + k, np.minimum(64, self.length[item[own]] - 64 * k), text, low[own], high[own])
+            kept = kept[edits[kept] <= self.most[item[kept]]]
+        return kept
 
 
 def leaks_in(text: np.ndarray, first: np.ndarray, edge: np.ndarray, items: Items) -> dict[tuple[int, int], tuple[int, int, int]]:
@@ -212,7 +347,7 @@ def leaks_in(text: np.ndarray, first: np.ndarray, edge: np.ndarray, items: Items
             d = int(np.searchsorted(starts, place, "right")) - 1
             keep(d, i, 0, place + len(wanted))
             place = raw.find(wanted, int(starts[d + 1]))
-    doc, item, begin, end = items.candidates(text, starts)
+    doc, item, begin, end = items.candidates(text, first, starts)
     some = np.flatnonzero(np.diff(starts) > 0)
     for i in items.anywhere:
         doc, item = np.append(doc, some), np.append(item, np.full(len(some), i))
@@ -254,14 +389,15 @@ def _find(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFram
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, edits long, first_word long, end_word long, likeness double")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id_col, item_id, edits, first_word, end_word and likeness for each document that holds a benchmark item.
 
     Words are runs of ASCII letters and digits (A-Z lower-cased) and of bytes beyond ASCII. A document
     holds an item when some part of its words, one space between them, is within edit_share of
     the item's bytes in edits; likeness is 1 less that share. Of several places the best is given.
-    No pair is missed: a passage shares a piece with the item but for one edit, and all tests before
-    the edit distance let every pair within edit_share pass. Items of no words are never found; null
+    Candidates come from keys of random walks, enough of them to find a passage with edit_share of random edits with a
+    chance of recall (one with less edits more surely, an exact copy always), or from pieces of short items, which miss nothing.
+    Items of no words are never found; null
     and empty texts hold none. Rows that repeat give their pairs as often. The benchmark is looked for
     in blocks of about BLOCK_BYTES, one scan of docs each.
     """
@@ -271,14 +407,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, i
     found = None
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).dropDuplicates(["id"]).orderBy("id").collect()
-        part = _find(docs, Items([(r["id"], r["text"]) for r in own], edit_share), id_col, text_col)
+        part = _find(docs, Items([(r["id"], r["text"]) for r in own], edit_share, recall), id_col, text_col)
         found = part if found is None else found.union(part)
     return found
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that hold a benchmark item. Rows with a null id stay."""
-    leaks = stored(find_leaks(docs, benchmark, edit_share, id_col, text_col).select(id_col).distinct())
+    leaks = stored(find_leaks(docs, benchmark, edit_share, recall, id_col, text_col).select(id_col).distinct())
     return docs.join(leaks, id_col, "left_anti").select(docs.columns)
 
 
