@@ -228,16 +228,70 @@ def test_pipeline_keeps_letters_where_no_language_is_known(spark):
     assert got.columns == docs.columns and {r["doc_id"] for r in rows(got)} == {1, 5, None} and got.count() == 3
 
 
-def test_forward_sums_all_segmentations():
+def _segmentations(word: bytes, pieces: set[bytes]):
+    if not word:
+        yield ()
+    for n in range(1, len(word) + 1):
+        if word[:n] in pieces:
+            for rest in _segmentations(word[n:], pieces):
+                yield (word[:n], *rest)
+
+
+def test_language_model_against_all_segmentations(spark, tmp_path):
+    """Fitting and scores by listing every segmentation of every word."""
+    import base64
+    from collections import Counter
+    from math import log, prod
+
+    own = {b" a", b"ab", b"ba", b" ab", b"abab", b"b b", b" caba", "é".encode()}
+    path = tmp_path / "pieces.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(p) + b" %d" % k for k, p in enumerate(sorted(own))))
+    texts = {"x": ["abab ab a", "caba abb ab", "AB ab ba"], "y": ["é éa bab", "cc c é"]}
+    docs = spark.createDataFrame([(k, t, lang) for lang, ts in texts.items() for k, t in enumerate(ts)], "doc_id long, text string, lang string")
+    pieces = own | {bytes([b]) for b in range(256)}
+    chance = {lang: dict.fromkeys(pieces, 1 / len(pieces)) for lang in texts}
+    for _ in range(3):
+        for lang, ts in texts.items():
+            counts = Counter(dict.fromkeys(pieces, 0.01))
+            for word in (b" " + w for t in ts for w in t.lower().encode().split()):
+                every = [(s, prod(chance[lang][p] for p in s)) for s in _segmentations(word, pieces)]
+                total = sum(c for _, c in every)
+                for s, c in every:
+                    counts.update({p: n * c / total for p, n in Counter(s).items()})
+            chance[lang] = {p: n / sum(counts.values()) for p, n in counts.items()}
+    model = language_id.fit(docs, vocabulary=str(path))
+    assert model.languages == ["x", "y"]
+    for k, lang in enumerate(model.languages):
+        assert np.allclose(model.chance[:, k], [chance[lang][p] for p in sorted(pieces)])
+    unseen = "abc é caba"
+    likely = [sum(log(sum(prod(chance[lang][p] for p in s) for s in _segmentations(b" " + w, pieces))) for w in unseen.encode().split()) for lang in texts]
+    got = rows(language_id.predict(spark.createDataFrame([(1, unseen)], "doc_id long, text string"), model))[0]
+    assert got["lang_pred"] == ("x", "y")[likely[0] < likely[1]] and np.isclose(got["score"], 1 / (1 + np.exp(-abs(likely[0] - likely[1]))))
+
+
+def test_language_sums_long_words_whole():
     pieces = language_id.Pieces(language_id.default_vocabulary())
-    word = np.frombuffer(b" theories", np.uint8)
-    lattice = language_id.Lattice(pieces, word, np.array([0, len(word)]))
-    chance = np.append(np.random.default_rng(0).random((pieces.size, 1)), [[0.0]], axis=0)
-
-    def total(at: int) -> float:
-        return 1.0 if at == len(word) else sum(chance[lattice.piece[n, at], 0] * total(at + n) for n in range(1, min(8, len(word) - at) + 1))
-
-    assert np.isclose(lattice.ends(lattice.forward(chance))[0, 0], total(0))
+    chance = np.random.default_rng(0).random((pieces.size, 2)) / pieces.size
+    words = [" theories".encode(), " supercalifragilisticexpialidocious日本語の文書".encode() * 9, b" a", b" internationalization" * 40]
+    lattice = language_id.Lattice(pieces, np.frombuffer(b"".join(words), np.uint8), np.append(0, np.cumsum([len(w) for w in words])))
+    got, expected = lattice.logs(chance), lattice.expected(chance, np.ones((4, 2)))
+    for k, word in enumerate(words):
+        own = language_id.Lattice(pieces, np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+        total = [[0.0, 0.0]]
+        for end in range(1, len(word) + 1):
+            edges = np.flatnonzero(own.end == end)
+            total.append([np.logaddexp.reduce([total[own.begin[e]][j] + np.log(chance[own.piece[e], j]) for e in edges]) for j in range(2)])
+        assert np.allclose(got[k], total[-1])
+    lengths = np.zeros(pieces.size)
+    lengths[lattice.piece] = lattice.end - lattice.begin
+    assert np.allclose(expected.T @ lengths, sum(map(len, words)))
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("word"), F.col("id"), F.lit(" text")).alias("text"), F.lit("en").alias("lang"))
+    languages, words = language_id._drawn_words(docs.select(F.col("doc_id").alias("id"), "text", "lang"), 300, 1 << 20)
+    assert languages == ["en"] and 200 < words.count() < 400
+    assert language_id._drawn_words(docs.select(F.col("doc_id").alias("id"), "text", "lang"), 3000, 500)[1].agg(F.sum(F.octet_length("word"))).first()[0] <= 500
 
 
 def test_leaks(spark, odd_docs, no_docs):

@@ -54,14 +54,24 @@ def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return begin, end, np.diff(np.searchsorted(begin, offsets))
 
 
-def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes; equal words have equal hashes on every machine."""
-    up, down = _power_tables(len(data) + 1)
+def totals(data: np.ndarray) -> np.ndarray:
+    """Running sums from which the hash of any stretch of data follows."""
+    up, _ = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
+    return total
+
+
+def stretch_hashes(total: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    _, down = _power_tables(len(total))
     return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; equal words have equal hashes on every machine."""
+    return stretch_hashes(totals(data), begin, end)
+
+
 def grams(words: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash of the n words from each place on, for the places whose n words lie in one text: hashes, places."""
     if len(words) < n:

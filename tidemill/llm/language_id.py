@@ -8,14 +8,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm._spark import slices, table
-from tidemill.llm._words import LOWER, NOT_SPACE, hashes, spans
+from tidemill.llm._words import LOWER, NOT_SPACE, hashes, spans, stretch_hashes, totals
 
-#: Longest piece in bytes, and longest stretch of a word that is segmented as one.
-PIECE, STRETCH = 8, 32
 #: Words of one lattice when the model is fit.
 BLOCK = 8192
 
@@ -27,95 +25,137 @@ def default_vocabulary() -> str:
 
 
 class Pieces:
-    """A fixed vocabulary of byte strings, found by hash."""
+    """A fixed vocabulary of byte strings and all their beginnings, found by hash. Single bytes always belong to it."""
+
+    SLOTS = 21
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as file:
             known = [base64.b64decode(line.split()[0]) for line in file if line.strip()]
-        known = sorted({p for p in known if len(p) <= PIECE} | {bytes([b]) for b in range(256)})
-        ends = np.cumsum([len(p) for p in known])
-        data = np.frombuffer(b"".join(known), np.uint8)
-        self.size = len(known)
-        self.keys = np.append(hashes(data, ends - [len(p) for p in known], ends), np.uint64(0))
-        self.first, self.second = np.full(1 << 21, self.size, np.int32), np.full(1 << 21, self.size, np.int32)
-        self.first[self.keys[:-1] >> np.uint64(43)] = np.arange(self.size)
-        left = np.flatnonzero(self.first[self.keys[:-1] >> np.uint64(43)] != np.arange(self.size))
-        self.second[self.keys[left] & np.uint64((1 << 21) - 1)] = left
-        if (self.find(self.keys[:-1]) == self.size).any():
-            raise ValueError(f"two pieces of {path} share a hash")
+        known = sorted({*known, *(bytes([b]) for b in range(256))} - {b""})
+        self.size, self.longest = len(known), max(map(len, known))
+        beginnings = sorted({p[:n] for p in known for n in range(1, len(p) + 1)})
+        rank = {p: k for k, p in enumerate(known)}
+        self.none = len(beginnings)
+        #: The piece that each beginning is, or -1.
+        self.piece = np.array([*(rank.get(p, -1) for p in beginnings), -1], np.int32)
+        ends = np.cumsum([len(p) for p in beginnings])
+        self.keys = np.append(hashes(np.frombuffer(b"".join(beginnings), np.uint8), ends - [len(p) for p in beginnings], ends), np.uint64(0))
+        self.slots = []
+        left = np.arange(self.none)
+        for shift in (64 - self.SLOTS, 0, self.SLOTS):
+            slot = np.full(1 << self.SLOTS, self.none, np.int32)
+            at = self._slot(self.keys[left], shift)
+            slot[at] = left
+            self.slots.append((slot, shift))
+            left = left[slot[at] != left]
+        if len(left):
+            raise ValueError(f"two strings of {path} share a hash")
+
+    def _slot(self, hashed: np.ndarray, shift: int) -> np.ndarray:
+        return (hashed >> np.uint64(shift) & np.uint64((1 << self.SLOTS) - 1)).view(np.int64)
 
     def find(self, hashed: np.ndarray) -> np.ndarray:
-        """The piece with each hash, or size where there is none."""
-        at = self.first[hashed >> np.uint64(43)]
-        miss = np.flatnonzero(self.keys[at] != hashed)
-        other = self.second[hashed[miss] & np.uint64((1 << 21) - 1)]
-        at[miss] = np.where(self.keys[other] == hashed[miss], other, self.size)
-        return at
+        """The beginning with each hash, or none where there is no such."""
+        out = self.slots[0][0].take(self._slot(hashed, self.slots[0][1]))
+        miss = np.flatnonzero(self.keys.take(out) != hashed)
+        out[miss] = self.none
+        for slot, shift in self.slots[1:]:
+            other = slot.take(self._slot(hashed[miss], shift))
+            same = self.keys.take(other) == hashed[miss]
+            out[miss[same]] = other[same]
+            miss = miss[~same]
+        return out
+
+
+class Sweep:
+    """Edges of a lattice in the order of their ends' distance from where the sums begin."""
+
+    def __init__(self, source: np.ndarray, target: np.ndarray, distance: np.ndarray, piece: np.ndarray) -> None:
+        order = np.lexsort((target, distance))
+        self.source, self.piece, target, distance = source[order], piece[order], target[order], distance[order]
+        head = np.flatnonzero(np.diff(target, prepend=-1) != 0)
+        self.target, steps = target[head], np.arange(1, int(distance.max(initial=0)) + 2)
+        self.edge = np.searchsorted(distance, steps).tolist()
+        self.group = np.searchsorted(distance[head], steps).tolist()
+        self.head = head
 
 
 class Lattice:
-    """All segmentations of some byte strings of at most STRETCH bytes into pieces."""
+    """All segmentations of some byte strings into pieces.
+
+    Sums over segmentations are kept for each place of a string, and scaled once every `longest` places, so that
+    those of long strings neither vanish nor need another way; the logarithms of the scales are kept beside them.
+    """
 
     def __init__(self, pieces: Pieces, data: np.ndarray, offsets: np.ndarray) -> None:
-        self.size = np.diff(offsets)
-        self.order = np.argsort(-self.size, kind="stable")
-        self.begin, self.node = offsets[:-1], offsets[:-1] + np.arange(len(self.size))
-        self.total, self.none = len(data) + len(self.size), pieces.size
-        room = np.repeat(offsets[1:], self.size) - np.arange(len(data))
-        self.piece = np.full((PIECE + 1, len(data)), pieces.size, np.int32)
-        for n in range(1, PIECE + 1):
-            at = np.flatnonzero(room >= n)
-            self.piece[n, at] = pieces.find(hashes(data, at, at + n))
-        lengths = self.size[self.order]
-        self.reach = [int(np.searchsorted(-lengths, -i, "right")) for i in range(STRETCH + 1)]
-
-    def forward(self, chance: np.ndarray) -> np.ndarray:
-        """Sum over segmentations of each beginning; chance has a row of noughts at the end."""
-        alpha = np.zeros((self.total, chance.shape[1]))
-        alpha[self.node] = 1
-        for i in range(1, STRETCH + 1):
-            some = self.order[: self.reach[i]]
-            if not len(some):
-                break
-            alpha[self.node[some] + i] = sum(alpha[self.node[some] + i - n] * chance[self.piece[n, self.begin[some] + i - n]] for n in range(1, min(i, PIECE) + 1))
-        return alpha
-
-    def ends(self, alpha: np.ndarray) -> np.ndarray:
-        return alpha[self.node + self.size]
+        self.size, self.every = np.diff(offsets), pieces.longest
+        word = np.repeat(np.arange(len(self.size)), self.size)
+        self.first = offsets[:-1] + np.arange(len(self.size))
+        self.nodes = len(data) + len(self.size)
+        #: How often the sums of each string are scaled, and where its scales begin.
+        self.scaled = np.maximum(self.size - 1, 0) // self.every
+        self.scale = np.append(0, np.cumsum(self.scaled + 1))
+        room, total, at = offsets[1:][word] - np.arange(len(data)), totals(data), np.arange(len(data))
+        starts, lengths, found = [], [], []
+        for n in range(1, pieces.longest + 1):
+            at = at[room[at] >= n]
+            known = pieces.find(stretch_hashes(total, at, at + n))
+            at, known = at[known != pieces.none], known[known != pieces.none]
+            piece = pieces.piece[known]
+            some = piece >= 0
+            starts.append(at[some]), found.append(piece[some]), lengths.append(np.full(some.sum(), n))
+        start, piece, length = np.concatenate(starts), np.concatenate(found), np.concatenate(lengths)
+        self.word = word[start]
+        begin = start + self.word
+        self.begin, self.end, self.piece = begin, begin + length, piece
+        done = start - offsets[:-1][self.word]
+        self.done, self.left = done, self.size[self.word] - done - length
+        self.ahead = Sweep(begin, self.end, done + length, piece)
+
+    def _sums(self, sweep: Sweep, seeds: np.ndarray, chance: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sums by node, outward from seeds, and logarithms of the scales by string and number of scalings."""
+        sums, scales = np.zeros((self.nodes, chance.shape[1])), np.zeros((int(self.scale[-1]), chance.shape[1]))
+        sums[seeds] = 1
+        for step in range(len(sweep.edge) - 1):
+            a, b, g, h = sweep.edge[step], sweep.edge[step + 1], sweep.group[step], sweep.group[step + 1]
+            each = sums.take(sweep.source[a:b], 0) * chance.take(sweep.piece[a:b], 0)
+            sums[sweep.target[g:h]] = np.add.reduceat(each, sweep.head[g:h] - a, axis=0)
+            if (step + 1) % self.every == 0:
+                nth = (step + 1) // self.every
+                on = np.flatnonzero(self.scaled >= nth)
+                nodes = seeds[on][:, None] + sign * (step + 1 - np.arange(self.every))
+                most = np.maximum(sums[nodes].max(1), 1e-300)
+                sums[nodes] /= most[:, None]
+                scales[self.scale[on] + nth] = scales[self.scale[on] + nth - 1] + np.log(most)
+        return sums, scales
+
+    def logs(self, chance: np.ndarray) -> np.ndarray:
+        """Logarithm of the sum over all segmentations of each string, by language."""
+        sums, scales = self._sums(self.ahead, self.first, chance, 1)
+        return np.log(np.maximum(sums[self.first + self.size], 1e-300)) + scales[self.scale[:-1] + self.scaled]
 
     def expected(self, chance: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """How often each piece is expected, each string counted with its weights by language."""
-        alpha, beta = self.forward(chance), np.zeros((self.total, chance.shape[1]))
-        beta[self.node + self.size] = weight / np.maximum(self.ends(alpha), 1e-300)
-        counts = np.zeros_like(chance)
-        for back in range(1, STRETCH + 1):
-            some = self.order[: self.reach[back]]
-            if not len(some):
-                break
-            at = self.size[some] - back
-            for n in range(1, min(back, PIECE) + 1):
-                piece = self.piece[n, self.begin[some] + at]
-                onward = chance[piece] * beta[self.node[some] + at + n]
-                beta[self.node[some] + at] += onward
-                share = alpha[self.node[some] + at] * onward
-                for k in range(chance.shape[1]):
-                    counts[:, k] += np.bincount(piece, share[:, k], len(counts))
-        counts[-1] = 0
-        return counts
-
-
-def stretches(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words with a space before each, cut every STRETCH bytes: data, offsets, and which word each stretch is of."""
+        last = self.first + self.size
+        alpha, up = self._sums(self.ahead, self.first, chance, 1)
+        beta, down = self._sums(Sweep(self.end, self.begin, self.left + self.end - self.begin, self.piece), last, chance, -1)
+        whole = np.log(np.maximum(alpha[last], 1e-300)) + up[self.scale[:-1] + self.scaled]
+        scaled, scale = self.scaled[self.word], self.scale[self.word]
+        log = up[scale + np.minimum(-(-self.done // self.every), scaled)] + down[scale + np.minimum(-(-self.left // self.every), scaled)] - whole[self.word]
+        share = alpha[self.begin] * chance[self.piece] * beta[self.end] * np.exp(log) * weight[self.word]
+        return np.stack([np.bincount(self.piece, share[:, k], len(chance)) for k in range(chance.shape[1])], axis=1)
+
+
+def spaced(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words with a space before each: data and offsets."""
     size = end - begin + 1
     at = np.cumsum(size) - size
     out = np.full(int(size.sum()), 0x20, np.uint8)
     inner = np.ones(len(out), bool)
     inner[at] = False
     out[inner] = data[np.repeat(begin - (at - np.arange(len(at))), size - 1) + np.arange(len(out) - len(at))]
-    parts = -(-size // STRETCH)
-    word = np.repeat(np.arange(len(size)), parts)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return out, np.append(at[word] + nth * STRETCH, len(out)), word
+    return out, np.append(at, len(out))
 
 
 class Model:
@@ -126,29 +166,40 @@ class Model:
 
     def word_scores(self, pieces: Pieces, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
-        flat, offsets, word = stretches(data, begin, end)
-        lattice = Lattice(pieces, flat, offsets)
-        each = np.log(np.maximum(lattice.ends(lattice.forward(self.chance)), 1e-300))
-        return np.add.reduceat(each, np.flatnonzero(np.diff(word, prepend=-1)), axis=0) if len(word) else each
-
+        return Lattice(pieces, *spaced(data, begin, end)).logs(self.chance)
 
-def fit(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int = 250, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from about docs_per_language documents of each language, drawn by a hash of their ids.
 
-    Rows whose language or text is null teach nothing; without other rows the model
-    knows no language. The bound holds the word list that comes to the driver.
+def _drawn_words(rows: DataFrame, docs_per_language: int, bytes_per_language: int) -> tuple[list[str], DataFrame]:
+    """Languages, and the words (lang, word, count) of documents drawn for each."""
+    sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
+    languages = sorted(sizes)
+    if not languages:
+        return [], rows
+    parts = {lang: min(1.0, docs_per_language / r["n"], bytes_per_language / max(r["bytes"], 1)) for lang, r in sizes.items()}
+    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, parts[lang])])
+    drawn = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
+    words = drawn.select("lang", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).where("word <> ''").groupBy("lang", "word").count()
+    common = Window.partitionBy("lang").orderBy(F.desc("count"), F.xxhash64("word"))
+    held = words.where(F.octet_length("word") <= bytes_per_language).withColumn("bytes", F.sum(F.octet_length("word")).over(common))
+    return languages, held.where(F.col("bytes") <= bytes_per_language).drop("bytes")
+
+
+def fit(
+    docs: DataFrame, vocabulary: str | None = None, docs_per_language: int = 250, rounds: int = 3, bytes_per_language: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+) -> Model:
+    """Learn from about docs_per_language documents of each language, drawn by a hash of id and text.
+
+    About bytes_per_language of text are drawn at most, and of their distinct words the most frequent that come to
+    as many bytes; this bounds the word list that comes to the driver. Rows whose language or text is null teach nothing;
+    without other rows the model knows no language.
     """
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    languages = sorted(sizes)
+    languages, words = _drawn_words(rows, docs_per_language, bytes_per_language)
     pieces = Pieces(path)
     if not languages:
-        return Model(path, [], np.zeros((pieces.size + 1, 0)))
-    share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, min(1.0, docs_per_language / sizes[lang]))])
-    drawn = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-    words = drawn.select("lang", F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("word")).where("word <> ''")
-    found = words.groupBy("lang", "word").count().toPandas()
+        return Model(path, [], np.zeros((pieces.size, 0)))
+    found = words.toPandas()
     codes, texts = found["word"].factorize()
     weight = np.zeros((len(texts), len(languages)))
     np.add.at(weight, (codes, found["lang"].map(languages.index).to_numpy(dtype=np.int64)), found["count"])
@@ -157,13 +208,11 @@ def fit(docs: DataFrame, vocabulary: str | None = None, docs_per_language: int =
         raw = [w.encode() for w in texts[low : low + BLOCK]]
         size = np.array([len(w) for w in raw], np.int64)
         ends = np.cumsum(size)
-        flat, offsets, word = stretches(LOWER[np.frombuffer(b"".join(raw), np.uint8)], ends - size, ends)
-        blocks.append((Lattice(pieces, flat, offsets), weight[low + word]))
+        blocks.append((Lattice(pieces, *spaced(LOWER[np.frombuffer(b"".join(raw), np.uint8)], ends - size, ends)), weight[low : low + BLOCK]))
     del found, texts, codes
-    real = np.append(np.ones(pieces.size), 0)[:, None]
-    chance = np.repeat(real / pieces.size, len(languages), axis=1)
+    chance = np.full((pieces.size, len(languages)), 1 / pieces.size)
     for _ in range(rounds):
-        counts = sum(lattice.expected(chance, own) for lattice, own in blocks) + 0.01 * real
+        counts = sum((lattice.expected(chance, own) for lattice, own in blocks), np.full(chance.shape, 0.01))
         chance = counts / counts.sum(0)
     return Model(path, languages, chance)
 
