@@ -7,7 +7,7 @@ import math
 import numpy as np
 
 #: Walks, their steps, and the numbers of steps behind which a walk gives a key of those it has sampled so far.
-WALKS, STEPS, LEVELS = 8, 36, (16, 20, 24, 28, 32, 36)
+WALKS, STEPS, LEVELS = 8, 36, (12, 16, 20, 24, 28, 32, 36)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(1907)
@@ -29,8 +29,23 @@ def starts(text: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def keys(text: np.ndarray, begin: np.ndarray, walk: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each level the keys of a walk from each place of text, and the last places it came to. text must go on for STEPS bytes."""
+class Seen:
+    """A set of keys by their high bits: no key that was put in is missed, few others pass."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        self.shift = np.uint64(64 - max(10, (32 * len(keys)).bit_length()))
+        self.flags = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.flags[keys >> self.shift] = True
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(self.flags.take((keys >> self.shift).view(np.int64)))
+
+
+def keys(text: np.ndarray, begin: np.ndarray, walk: int, seen: list[Seen] | None = None) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each level the keys of a walk from each place of text, those places, and the last ones the walk came to.
+
+    text must go on for STEPS bytes. With seen (a set of each level's keys), a walk ends where its key isn't in the set.
+    """
     at, key, out = begin.copy(), np.full(len(begin), walk, np.uint64), []
     byte, go, mixed = np.empty(len(begin), np.uint8), np.empty(len(begin), np.int64), np.empty(len(begin), np.uint64)
     for step in range(STEPS):
@@ -40,9 +55,13 @@ def keys(text: np.ndarray, begin: np.ndarray, walk: int) -> list[tuple[np.ndarra
             key += byte
             np.right_shift(key, np.uint64(29), out=mixed)
             key ^= mixed
-        if step + 1 in LEVELS:
-            out.append(((key ^ np.uint64(step)) * _ODD, at.copy()))
         np.take(_GO[walk, step], byte, out=go, mode="clip")
+        if step + 1 in LEVELS:
+            made = (key ^ np.uint64(step)) * _ODD
+            if seen is not None:
+                some = seen[len(out)].places(made)
+                made, begin, at, key, go, byte, mixed = (x[some] for x in (made, begin, at, key, go, byte, mixed))
+            out.append((made, begin, at.copy()))
         at += go
     return out
 
@@ -65,7 +84,7 @@ def shares_met(texts: list[np.ndarray], edit_share: float, trials: int = 200) ->
         (own, begin, size), (other, there, _) = sides
         hit = np.zeros((len(LEVELS), len(begin)), bool)
         for walk in range(WALKS):
-            for level, ((key, last), (others, _)) in enumerate(zip(keys(own, begin, walk), keys(other, there, walk), strict=True)):
+            for level, ((key, _, last), (others, _, _)) in enumerate(zip(keys(own, begin, walk), keys(other, there, walk), strict=True)):
                 hit[level] |= np.isin(key, others) & (last < size)
         met += hit.sum(1)
         every += len(begin)

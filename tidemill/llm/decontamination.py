@@ -15,8 +15,8 @@ from tidemill.llm._words import ALNUM, LOWER, spans
 
 #: Bytes of an item's piece at most, and at least; with pieces below the least, items are looked for in every document.
 MOST_PIECE, LEAST_PIECE = 8, 3
-#: Bytes of documents looked at in one step, and bytes of benchmark text looked for at once.
-STEP, BLOCK_BYTES = 1 << 15, 2 << 20
+#: Bytes or places of documents looked at in one step, and bytes of benchmark text looked for at once.
+STEP, BLOCK_BYTES = 1 << 14, 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: One value for each length of a key, so that keys of different lengths seldom meet.
@@ -254,21 +254,26 @@ class Items:
         own = sorted(set(short) - set(self.anywhere))
         self.pieces = Pieces(self.texts, self.length, self.most, own) if own else None
         keys, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        passed: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in cgk.LEVELS]
+        own_level: dict[int, list[np.ndarray]] = {k: [] for k in level.values()}
         for i in walked:
             text = np.append(self.texts[i], np.zeros(cgk.STEPS + 1, np.uint8))
             for walk in range(cgk.WALKS):
-                key, last = cgk.keys(text, begins[i], walk)[level[i]]
+                every = cgk.keys(text, begins[i], walk)
+                key, _, last = every[level[i]]
                 inside = last < self.length[i]
-                keys.append(key[inside]), item.append(np.full(inside.sum(), i)), place.append(begins[i][inside].astype(np.int64))
-        self.walked, self.levels = walked, sorted(set(level.values()))
+                keys.append(key[inside]), item.append(np.full(inside.sum(), i)), place.append(begins[i][inside])
+                own_level[level[i]].append(key[inside])
+                for k in range(level[i] + 1):
+                    passed[k].append(every[k][0][inside])
+        self.own = {k: cgk.Seen(np.concatenate(x)) for k, x in own_level.items()}
+        self.walked, self.seen = walked, [cgk.Seen(np.concatenate(p)) for p in passed[: max(level.values(), default=-1) + 1]]
+        self.seen += [cgk.Seen(np.zeros(0, np.uint64))] * (len(cgk.LEVELS) - len(self.seen))
         keys, item, place = np.concatenate(keys), np.concatenate(item), np.concatenate(place)
         order = np.argsort(keys, kind="stable")
         self.keys, self.first = np.unique(keys[order], return_index=True)
         self.first = np.append(self.first, len(keys))
         self.item, self.at = item[order], place[order]
-        self.bits = np.uint64(max(10, (32 * len(self.keys)).bit_length()))
-        self.seen = np.zeros(1 << int(self.bits), bool)
-        self.seen[self.keys >> (np.uint64(64) - self.bits)] = True
         self.masks: np.ndarray | None = None
 
     def candidates(self, text: np.ndarray, first: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -280,20 +285,21 @@ class Items:
             start, found = cgk.starts(text, first), []
             width, longest = self.most + 1, int(self.length.max())
             rows = 2 + (len(text) + longest) // int(width[self.walked].min())
-            for walk in range(cgk.WALKS):
-                every = cgk.keys(longer, start, walk)
-                for level in self.levels:
-                    key = every[level][0]
-                    some = np.flatnonzero(self.seen.take((key >> (np.uint64(64) - self.bits)).view(np.int64)))
-                    key = key[some]
-                    at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                    same = self.keys[at] == key
-                    some, at = some[same], at[same]
-                    low, n = self.first[at], self.first[at + 1] - self.first[at]
-                    entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                    item, at = self.item[entry], self.at[entry]
-                    diagonal = np.repeat(start[some].astype(np.int64), n) - at + self.length[item]
-                    found.append((item * rows + diagonal // width[item]) * longest + at)
+            for low in range(0, len(start), STEP):
+                for walk in range(cgk.WALKS):
+                    every = cgk.keys(longer, start[low : low + STEP], walk, self.seen)
+                    for level, own in self.own.items():
+                        key, begin, _ = every[level]
+                        some = own.places(key)
+                        key, begin = key[some], begin[some]
+                        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                        same = self.keys[at] == key
+                        begin, at = begin[same], at[same]
+                        head, n = self.first[at], self.first[at + 1] - self.first[at]
+                        entry = np.repeat(head - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        item, at = self.item[entry], self.at[entry]
+                        diagonal = np.repeat(begin, n) - at + self.length[item]
+                        found.append((item * rows + diagonal // width[item]) * longest + at)
             # beginnings of an item met in a cell of diagonals, and with those of the next cell
             key = np.sort(np.concatenate(found))
             cell = key[changes(key)] // longest
