@@ -186,6 +186,46 @@ def test_near_dedup_around_a_hub(spark):
     assert {r["doc_id"]: r["component_id"] for r in rows(got)} == root
 
 
+def test_near_dedup_among_documents_of_one_template(spark):
+    """Half of each text is the template's; a few pairs are similar, and none but these are linked."""
+    rng = np.random.default_rng(4)
+    template = [f"t{k}" for k in range(60)]
+    texts = [[*template, *(f"o{d}_{k}" for k in range(60))] for d in range(900)]
+    for d in range(0, 900, 30):
+        copy = list(texts[d])
+        for k in rng.choice(120, 6, replace=False):
+            copy[k] = f"e{d}_{k}"
+        texts.append(copy)
+    got = {r["doc_id"]: r["component_id"] for r in rows(near_dedup.near_duplicates(spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string"), words_each=2))}
+    sets = [set(zip(w, w[1:], strict=False)) for w in texts]
+    want = {d: d for d in range(900)}
+    for k, d in enumerate(range(0, 900, 30)):
+        both = len(sets[d] & sets[900 + k])
+        want[900 + k] = d if 100 * both >= 80 * (len(sets[d]) + len(sets[900 + k]) - both) else 900 + k
+    assert got == want and sum(want[900 + k] < 900 for k in range(30)) > 20
+
+
+def test_rarest_shingles_lose_no_similar_pair(spark):
+    rng = np.random.default_rng(21)
+    sets = []
+    for d in range(400):
+        base = np.random.default_rng(d % 40).integers(0, 900, 60)
+        keep = rng.random(60) < rng.uniform(0.75, 1)
+        sets.append(sorted({*base[keep].tolist(), *rng.integers(0, 900, int(rng.integers(0, 12))).tolist()}))
+    table = spark.createDataFrame([(d, d, s) for d, s in enumerate(sets)], "id long, component long, shingles array<long>")
+    want = {(a, b) for b in range(400) for a in range(b) if 100 * len(set(sets[a]) & set(sets[b])) >= 80 * len(set(sets[a]) | set(sets[b]))}
+    for few in (32, 1):
+        near_dedup.FEW = few
+        got = {tuple(sorted(r)) for r in rows(near_dedup._remainder(table, table.select("id", "shingles"), 0.8))}
+        near_dedup.FEW = 32
+        assert len(want) > 100 and (got == want if few > 1 else got <= want)
+        root = list(range(400))
+        for a, b in sorted(got):
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        assert all(root[a] == root[b] for a, b in want)
+
+
 def test_token_counts(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r for r in rows(token_counts.count_tokens(odd_docs, keep=50))}
     assert (got[20]["n_tokens"], got[21]["n_words"], got[25]["n_bytes"], got[25]["n_words"]) == (0, 0, 200_000, 1)

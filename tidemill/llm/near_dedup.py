@@ -5,24 +5,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
 from tidemill.llm._spark import Slice, slices, stored, table
 from tidemill.llm._words import LOWER, NOT_SPACE, grams, hashes, mix, spans
 
-#: Trees, and values in a tree's shallow key. A pair of similarity 0.8 shares the key of some tree
+#: Trees, and values in a tree's first key. A pair of similarity 0.8 shares the key of some tree
 #: but for a chance of (1 - 0.8**6)**40 = 5e-6.
 TREES, DEPTH = 40, 6
-#: Regions of more documents are also looked at by a key of twice the depth.
-REGION = 64
-#: Documents of less similarity to their region's hub don't belong to its cluster.
-COARSE = 0.3
-#: Rows of either side in one block of an exact comparison, about.
-BLOCK = 512
+#: A region of more documents is parted by its next values, PARTS of them in all, STEP at a time, each held in VALUE_BITS.
+REGION, PARTS, STEP, VALUE_BITS = 64, 6, 2, 10
+#: Rows of a group whose pairs are looked at one by one; larger groups are compared in blocks of about BLOCK rows on either side.
+FEW, BLOCK = 32, 512
+#: Shingles are ranked by how often their bucket occurs; sizes in one class differ by less than this factor.
+BUCKETS, CLASS = 1 << 18, 1.12
 
 _rng = np.random.default_rng(811)
 _XOR = _rng.integers(0, 2**64, TREES * DEPTH, np.uint64)
@@ -59,7 +58,8 @@ def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
 def signatures(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
     """id, n, a 128-bit hash of the shingle set, and for each tree a shallow and a deep key.
 
-    Tree t orders documents by the signature's values from 6 t on, round to its beginning.
+    Tree t orders documents by the signature's six values from 6 t on, whose hash is the shallow key, and then by
+    one value of each of six other trees, the first VALUE_BITS bits of which stand end to end in the deep key.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, text_col):
@@ -77,15 +77,16 @@ def signatures(docs: DataFrame, words_each: int, id_col: str, text_col: str) ->
             for k in range(DEPTH):
                 shallow = mix(shallow * np.uint64(31) + blocks[:, :, k])
             deep = np.zeros_like(shallow)
-            for k in range(DEPTH):
-                deep = mix(deep * np.uint64(31) + np.roll(blocks[:, :, k], -1, axis=1))
+            for k in range(PARTS):
+                own = np.roll(blocks[:, :, k % DEPTH], -1 - 7 * k, axis=1)
+                deep = deep << np.uint64(VALUE_BITS) | mix(own) >> np.uint64(64 - VALUE_BITS)
             ids = part.rows.column(part.rows.schema.get_field_index("id"))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), _lists(shallow.view(np.int64), pa.int64()), _lists((deep >> np.uint64(32)).astype(np.uint32).view(np.int32), pa.int32())],
+                [ids, pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), _lists(shallow.view(np.int64), pa.int64()), _lists(deep.view(np.int64), pa.int64())],
                 names=["id", "n", "set_low", "set_high", "shallow", "deep"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, set_low long, set_high long, shallow array<long>, deep array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, set_low long, set_high long, shallow array<long>, deep array<long>")
 
 
 def shingle_table(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
@@ -117,17 +118,70 @@ def _predecessors(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "a long, b long")
 
 
-def _similar(both: Column, n_a: Column, n_b: Column, share: float) -> Column:
-    return both * 100 >= F.lit(round(share * 100)) * (n_a + n_b - both)
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """a, b, whether their full sets are similar, and whether they are at all alike."""
+    """Those pairs a, b whose full sets are similar."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
-    joined = pairs.join(one, "a").join(two, "b")
-    both, n_a, n_b = F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t")
-    return joined.select("a", "b", _similar(both, n_a, n_b, threshold).alias("linked"), _similar(both, n_a, n_b, COARSE).alias("alike"))
+    both = F.size(F.array_intersect("s", "t"))
+    return pairs.join(one, "a").join(two, "b").where(both * 100 >= F.lit(round(threshold * 100)) * (F.size("s") + F.size("t") - both)).select("a", "b")
+
+
+def _levels(shared: DataFrame) -> DataFrame:
+    """key, id and fame for every region, and for the parts of large regions, by as many more values as it takes."""
+    level = shared.select("key", "deep", "id", "fame", "n")
+    out, most = level.select("key", "id", "fame"), level.agg(F.max("n")).first()[0] or 0
+    for left in range(PARTS - STEP, -1, -STEP):
+        if most <= REGION:
+            break
+        parts = level.where(F.col("n") > REGION).select(F.xxhash64("key", F.shiftright("deep", left * VALUE_BITS)).alias("key"), "deep", "id", "fame")
+        level = stored(parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key"))
+        out, most = out.union(level.select("key", "id", "fame")), level.agg(F.max("n")).first()[0] or 0
+    return out
+
+
+def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """group, id and component: rows that share a group are all that may be similar.
+
+    rows: id, component and shingles. Similar sets share one of the first of their shingles, the rarest first; how many of these
+    must be looked at follows from both sizes, so a group is a shingle and the classes of two sizes.
+    """
+    counts = rows.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(BUCKETS)).cast("int").alias("bucket")).count().toPandas()
+    often = np.zeros(BUCKETS, np.int64)
+    often[counts["bucket"].to_numpy(np.int64)] = counts["count"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = batch.column(2)
+            size = np.asarray(sets.value_lengths()).astype(np.int64)
+            flat, owner = np.asarray(sets.flatten()), np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((flat, often[flat % BUCKETS], owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            some = np.flatnonzero(place < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[owner])
+            out = [pa.array(flat[order[some]]), batch.column(0).take(pa.array(owner[some])), batch.column(1).take(pa.array(owner[some])), pa.array(size[owner[some]]), pa.array(place[some])]
+            yield pa.RecordBatch.from_arrays(out, names=["shingle", "id", "component", "n", "place"])
+
+    def apart(groups: DataFrame, key: str) -> DataFrame:
+        return groups.join(groups.groupBy(key).agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select(key), key)
+
+    first = apart(stored(rows.mapInArrow(run, "shingle long, id long, component long, n long, place long")), "shingle")
+    own = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(CLASS)) + 1e-9)
+    reach = int(np.ceil(np.log(1 / threshold) / np.log(CLASS)))
+    sized = first.withColumn("class", own).withColumn("other", F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)))
+    least = F.greatest(F.floor(F.pow(F.lit(CLASS), "other") - 1e-6), F.lit(threshold) * F.col("n"), F.lit(1.0))
+    both = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + least) - 1e-6)
+    sized = sized.where(F.col("place") < F.col("n") - both + 1)
+    return apart(sized.select(F.xxhash64("shingle", F.least("class", "other"), F.greatest("class", "other")).alias("group"), "id", "component"), "group")
+
+
+def _remainder(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components, for all similar pairs of rows (id, component, shingles)."""
+    groups = stored(_prefixes(rows, threshold))
+    sizes = stored(groups.groupBy("group").agg(F.count("*").alias("size")))
+    few = groups.join(sizes.where(F.col("size") <= FEW), "group").select("group", "id", "component")
+    other = few.select("group", F.col("id").alias("b"), F.col("component").alias("its"))
+    pairs = few.join(other, "group").where("id < b AND component <> its").select(F.col("id").alias("a"), "b").distinct()
+    many = groups.join(sizes.where(F.col("size") > FEW), "group").select(F.col("group").alias("cluster"), "id", "component")
+    return _verified(stored(pairs), sets, threshold).union(_across(many, sets, threshold))
 
 
 def _across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -175,6 +229,11 @@ def _across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return told.union(asks).groupBy("cluster", "column", "line").applyInArrow(run, "a long, b long")
 
 
+def _with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """id and component of nodes (id), by links (a, b)."""
+    return nodes.join(components(links).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, words_each: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_shingles, component_id and kept for every document.
 
@@ -185,10 +244,11 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, threshold: float = 0.8
     component_id is the least id reachable and kept marks the row that bears it. Rows that
     repeat an id share its fate; a row with a null id teaches nothing and keeps a null component.
 
-    Documents of equal sets count once. In each tree of the forest, a region is what shares a
-    shallow key; a large region is looked at by a deeper key too. A document is compared with its
-    regions' hubs (the documents that share most regions) and with its neighbours in the sorted
-    order. What is left apart within a cluster around hubs is compared exactly, in blocks.
+    Documents of equal sets count once. In each tree of the forest, a region is what shares a first key; large regions
+    are parted by longer prefixes until they are small. A document is compared with the hub of each of its regions and parts
+    (the document that shares most regions) and with its neighbours in the sorted order, which share the longest prefixes.
+    Where a region still holds several components, all its documents go on: of these, the similar pairs of
+    different components are found exactly, by their rarest shingles.
     """
     made = stored(signatures(docs, words_each, id_col, text_col))
     classes = stored(made.where("n > 0").groupBy("set_low", "set_high").agg(F.min("id").alias("id")))
@@ -198,25 +258,24 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, threshold: float = 0.8
     shared = stored(rows.join(regions, "key"))
     shared = stored(shared.join(shared.groupBy("id").agg(F.sum("n").alias("fame")), "id"))
 
-    levels = shared.select("key", "id", "fame").union(shared.where(F.col("n") > REGION).select(F.xxhash64("key", "deep"), "id", "fame"))
+    levels = _levels(shared)
     hubs = stored(levels.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub")))
-    to_hubs = levels.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-    to_hubs = stored(to_hubs)
+    to_hubs = stored(levels.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     involved = stored(shared.select("id").distinct())
     sets = stored(shingle_table(docs.join(involved.select(F.col("id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi"), words_each, id_col, text_col).dropDuplicates(["id"]))
-    tried = stored(_verified(to_hubs, sets, threshold))
-
-    apart = components(tried.where("linked").select("a", "b"))
-    cluster = components(tried.where("alike").select("a", "b"))
-    nodes = involved.join(apart.withColumnRenamed("node", "id"), "id", "left").join(cluster.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id", "left")
-    nodes = stored(nodes.select("id", F.coalesce("component", "id").alias("component"), F.coalesce("cluster", "id").alias("cluster")))
+    links = stored(_verified(to_hubs, sets, threshold))
+    nodes = stored(_with_components(involved, links))
 
     beside = _predecessors(shared).distinct()
     for side in ("a", "b"):
-        beside = beside.join(nodes.select(F.col("id").alias(side), F.col("cluster").alias(f"cluster_{side}")), side)
-    beside = _verified(stored(beside.where("cluster_a <> cluster_b").select("a", "b")), sets, threshold)
-    links = tried.where("linked").select("a", "b").union(beside.where("linked").select("a", "b")).union(_across(nodes, sets, threshold))
-    found = components(stored(links))
+        beside = beside.join(nodes.select(F.col("id").alias(side), F.col("component").alias(f"component_{side}")), side)
+    beside = stored(_verified(stored(beside.where("component_a <> component_b").select("a", "b")), sets, threshold))
+    links = links.union(beside)
+    nodes = stored(_with_components(involved, links))
+
+    open_keys = shared.join(nodes, "id").groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    waiting = shared.join(open_keys, "key").select("id").distinct()
+    found = components(stored(links.union(_remainder(stored(nodes.join(waiting, "id").join(sets, "id")), sets, threshold))))
 
     known = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_low", "set_high", F.coalesce("component", "id").alias("component"))
     out = made.select("id", "n", "set_low", "set_high").join(stored(known), ["set_low", "set_high"], "left")
