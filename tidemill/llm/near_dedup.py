@@ -181,28 +181,31 @@ def _remainder(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     other = few.select("group", F.col("id").alias("b"), F.col("component").alias("its"))
     pairs = few.join(other, "group").where("id < b AND component <> its").select(F.col("id").alias("a"), "b").distinct()
     many = groups.join(sizes.where(F.col("size") > FEW), "group").select(F.col("group").alias("cluster"), "id", "component")
-    return _verified(stored(pairs), sets, threshold).union(_across(many, sets, threshold))
+    pairs = pairs.union(_across(many, sets, threshold).select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+    return _verified(stored(pairs), sets, threshold)
 
 
 def _across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links between different components of one cluster, found by exact comparison in blocks.
+    """Pairs of different components of one cluster that may be linked, found by comparison in blocks.
 
+    Of a shingle's hash its high 32 bits are sent, so a pair may seem more alike than it is, never less.
     members: id, component and cluster. In each cluster, all rows outside its largest component
     are compared with all rows of other components. Both sides are dealt into blocks of about
     BLOCK rows, and each pair of blocks is one group. A row gives one link to each component.
     """
     sizes = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     clusters = stored(sizes.groupBy("cluster").agg(F.sum("n").alias("rows"), F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1"))
-    rows = stored(members.join(clusters, "cluster").join(sets, "id"))
+    short = sets.select("id", F.transform("shingles", lambda x: F.shiftright(x, 32).cast("int")).alias("shingles"))
+    rows = members.join(clusters, "cluster")
     few = F.col("rows") - F.col("top.n")
     grid = rows.select(
-        "id", "component", "cluster", "shingles", (F.col("component") != F.col("top.component")).alias("asks"),
+        "id", "component", "cluster", (F.col("component") != F.col("top.component")).alias("asks"),
         F.ceil(F.col("rows") / BLOCK).cast("int").alias("columns"), F.ceil(few / BLOCK).cast("int").alias("lines"),
     )
     own = F.pmod(F.xxhash64("id"), F.col("columns")).cast("int")
     line = F.pmod(F.xxhash64("id", F.lit(7)), F.col("lines")).cast("int")
-    told = grid.select("id", "component", "cluster", "shingles", F.lit(False).alias("asks"), own.alias("column"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
-    asks = grid.where("asks").select("id", "component", "cluster", "shingles", "asks", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), line.alias("line"))
+    told = grid.select("id", "component", "cluster", F.lit(False).alias("asks"), own.alias("column"), F.explode(F.sequence(F.lit(0), F.col("lines") - 1)).alias("line"))
+    asks = grid.where("asks").select("id", "component", "cluster", "asks", F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), line.alias("line"))
 
     def run(group: pa.Table) -> pa.Table:
         asking = group.column("asks").to_numpy().astype(bool)
@@ -210,7 +213,7 @@ def _across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         sets_ = [np.asarray(x.values) for x in group.column("shingles")]
         at = np.flatnonzero(~asking)
         owner = np.repeat(np.arange(len(at)), [len(sets_[i]) for i in at])
-        flat = np.concatenate([sets_[i] for i in at]) if len(at) else np.zeros(0, np.int64)
+        flat = np.concatenate([sets_[i] for i in at]) if len(at) else np.zeros(0, np.int32)
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
         size, other = np.array([len(sets_[i]) for i in at]), comps[at]
@@ -222,11 +225,12 @@ def _across(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
             both = np.bincount(owner[places], minlength=len(at))
             good = np.flatnonzero((both * 100 >= round(threshold * 100) * (size + len(own_set) - both)) & (other != comps[i]))
+            good = good[np.argsort(-both[good], kind="stable")]
             for k in good[np.unique(other[good], return_index=True)[1]]:
                 a.append(int(ids[i])), b.append(int(ids[at[k]]))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return told.union(asks).groupBy("cluster", "column", "line").applyInArrow(run, "a long, b long")
+    return told.union(asks).join(short, "id").groupBy("cluster", "column", "line").applyInArrow(run, "a long, b long")
 
 
 def _with_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
