@@ -3,14 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
-
-#: Columns whose names clash with those that operators add.
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, slot long, n_words long, kept_text string, score double, id long, `key` string"
-
-
-def document(doc_id, text, lang="en"):
-    return (doc_id, text, lang, "s", len(text or ""), 7, 7, 7, 7, "x", 0.5, 1, "k")
-
+from odd_rows import SCHEMA, document
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
