@@ -157,6 +157,17 @@ def test_substring_dedup_against_plain(spark, monkeypatch, hot):
     assert {r["doc_id"]: r["kept_text"] for r in rows(got)} == want
 
 
+def test_least_of_runs_against_plain():
+    from tidemill.llm.fm_index import Least
+
+    rng = np.random.default_rng(0)
+    for n in (1, 5, 16, 17, 33, 100, 5000):
+        values = rng.integers(0, 10000, n)
+        low = rng.integers(0, n, 300)
+        high = np.array([rng.integers(k + 1, n + 1) for k in low])
+        assert (Least(values.astype(np.int32)).over(low, high) == [values[a:b].min() for a, b in zip(low, high, strict=True)]).all()
+
+
 def test_near_dedup(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r for r in rows(near_dedup.near_duplicates(odd_docs))}
     assert len(rows(near_dedup.near_duplicates(odd_docs))) == odd_docs.count() and not rows(near_dedup.near_duplicates(no_docs))

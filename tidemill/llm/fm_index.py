@@ -41,6 +41,38 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         rank, step = new, 2 * step
 
 
+class Least:
+    """The least of any run of values, from the least of each block's beginnings and ends and of 1, 2, 4, ... blocks: some 16 bytes a value."""
+
+    BLOCK = 16
+
+    def __init__(self, values: np.ndarray) -> None:
+        padded = np.full(-(-max(1, len(values)) // self.BLOCK) * self.BLOCK, np.iinfo(np.int32).max, np.int32)
+        padded[: len(values)] = values
+        blocks = padded.reshape(-1, self.BLOCK)
+        self.values = padded
+        self.up_to = np.minimum.accumulate(blocks, axis=1).ravel()
+        self.onward = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        self.tables = [blocks.min(1)]
+        while len(self.tables[-1]) > 1 << (len(self.tables) - 1):
+            row, half = self.tables[-1], 1 << (len(self.tables) - 1)
+            self.tables.append(np.minimum(row[:-half], row[half:]))
+
+    def over(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Least of the values from low on and before high, at least one of them."""
+        first, last = low // self.BLOCK, (high - 1) // self.BLOCK
+        out = np.minimum(self.onward[low], self.up_to[high - 1])
+        inside = np.flatnonzero(first == last)
+        at = low[inside][:, None] + np.arange(self.BLOCK)
+        out[inside] = np.where(at < high[inside][:, None], self.values[np.minimum(at, len(self.values) - 1)], np.iinfo(np.int32).max).min(1)
+        level = np.frexp((last - first - 1).astype(float))[1] - 1
+        for k in np.unique(level[last - first > 1]).tolist():
+            some = np.flatnonzero((level == k) & (last - first > 1))
+            a, b = self.tables[k][first[some] + 1], self.tables[k][last[some] - (1 << k)]
+            out[some] = np.minimum(out[some], np.minimum(a, b))
+        return out
+
+
 class FMIndex:
     """Index over texts of word codes (1 and up; 0 parts the texts), each with an owner.
 
@@ -62,14 +94,8 @@ class FMIndex:
         head = np.flatnonzero(np.diff(now, prepend=-1))
         self.start = np.zeros(alphabet + 1, np.int64)
         self.start[now[head]] = head
-        # owners by rank, and the least of 1, 2, 4, ... of them from each suffix on
         self.owners, rank = np.unique(owners, return_inverse=True)
-        self.least = np.empty((max(1, self.size.bit_length()), self.size), np.int32)
-        self.least[0] = rank[order]
-        for k in range(1, len(self.least)):
-            half, row = 1 << (k - 1), self.least[k - 1]
-            self.least[k] = row
-            self.least[k, :-half] = np.minimum(row[:-half], row[half:])
+        self.least = Least(rank[order].astype(np.int32))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more word in front."""
@@ -81,11 +107,6 @@ class FMIndex:
             ends = np.where(twice >> level & 1, plane.zeros + ones, ends - ones)
         return ends[: len(low)] + begin, ends[len(low) :] + begin
 
-    def least_owner(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Rank of the least owner over each interval, all of which hold something."""
-        level = np.frexp((high - low).astype(float))[1] - 1
-        return np.minimum(self.least[level, low], self.least[level, high - (1 << level)])
-
     def covered(self, texts: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
         """For each place of texts, whether the `size` words from there on occur in a text of an owner below.
 
@@ -108,7 +129,7 @@ class FMIndex:
             new_low, new_high = self.extend(np.where(known, symbol, 0), low, high)
             some = np.flatnonzero(known & (new_high > new_low))
             good = np.zeros(len(at), bool)
-            good[some] = self.least_owner(new_low[some], new_high[some]) < own[some]
+            good[some] = self.least.over(new_low[some], new_high[some]) < own[some]
             low, high, place = np.where(good, new_low, low), np.where(good, new_high, high), place - good
             hit = np.flatnonzero(good & (place == at))
             windows = tail[hit] - size + 1 - at[hit]

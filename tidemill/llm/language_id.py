@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemill.llm._spark import slices, table
 from tidemill.llm._words import LOWER, NOT_SPACE, hashes, spans, stretch_hashes, totals
 
-#: Words of one lattice when the model is fit.
+#: Words of one lattice.
 BLOCK = 8192
 
 
@@ -27,7 +27,7 @@ def default_vocabulary() -> str:
 class Pieces:
     """A fixed vocabulary of byte strings and all their beginnings, found by hash. Single bytes always belong to it."""
 
-    SLOTS = 21
+    SLOTS = 19
 
     def __init__(self, path: str) -> None:
         with open(path, "rb") as file:
@@ -106,12 +106,10 @@ class Lattice:
             some = piece >= 0
             starts.append(at[some]), found.append(piece[some]), lengths.append(np.full(some.sum(), n))
         start, piece, length = np.concatenate(starts), np.concatenate(found), np.concatenate(lengths)
-        self.word = word[start]
-        begin = start + self.word
-        self.begin, self.end, self.piece = begin, begin + length, piece
-        done = start - offsets[:-1][self.word]
-        self.done, self.left = done, self.size[self.word] - done - length
-        self.ahead = Sweep(begin, self.end, done + length, piece)
+        self.word = word[start].astype(np.int32)
+        self.begin, self.piece = (start + self.word).astype(np.int32), piece
+        self.end = (self.begin + length).astype(np.int32)
+        self.ahead = Sweep(self.begin, self.end, self.end - self.first[self.word], piece)
 
     def _sums(self, sweep: Sweep, seeds: np.ndarray, chance: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
         """Sums by node, outward from seeds, and logarithms of the scales by string and number of scalings."""
@@ -138,11 +136,12 @@ class Lattice:
     def expected(self, chance: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """How often each piece is expected, each string counted with its weights by language."""
         last = self.first + self.size
+        done, left = self.begin - self.first[self.word], last[self.word] - self.end
         alpha, up = self._sums(self.ahead, self.first, chance, 1)
-        beta, down = self._sums(Sweep(self.end, self.begin, self.left + self.end - self.begin, self.piece), last, chance, -1)
+        beta, down = self._sums(Sweep(self.end, self.begin, last[self.word] - self.begin, self.piece), last, chance, -1)
         whole = np.log(np.maximum(alpha[last], 1e-300)) + up[self.scale[:-1] + self.scaled]
         scaled, scale = self.scaled[self.word], self.scale[self.word]
-        log = up[scale + np.minimum(-(-self.done // self.every), scaled)] + down[scale + np.minimum(-(-self.left // self.every), scaled)] - whole[self.word]
+        log = up[scale + np.minimum(-(-done // self.every), scaled)] + down[scale + np.minimum(-(-left // self.every), scaled)] - whole[self.word]
         share = alpha[self.begin] * chance[self.piece] * beta[self.end] * np.exp(log) * weight[self.word]
         return np.stack([np.bincount(self.piece, share[:, k], len(chance)) for k in range(chance.shape[1])], axis=1)
 
@@ -166,7 +165,10 @@ class Model:
 
     def word_scores(self, pieces: Pieces, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
-        return Lattice(pieces, *spaced(data, begin, end)).logs(self.chance)
+        out = np.empty((len(begin), len(self.languages)))
+        for low in range(0, len(begin), BLOCK):
+            out[low : low + BLOCK] = Lattice(pieces, *spaced(data, begin[low : low + BLOCK], end[low : low + BLOCK])).logs(self.chance)
+        return out
 
 
 def _drawn_words(rows: DataFrame, docs_per_language: int, bytes_per_language: int) -> tuple[list[str], DataFrame]:
