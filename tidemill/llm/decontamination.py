@@ -246,7 +246,9 @@ class Items:
         self.need, level = np.zeros(len(rows), np.int64), {}
         for i in edited:
             for k, share in enumerate(met):
-                if count := cgk.most_sure(len(begins[i]), share, recall):
+                # walks that surely end inside the item, all of which an exact copy meets
+                whole = int((begins[i] + cgk.LEVELS[k] <= self.length[i]).sum())
+                if count := min(whole, cgk.most_sure(len(begins[i]), share, recall)):
                     self.need[i], level[i] = count, k
         walked = sorted(level)
         short = sorted(set(edited) - set(walked))
