@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -63,10 +64,11 @@ class Notices:
         import ahocorasick
         import regex
 
-        self.known, seeds = [], {}
+        self.known, self.letters, seeds = [], [], {}
         for n, (text, label) in enumerate(notices.items()):
             edits = max(1, int(len(text) * edit_share))
             self.known.append((text, label, edits, regex.compile(rf"(?b)(?:{regex.escape(text, literal_spaces=True)}){{e<={edits}}}")))
+            self.letters.append(Counter(text).most_common())
             cuts = np.linspace(0, len(text), edits + 2).astype(int).tolist()
             for a, b in zip(cuts, cuts[1:], strict=False):
                 seeds.setdefault(text[a:b], []).append((n, a))
@@ -89,6 +91,13 @@ class Notices:
                     continue
                 tried.add((n, begin))
                 known, _, edits, pattern = self.known[n]
+                around, missing = text[max(0, begin - edits) : begin + len(known) + edits], edits
+                for letter, count in self.letters[n]:  # a match lacks no more of the notice's letters than it has edits
+                    missing -= max(0, count - around.count(letter))
+                    if missing < 0:
+                        break
+                if missing < 0:
+                    continue
                 line = text.rfind("\n", max(0, begin - edits), last + 1 - size) + 1
                 stop = text.find("\n", last, begin + len(known) + edits + 1)
                 stop = len(text) if stop < 0 else stop
