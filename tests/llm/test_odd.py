@@ -450,3 +450,44 @@ def test_quality(spark, odd_docs, no_docs):
     assert all(0 <= r["s"] <= 1 for r in rows(stats.select(score.alias("s"))))
     assert {r["s"] for r in rows(stats.select(quality.fit(labelled.limit(0), "quality").column().alias("s")))} == {0.5}
     assert not rows(quality.text_statistics(no_docs))
+
+
+def test_quality_statistics_against_plain(spark, odd_docs):
+    """Every statistic of every text, by Python's own splitting and counting."""
+    classes = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "blank": b" \t", "line_end": b"\r\n", "stop": b".,;:?", "shout": b"!", "mark": b"*$%&#@|<>{}[]=+~^_\\/", "beyond_ascii": bytes(range(128, 256))}
+    texts = ["", "One two  TWO two.", "a\nb\n\na\r\nb c!", "\t \n", "é 日本語 é é", "no-break\xa0space x\x0by\x0cz", "* * * ** 12 {x}", "line\n" * 5, None]
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame([(100 + k, t) for k, t in enumerate(texts)], "doc_id long, text string"))
+    given = [(r["doc_id"], (r["text"] or "").encode()) for r in rows(docs)]
+    want = []
+    for d, raw in given:
+        words, lines = raw.lower().split(), [x for x in raw.replace(b"\r", b"\n").split(b"\n") if x]
+        shares = [sum(raw.count(bytes([b])) for b in classes[c]) / max(len(raw), 1) for c in quality.CLASSES]
+        n = max(len(words), 1)
+        want.append((d, *shares, len(words), sum(map(len, words)) / n, max(map(len, words), default=0), len(words) / max(len(lines), 1), len(set(words)) / n if words else 1, len(set(lines)) / len(lines) if lines else 1, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n))
+    got = [tuple(r) for r in rows(quality.text_statistics(docs))]
+    key = lambda r: repr(r[0])
+    for g, w in zip(sorted(got, key=lambda r: (key(r), r[1:])), sorted(want, key=lambda r: (key(r), r[1:])), strict=True):
+        assert g[0] == w[0] and np.allclose(g[1:], w[1:])
+
+
+def test_quality_column_against_its_rules(spark):
+    """The compiled column and the rules' log odds summed in numpy, and the weights against the lasso's own conditions."""
+    rng = np.random.default_rng(7)
+    x = rng.random((400, len(quality.STATISTICS))).round(2)
+    y = ((x[:, 0] > 0.5) & (x[:, 9] <= 0.7) ^ (rng.random(400) < 0.05)).astype(int)
+    table = spark.createDataFrame([(k, *map(float, r), int(v)) for k, (r, v) in enumerate(zip(x, y, strict=True))], "doc_id long, " + ", ".join(f"{s} double" for s in quality.STATISTICS) + ", quality int")
+    ensemble = quality.fit(table, "quality")
+    got = {r["doc_id"]: r["s"] for r in rows(table.select("doc_id", ensemble.column().alias("s")))}
+    odds = np.full(400, ensemble.intercept)
+    for rule, weight in zip(ensemble.rules, ensemble.weights, strict=True):
+        met = [all((r[k] > bound) == above for k, above, bound in rule) for r in x]
+        odds += weight * np.array(met)
+    score = 1 / (1 + np.exp(-odds))
+    assert ensemble.rules and np.allclose([got[k] for k in range(400)], score)
+    assert np.mean((score > 0.5) == y) > 0.9
+    z, penalty = (rng.random((300, 12)) < 0.4).astype(float), 0.01
+    labels = (rng.random(300) < 1 / (1 + np.exp(-(2 * z[:, 0] - 3 * z[:, 1])))).astype(float)
+    weights, intercept = quality.lasso_logistic(z, labels, penalty, steps=5000)
+    slope = z.T @ (1 / (1 + np.exp(-(z @ weights + intercept))) - labels) / 300
+    assert np.allclose(slope[weights != 0], -penalty * np.sign(weights[weights != 0]), atol=1e-5) and (np.abs(slope) <= penalty + 1e-5).all()
+    assert weights[0] > 0 > weights[1] and (weights == 0).any()
