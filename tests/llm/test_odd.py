@@ -168,6 +168,31 @@ def test_least_of_runs_against_plain():
         assert (Least(values.astype(np.int32)).over(low, high) == [values[a:b].min() for a, b in zip(low, high, strict=True)]).all()
 
 
+def test_matching_statistics_against_plain():
+    from tidemill.llm.fm_index import FMIndex
+
+    def longest(pattern, owner, texts, owners):
+        best = 0
+        for text in (t for t, o in zip(texts, owners, strict=True) if o < owner):
+            for at in range(len(text)):
+                n = 0
+                while n < min(len(pattern), len(text) - at) and pattern[n] == text[at + n]:
+                    n += 1
+                best = max(best, n)
+        return best
+
+    rng = np.random.default_rng(1)
+    for _ in range(100):
+        size = int(rng.integers(1, 5))
+        texts = [rng.integers(1, size + 1, rng.integers(1, 30)) for _ in range(rng.integers(1, 6))]
+        owners = rng.integers(0, 6, len(texts))
+        index = FMIndex(np.concatenate([np.append(t, 0) for t in texts]), np.repeat(owners, [len(t) + 1 for t in texts]), size)
+        patterns = [np.where(rng.random(n) < 0.05, -1, rng.integers(1, size + 1, n)) for n in rng.integers(0, 30, 4)]
+        asking, edge = rng.integers(0, 7, 4), np.cumsum([0] + [len(p) for p in patterns])
+        got = index.matching(np.concatenate(patterns), edge[:-1], edge[1:], asking)
+        assert got.tolist() == [longest(p[k:], o, texts, owners) for p, o in zip(patterns, asking, strict=True) for k in range(len(p))]
+
+
 def test_near_dedup(spark, odd_docs, no_docs):
     got = {r["doc_id"]: r for r in rows(near_dedup.near_duplicates(odd_docs))}
     assert len(rows(near_dedup.near_duplicates(odd_docs))) == odd_docs.count() and not rows(near_dedup.near_duplicates(no_docs))

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Windows of a pattern that are searched for as one at first.
-CHUNK = 16
-
 
 class Bits:
     """A packed bit vector with a count every 64 bits."""
@@ -25,20 +22,31 @@ class Bits:
         return self.before[block] + np.bitwise_count(self.words[block] & mask)
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes of text in order, by doubling; a suffix that ends is less than any that goes on."""
+def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of text in order, by doubling, and how many words each shares with the one before it (0 for the first).
+
+    A suffix that ends is less than any that goes on.
+    """
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    step, n = 1, len(text)
+    ranks, n = [rank.astype(np.int32)], len(text)
     while True:
+        step = 1 << (len(ranks) - 1)
         ahead = np.zeros(n, np.int64)
         ahead[: max(0, n - step)] = rank[step:]
         both = rank * (n + 1) + ahead
         order = np.argsort(both, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.append(1, np.diff(both[order]) != 0))
-        if n == 0 or new[order[-1]] == n:
-            return order
-        rank, step = new, 2 * step
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.append(1, np.diff(both[order]) != 0))[:n]
+        if n == 0 or rank[order[-1]] == n:
+            break
+        ranks.append(rank.astype(np.int32))
+    shared = np.zeros(n, np.int64)
+    for k in range(len(ranks) - 1, -1, -1):
+        one, two = order[:-1] + shared[1:], order[1:] + shared[1:]
+        inside = np.maximum(one, two) < n
+        same = inside & (ranks[k][np.where(inside, one, 0)] == ranks[k][np.where(inside, two, 0)])
+        shared[1:] += same << k
+    return order, shared
 
 
 class Least:
@@ -73,15 +81,44 @@ class Least:
         return out
 
 
+class Below:
+    """The nearest value under a bound to either side of a place, by a tree of least values."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.leaves = 1 << max(0, len(values) - 1).bit_length()
+        self.tree = np.zeros(2 * self.leaves, np.min_scalar_type(int(values.max())))
+        self.tree[self.leaves : self.leaves + len(values)] = values
+        row = self.leaves
+        while row > 1:
+            self.tree[row // 2 : row] = self.tree[row : 2 * row].reshape(-1, 2).min(1)
+            row //= 2
+
+    def nearest(self, place: np.ndarray, bound: np.ndarray, right: bool) -> np.ndarray:
+        """The place itself or the next one on that side whose value is under the bound; there must be one."""
+        node = place + self.leaves
+        on = np.flatnonzero(self.tree[node] >= bound)
+        while len(on):
+            edge = node[on] + right
+            node[on] = edge // (edge & -edge) - (not right)
+            on = on[self.tree[node[on]] >= bound[on]]
+        on = np.flatnonzero(node < self.leaves)
+        while len(on):
+            near = 2 * node[on] + (not right)
+            node[on] = np.where(self.tree[near] < bound[on], near, near ^ 1)
+            on = on[node[on] < self.leaves]
+        return node - self.leaves
+
+
 class FMIndex:
     """Index over texts of word codes (1 and up; 0 parts the texts), each with an owner.
 
     An interval of suffixes answers at once whether a pattern occurs in a text of an owner
-    below a given one, from the least owner over the interval.
+    below a given one, from the least owner over the interval. What neighbouring suffixes share
+    widens an interval to that of the pattern's longest beginning which occurs elsewhere too.
     """
 
     def __init__(self, texts: np.ndarray, owners: np.ndarray, alphabet: int) -> None:
-        order = suffix_order(texts)
+        order, shared = suffix_order(texts)
         bwt = texts[order - 1]
         self.size, self.levels = len(texts), max(1, int(alphabet).bit_length())
         self.first = np.append(0, np.cumsum(np.bincount(texts, minlength=alphabet + 1)))
@@ -96,6 +133,7 @@ class FMIndex:
         self.start[now[head]] = head
         self.owners, rank = np.unique(owners, return_inverse=True)
         self.least = Least(rank[order].astype(np.int32))
+        self.shared = Below(np.append(shared, 0))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more word in front."""
@@ -107,40 +145,47 @@ class FMIndex:
             ends = np.where(twice >> level & 1, plane.zeros + ones, ends - ones)
         return ends[: len(low)] + begin, ends[len(low) :] + begin
 
-    def covered(self, texts: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
-        """For each place of texts, whether the `size` words from there on occur in a text of an owner below.
-
-        Patterns texts[begin:end] with their owners are streamed together; symbols unknown to the
-        index are -1. They are cut into chunks of CHUNK windows. From the end of a chunk the search goes
-        backwards; where the whole chunk doesn't occur, its windows are tried from the first on, and a
-        failure at some word rules out every window up to it.
+    def widen(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The next larger intervals, and the lengths of their patterns (0: all suffixes)."""
+        tree, leaves = self.shared.tree, self.shared.leaves
+        length = np.maximum(tree[low + leaves], tree[high + leaves]).astype(np.int64)
+        some = np.flatnonzero(length)
+        new_low, new_high = np.zeros(len(low), np.int64), np.full(len(low), self.size, np.int64)
+        new_low[some] = self.shared.nearest(low[some], length[some], False)
+        new_high[some] = self.shared.nearest(high[some], length[some], True)
+        return new_low, new_high, length
+
+    def matching(self, texts: np.ndarray, begin: np.ndarray, end: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Matching statistics: for each place of texts, how many words from there on occur in a text of an owner below.
+
+        Patterns texts[begin:end] with their owners are streamed together, each from its end
+        backwards; symbols unknown to the index are -1. Where a word can't be put in front, the
+        match is cut at its end, to the next larger interval, and tried again. Places outside
+        the patterns have 0, and no match goes beyond its pattern.
         """
-        found = np.zeros(len(texts), bool)
-        parts = np.maximum(0, -(-(end - begin - size + 1) // CHUNK))
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        at = np.repeat(begin, parts) + nth * CHUNK
-        stop = np.minimum(at + CHUNK + size - 1, np.repeat(end, parts))
-        own = np.searchsorted(self.owners, np.repeat(owner, parts))
-        tail, place = stop.copy(), stop.copy()
-        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.size, np.int64)
-        while len(at):
+        out = np.zeros(len(texts), np.int32)
+        own = np.searchsorted(self.owners, owner)
+        on = (end > begin) & (own > 0)
+        begin, place, own = begin[on], end[on].copy(), own[on]
+        low, high = np.zeros(len(place), np.int64), np.full(len(place), self.size, np.int64)
+        length = np.zeros(len(place), np.int64)
+        while len(place):
             symbol = texts[place - 1]
             known = symbol >= 0
             new_low, new_high = self.extend(np.where(known, symbol, 0), low, high)
             some = np.flatnonzero(known & (new_high > new_low))
-            good = np.zeros(len(at), bool)
-            good[some] = self.least.over(new_low[some], new_high[some]) < own[some]
-            low, high, place = np.where(good, new_low, low), np.where(good, new_high, high), place - good
-            hit = np.flatnonzero(good & (place == at))
-            windows = tail[hit] - size + 1 - at[hit]
-            found[np.repeat(at[hit] - (np.cumsum(windows) - windows), windows) + np.arange(windows.sum())] = True
-            at[hit] = tail[hit] - size + 1
-            miss = np.flatnonzero(~good)
-            at[miss] = np.where(tail[miss] - at[miss] == size, place[miss], at[miss])
-            anew = np.concatenate([hit, miss])
-            tail[anew] = at[anew] + size
-            place[anew], low[anew], high[anew] = tail[anew], 0, self.size
-            on = at + size <= stop
+            some = some[self.least.over(new_low[some], new_high[some]) < own[some]]
+            good = np.zeros(len(place), bool)
+            good[some] = True
+            length[some] += 1
+            out[place[some] - 1] = length[some]
+            skip = ~good & (~known | (length == 0))
+            cut = np.flatnonzero(~good & ~skip)
+            low[some], high[some] = new_low[some], new_high[some]
+            low[skip], high[skip], length[skip] = 0, self.size, 0
+            low[cut], high[cut], length[cut] = self.widen(low[cut], high[cut])
+            place = place - (good | skip)
+            on = place > begin
             if not on.all():
-                at, stop, own, tail, place, low, high = (x[on] for x in (at, stop, own, tail, place, low, high))
-        return found
+                begin, place, own, low, high, length = (x[on] for x in (begin, place, own, low, high, length))
+        return out

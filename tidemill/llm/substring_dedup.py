@@ -160,7 +160,7 @@ def _search(group: pa.Table, window: int) -> pa.Table:
         codes = np.where(vocabulary[np.minimum(known, len(vocabulary) - 1)] == word, known + 1, -1)
         texts = np.concatenate([np.append(codes[edge[i] : edge[i + 1]], 0) for i in chosen])
         index = FMIndex(texts, np.repeat(least[code[chosen]], counts[chosen] + 1), len(vocabulary))
-        met = index.covered(codes, edge[searched], edge[searched + 1], ids[searched], window)
+        met = index.matching(codes, edge[searched], edge[searched + 1], ids[searched]) >= window
         for i in searched:
             own = np.flatnonzero(np.diff(met[edge[i] : edge[i + 1]].astype(np.int8), prepend=0, append=0))
             for a, b in zip(own[::2].tolist(), own[1::2].tolist(), strict=True):
