@@ -19,6 +19,8 @@ from tidemill.llm._words import mix
 FAN = 16
 #: Vectors that a coarse cell should hold on average, and rows of either side in one block.
 CELL, BLOCK = 48, 1024
+#: Pairs, times lines, whose collisions are counted at once.
+AT_ONCE = 1 << 20
 #: Projections whose collisions are counted, and the share of them in which a pair at the threshold collides.
 LINES, HIT = 32, 0.9
 
@@ -45,15 +47,16 @@ class Plan:
         chance = [math.comb(LINES, k) * HIT**k * (1 - HIT) ** (LINES - k) for k in range(LINES + 1)]
         self.count = max(k for k in range(LINES + 1) if sum(chance[k:]) >= recall)
 
-    def cells(self, unit: np.ndarray) -> np.ndarray:
-        """Coarse cell of each vector in each table."""
-        out = np.zeros((len(unit), self.tables), np.uint64)
-        for t in range(self.tables):
-            code = np.full(len(unit), t, np.uint64)
-            for d in self.coarse[t]:
-                code = code * np.uint64(2 * FAN) + _nearest(unit @ d).astype(np.uint64)
-            out[:, t] = mix(code + np.uint64(unit.shape[1] << 48))
-        return out.view(np.int64)
+    def cells(self, unit: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """Coarse cell of each vector in each table, or in the first few."""
+        tables = self.tables if tables is None else tables
+        coarse = self.coarse[:tables]
+        projected = unit @ coarse.transpose(2, 0, 1, 3).reshape(unit.shape[1], -1)
+        nearest = _nearest(projected.reshape(-1, FAN)).astype(np.uint64).reshape(len(unit), tables, -1)
+        code = np.tile(np.arange(tables, dtype=np.uint64), (len(unit), 1))
+        for d in range(nearest.shape[2]):
+            code = code * np.uint64(2 * FAN) + nearest[:, :, d]
+        return mix(code + np.uint64(unit.shape[1] << 48)).view(np.int64)
 
 
 def _normal_bound(share: float) -> float:
@@ -83,15 +86,23 @@ def _unit(rows: list[np.ndarray]) -> np.ndarray:
 
 
 def collisions(asking: np.ndarray, told: np.ndarray, window: float) -> np.ndarray:
-    """On how many lines each of told lies within the window around each of asking: both by row, lines by column."""
-    counts = np.zeros(len(asking) * len(told), np.int32)
-    for k in range(asking.shape[1]):
-        order = np.argsort(told[:, k], kind="stable")
-        line = told[order, k]
-        low = np.searchsorted(line, asking[:, k] - window, "left")
-        n = np.searchsorted(line, asking[:, k] + window, "right") - low
+    """On how many lines each of told lies within the window around each of asking: both by row, lines by column.
+
+    Sorted lines are laid behind one another, so that several are searched at once.
+    """
+    pairs, counts = len(asking) * len(told), np.zeros(len(asking) * len(told), np.int64)
+    reach = max(np.abs(asking).max(initial=0), np.abs(told).max(initial=0)) + window
+    step = max(1, AT_ONCE // max(1, pairs))
+    for k in range(0, asking.shape[1], step):
+        ask, line = asking[:, k : k + step].T, told[:, k : k + step].T
+        order = np.argsort(line, axis=1, kind="stable")
+        behind = (2 * reach + 1) * np.arange(len(line))[:, None]
+        line = (np.take_along_axis(line, order, 1) + behind).ravel()
+        low = np.searchsorted(line, (ask - window + behind).ravel(), "left")
+        n = np.searchsorted(line, (ask + window + behind).ravel(), "right") - low
         place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        counts[np.repeat(np.arange(len(asking)) * len(told), n) + order[place]] += 1
+        row = np.repeat(np.tile(np.arange(len(asking)) * len(told), len(ask)), n)
+        counts += np.bincount(row + order.ravel()[place], minlength=pairs)
     return counts.reshape(len(asking), len(told))
 
 
@@ -168,7 +179,7 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
         once = a < b if low == high else a != b
         a, b = a[once], b[once]
         if nth:
-            before = plan.cells(unit)[:, :nth]
+            before = plan.cells(unit, nth)
             apart = np.ones(len(a), bool)
             for t in range(nth):
                 apart &= before[a, t] != before[b, t]
