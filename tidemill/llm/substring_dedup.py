@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import Slice, slices, stored, table
+from tidemill.llm._spark import Slice, give_back_memory, slices, stored, table
 from tidemill.llm._words import NOT_SPACE, _power_tables, grams, hashes, mix, spans
 from tidemill.llm.fm_index import FMIndex
 
@@ -138,6 +138,7 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
 
 def _search(group: pa.Table, window: int) -> pa.Table:
     """Word ranges of the pieces to be searched for that stand in an indexed piece of a lesser id."""
+    give_back_memory()
     text = group.column("text").combine_chunks()
     ids, role = group.column("id").to_numpy(), group.column("role").to_numpy()
     begins = group.column("begin").to_numpy()
@@ -146,9 +147,9 @@ def _search(group: pa.Table, window: int) -> pa.Table:
     indexed = (role & 1) > 0
     np.minimum.at(least, code[indexed], ids[indexed])
     first = np.unique(code, return_index=True)[1]
-    lengths = np.array([len(x) for x in text.to_pylist()], np.int64)
-    offsets = np.append(0, np.cumsum(lengths))
-    data = np.frombuffer(b"".join(text.to_pylist()), np.uint8)
+    raw = text.to_pylist()
+    offsets = np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
     begin, end, counts = spans(data, offsets, NOT_SPACE)
     word, edge = hashes(data, begin, end), np.append(0, np.cumsum(counts))
     chosen = first[least[code[first]] < np.iinfo(np.int64).max]
