@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemill.plans import aggregates, relational, scalars
+from tidemill.plans import aggregates, corpus, relational, scalars
 from tidemill.streaming import events
 
-QUERIES = {**relational.QUERIES, **aggregates.QUERIES, **scalars.QUERIES, **events.QUERIES}
-SQL = {**relational.SQL, **aggregates.SQL, **scalars.SQL, **events.SQL}
+QUERIES = {**relational.QUERIES, **aggregates.QUERIES, **scalars.QUERIES, **corpus.QUERIES, **events.QUERIES}
+SQL = {**relational.SQL, **aggregates.SQL, **scalars.SQL, **corpus.SQL, **events.SQL}

@@ -36,6 +36,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: the lineage is cut, and a later join may split a skewed key."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def round_trip(df: DataFrame, kind: str, partition_by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """Write df as `kind` (csv, json, orc, parquet, text) and read it back with its schema.
 
