@@ -370,6 +370,20 @@ def test_language_sample_is_bounded(spark):
     assert language_id._drawn_words(docs.select(F.col("doc_id").alias("id"), "text", "lang"), 3000, 500)[1].agg(F.sum(F.octet_length("word"))).first()[0] <= 500
 
 
+def test_many_languages(spark):
+    """More languages than are summed at once, and more than some words are held for; one at a time gives the same."""
+    rng = np.random.default_rng(31)
+    texts = [(k, " ".join("".join(rng.choice(list("abcdefghijklmnop"[k % 12 : k % 12 + 5]), 4)) for _ in range(30)), f"l{k % 40:02}") for k in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    alone = language_id.fit(docs.where("lang IN ('l03', 'l17')"))
+    assert len(model.languages) == 40 and np.allclose(model.chance[:, [3, 17]], alone.chance) and np.allclose(model.chance.sum(0), 1)
+    got = rows(language_id.predict(docs, model))
+    assert sum(r["lang_pred"] == texts[r["doc_id"]][2] for r in got) > 110
+    with pytest.raises(ValueError):
+        language_id.predict(docs.withColumn("score", F.lit(1)), model, keep=("score",))
+
+
 def test_leaks(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve"), (2, None), (3, ""), (4, "short item"), (4, "short item"), (None, "x y z")], "item_id long, text string")
     docs = [(1, "so ONE, two; three four five sex seven eight nine ten eleven twelve end"), (2, "one two"), (3, None), (4, "a short-item here"), (4, "a short-item here"), (None, "short item")]

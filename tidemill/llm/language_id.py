@@ -8,14 +8,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import slices, table
+from tidemill.llm._spark import give_back_memory, slices, table
 from tidemill.llm._words import LOWER, NOT_SPACE, hashes, spans, stretch_hashes, totals
 
-#: Words of one lattice.
-BLOCK = 8192
+#: Words of one lattice, languages whose sums are made at once, and numbers held for words met of late or summed at once.
+BLOCK, AT_ONCE, HELD = 8192, 16, 1 << 20
+#: What is added to a piece's expected count.
+SMOOTHING = 0.01
 
 
 def default_vocabulary() -> str:
@@ -111,13 +114,14 @@ class Lattice:
         self.end = (self.begin + length).astype(np.int32)
         self.ahead = Sweep(self.begin, self.end, self.end - self.first[self.word], piece)
 
-    def _sums(self, sweep: Sweep, seeds: np.ndarray, chance: np.ndarray, sign: int) -> tuple[np.ndarray, np.ndarray]:
+    def _sums(self, sweep: Sweep, seeds: np.ndarray, chance: np.ndarray, sign: int, piece: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Sums by node, outward from seeds, and logarithms of the scales by string and number of scalings."""
         sums, scales = np.zeros((self.nodes, chance.shape[1])), np.zeros((int(self.scale[-1]), chance.shape[1]))
         sums[seeds] = 1
+        piece = sweep.piece if piece is None else piece
         for step in range(len(sweep.edge) - 1):
             a, b, g, h = sweep.edge[step], sweep.edge[step + 1], sweep.group[step], sweep.group[step + 1]
-            each = sums.take(sweep.source[a:b], 0) * chance.take(sweep.piece[a:b], 0)
+            each = sums.take(sweep.source[a:b], 0) * chance.take(piece[a:b], 0)
             sums[sweep.target[g:h]] = np.add.reduceat(each, sweep.head[g:h] - a, axis=0)
             if (step + 1) % self.every == 0:
                 nth = (step + 1) // self.every
@@ -128,9 +132,9 @@ class Lattice:
                 scales[self.scale[on] + nth] = scales[self.scale[on] + nth - 1] + np.log(most)
         return sums, scales
 
-    def logs(self, chance: np.ndarray) -> np.ndarray:
-        """Logarithm of the sum over all segmentations of each string, by language."""
-        sums, scales = self._sums(self.ahead, self.first, chance, 1)
+    def logs(self, chance: np.ndarray, piece: np.ndarray | None = None) -> np.ndarray:
+        """Logarithm of the sum over all segmentations of each string, by language. piece: the row of chance for each edge, where chance has not all pieces."""
+        sums, scales = self._sums(self.ahead, self.first, chance, 1, piece)
         return np.log(np.maximum(sums[self.first + self.size], 1e-300)) + scales[self.scale[:-1] + self.scaled]
 
     def expected(self, chance: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -158,25 +162,46 @@ def spaced(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nda
 
 
 class Model:
-    """Piece probabilities for each language."""
+    """Piece probabilities for each language: those of the pieces met in it, sorted by piece, and one for all others."""
+
+    def __init__(self, path: str, languages: list[str], size: int, other: np.ndarray, piece: np.ndarray, language: np.ndarray, chance: np.ndarray) -> None:
+        order = np.argsort(piece, kind="stable")
+        self.path, self.languages, self.size, self.other = path, languages, size, other
+        self.piece, self.language, self.met = piece[order], language[order], chance[order]
+
+    def rows(self, pieces: np.ndarray) -> np.ndarray:
+        """Probabilities of some pieces by language."""
+        out = np.tile(self.other, (len(pieces), 1))
+        low = np.searchsorted(self.piece, pieces, "left")
+        n = np.searchsorted(self.piece, pieces, "right") - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(pieces)), n), self.language[at]] = self.met[at]
+        return out
 
-    def __init__(self, path: str, languages: list[str], chance: np.ndarray) -> None:
-        self.path, self.languages, self.chance = path, languages, chance
+    @property
+    def chance(self) -> np.ndarray:
+        """Probabilities of all pieces by language."""
+        return self.rows(np.arange(self.size))
 
     def word_scores(self, pieces: Pieces, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Log probability of each word in each language."""
         out = np.empty((len(begin), len(self.languages)))
         for low in range(0, len(begin), BLOCK):
-            out[low : low + BLOCK] = Lattice(pieces, *spaced(data, begin[low : low + BLOCK], end[low : low + BLOCK])).logs(self.chance)
+            lattice = Lattice(pieces, *spaced(data, begin[low : low + BLOCK], end[low : low + BLOCK]))
+            own, which = np.unique(lattice.ahead.piece, return_inverse=True)
+            rows = self.rows(own)
+            for k in range(0, len(self.languages), AT_ONCE):
+                out[low : low + BLOCK, k : k + AT_ONCE] = lattice.logs(rows[:, k : k + AT_ONCE], which)
         return out
 
 
-def _drawn_words(rows: DataFrame, docs_per_language: int, bytes_per_language: int) -> tuple[list[str], DataFrame]:
-    """Languages, and the words (lang, word, count) of documents drawn for each."""
+def _drawn_words(rows: DataFrame, docs_per_language: int, bytes_per_language: int, bytes_in_all: int = 32 << 20) -> tuple[list[str], DataFrame]:
+    """Languages, and the words (lang, word, count) of documents drawn for each, a language's share of bytes_in_all at most."""
     sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()}
     languages = sorted(sizes)
     if not languages:
         return [], rows
+    bytes_per_language = min(bytes_per_language, bytes_in_all // len(languages))
     parts = {lang: min(1.0, docs_per_language / r["n"], bytes_per_language / max(r["bytes"], 1)) for lang, r in sizes.items()}
     share = F.create_map(*[F.lit(x) for lang in languages for x in (lang, parts[lang])])
     drawn = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
@@ -187,36 +212,43 @@ def _drawn_words(rows: DataFrame, docs_per_language: int, bytes_per_language: in
 
 
 def fit(
-    docs: DataFrame, vocabulary: str | None = None, docs_per_language: int = 250, rounds: int = 3, bytes_per_language: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+    docs: DataFrame, vocabulary: str | None = None, docs_per_language: int = 250, rounds: int = 3, bytes_per_language: int = 2 << 20, bytes_in_all: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
     """Learn from about docs_per_language documents of each language, drawn by a hash of id and text.
 
-    About bytes_per_language of text are drawn at most, and of their distinct words the most frequent that come to
-    as many bytes; this bounds the word list that comes to the driver. Rows whose language or text is null teach nothing;
+    About bytes_per_language of text are drawn at most, or the language's share of bytes_in_all where that is less, and of
+    their distinct words the most frequent that come to as many bytes; this bounds the word list that comes to the
+    driver. Languages are fitted one by one, and of each only the pieces met in it are kept. Rows whose language or text is null teach nothing;
     without other rows the model knows no language.
     """
     path = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    languages, words = _drawn_words(rows, docs_per_language, bytes_per_language)
+    languages, words = _drawn_words(rows, docs_per_language, bytes_per_language, bytes_in_all)
     pieces = Pieces(path)
-    if not languages:
-        return Model(path, [], np.zeros((pieces.size, 0)))
-    found = words.toPandas()
-    codes, texts = found["word"].factorize()
-    weight = np.zeros((len(texts), len(languages)))
-    np.add.at(weight, (codes, found["lang"].map(languages.index).to_numpy(dtype=np.int64)), found["count"])
-    blocks = []
-    for low in range(0, len(texts), BLOCK):
-        raw = [w.encode() for w in texts[low : low + BLOCK]]
-        size = np.array([len(w) for w in raw], np.int64)
-        ends = np.cumsum(size)
-        blocks.append((Lattice(pieces, *spaced(LOWER[np.frombuffer(b"".join(raw), np.uint8)], ends - size, ends)), weight[low : low + BLOCK]))
-    del found, texts, codes
-    chance = np.full((pieces.size, len(languages)), 1 / pieces.size)
-    for _ in range(rounds):
-        counts = sum((lattice.expected(chance, own) for lattice, own in blocks), np.full(chance.shape, 0.01))
-        chance = counts / counts.sum(0)
-    return Model(path, languages, chance)
+    found = words.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")]) if languages else None
+    place: dict[str, tuple[int, int]] = {}
+    for x in pc.value_counts(found.column("lang")).to_pylist() if languages else []:
+        place[x["values"]] = (sum(place[last]) if place else 0, x["counts"])
+        last = x["values"]
+    other, met = np.zeros(len(languages)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for k, lang in enumerate(languages):
+        blocks = []
+        for batch in found.slice(*place.get(lang, (0, 0))).to_batches(BLOCK):
+            raw = [w.encode() for w in batch.column("word").to_pylist()]
+            size = np.array([len(w) for w in raw], np.int64)
+            ends = np.cumsum(size)
+            blocks.append((Lattice(pieces, *spaced(LOWER[np.frombuffer(b"".join(raw), np.uint8)], ends - size, ends)), batch.column("count").to_numpy().astype(float)[:, None]))
+        chance = np.full((pieces.size, 1), 1 / pieces.size)
+        for _ in range(rounds):
+            counts = sum((lattice.expected(chance, weight) for lattice, weight in blocks), np.full(chance.shape, SMOOTHING))
+            chance = counts / counts.sum(0)
+        seen = np.flatnonzero(counts[:, 0] != SMOOTHING) if rounds else np.zeros(0, np.int64)
+        other[k] = SMOOTHING / counts.sum() if rounds else 1 / pieces.size
+        met.append((seen, np.full(len(seen), k), chance[seen, 0]))
+    model = Model(path, languages, pieces.size, other, *(np.concatenate(x) for x in zip(*met, strict=True)))
+    del found, met
+    give_back_memory()
+    return model
 
 
 @lru_cache(maxsize=2)
@@ -228,32 +260,38 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """id_col, the columns in keep, lang_pred and score (the share of lang_pred in the summed likelihood).
 
     A text that is null or holds no letter, and any text where no language was learned,
-    gets `und` and score 0. Of equally likely languages the first by name is given.
+    gets `und` and score 0. Of equally likely languages the first by name is given. A kept column named lang_pred or
+    score raises ValueError.
     """
     kept = list(dict.fromkeys([id_col, *keep]))
+    if {"lang_pred", "score"} & set(kept):
+        raise ValueError("a kept column may not be named lang_pred or score")
     letters = docs.select(*dict.fromkeys([*kept, text_col]), F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False)).alias("has_letter__"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", lang_pred string, score double"
     names = [*model.languages, "und"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, width = _pieces(model.path), len(model.languages)
-        # the words met of late: a slot for each of 2**17 values of the hash's high bits
-        met, scores = np.zeros(1 << 17, np.uint64), np.zeros((1 << 17, width))
+        # the words met of late: a slot for each value of the hash's high bits
+        bits = min(17, (HELD // max(1, width)).bit_length() - 1)
+        met, scores = np.zeros(1 << bits, np.uint64), np.zeros((1 << bits, width))
         for part in slices(batches, text_col):
             data = LOWER[part.data]
             begin, end, counts = spans(data, part.offsets, NOT_SPACE)
-            hashed = hashes(data, begin, end)
-            slot = hashed >> np.uint64(47)
-            each = scores[slot]
-            new = np.flatnonzero(met[slot] != hashed)
-            if len(new) and width:
-                _, first, which = np.unique(hashed[new], return_index=True, return_inverse=True)
-                own = model.word_scores(pieces, data, begin[new[first]], end[new[first]])
-                each[new] = own[which]
-                met[slot[new[first]]], scores[slot[new[first]]] = hashed[new[first]], own
-            total = np.vstack([np.zeros((1, width)), np.cumsum(each, axis=0)])
-            edge = np.append(0, np.cumsum(counts))
-            likely = total[edge[1:]] - total[edge[:-1]]
+            hashed, of = hashes(data, begin, end), np.repeat(np.arange(len(part)), counts)
+            likely = np.zeros((len(part), width))
+            for low in range(0, len(begin) if width else 0, max(1, HELD // max(1, width))):
+                some = slice(low, low + HELD // width)
+                slot = (hashed[some] >> np.uint64(64 - bits)).astype(np.int64)
+                each = scores[slot]
+                new = np.flatnonzero(met[slot] != hashed[some])
+                if len(new):
+                    _, first, which = np.unique(hashed[some][new], return_index=True, return_inverse=True)
+                    own = model.word_scores(pieces, data, begin[some][new[first]], end[some][new[first]])
+                    each[new] = own[which]
+                    met[slot[new[first]]], scores[slot[new[first]]] = hashed[some][new[first]], own
+                head = np.flatnonzero(np.diff(of[some], prepend=-1))
+                likely[of[some][head]] += np.add.reduceat(each, head, axis=0)
             sure = part.rows.column(part.rows.schema.get_field_index("has_letter__")).to_numpy(zero_copy_only=False).astype(bool)
             best = np.full(len(part), width)
             score = np.zeros(len(part))
