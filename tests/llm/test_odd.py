@@ -370,6 +370,26 @@ def test_language_sample_is_bounded(spark):
     assert language_id._drawn_words(docs.select(F.col("doc_id").alias("id"), "text", "lang"), 3000, 500)[1].agg(F.sum(F.octet_length("word"))).first()[0] <= 500
 
 
+@pytest.mark.parametrize(("block", "cell"), [(1024, 48), (16, 48), (16, 4)])
+def test_vectors_with_null_and_repeated_ids(spark, monkeypatch, block, cell):
+    """Links are those of rows: null ids, one id with two vectors, equal vectors of several ids, and cells of many blocks."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    monkeypatch.setattr(embedding_dedup, "CELL", cell)
+    rng = np.random.default_rng(41)
+    centres = rng.normal(size=(9, 10))
+    made = [(int(k) if k % 7 else None, [float(x) for x in centres[k % 9] + rng.normal(size=10) * 0.25 * (k % 4)]) for k in range(240)]
+    made += [(1, [1.0] + [0.0] * 9), (1, [1.0, 0.1] + [0.0] * 8), (1, [0.0, 0.0, -1.0] + [0.0] * 7), (500, made[0][1]), (None, made[1][1]), (None, None), (2, None), (None, [0.0] * 10)]
+    ids, unit = [i for i, _ in made], np.array([np.array(v) / max(np.linalg.norm(v), 1e-9) if v else np.zeros(10) for _, v in made])
+    near = (unit @ unit.T >= 0.9) & ~np.eye(len(ids), dtype=bool)
+    group = np.arange(len(ids))
+    for _ in ids:
+        group = np.minimum(group, np.where(near, group[None], len(ids)).min(1))
+    least = {g: min((i for i, h in zip(ids, group, strict=True) if h == g and i is not None), default=None) for g in set(group.tolist())}
+    want = [(i, int(near[k].sum()), least[int(group[k])], i is not None and i == least[int(group[k])]) for k, i in enumerate(ids)]
+    got = embedding_dedup.near_duplicate_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>"))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
 def test_many_languages(spark):
     """More languages than are summed at once, and more than some words are held for; one at a time gives the same."""
     rng = np.random.default_rng(31)

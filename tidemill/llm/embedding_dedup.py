@@ -123,8 +123,9 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
 
     Pairs found with a cosine of at least threshold, in double precision, are linked. Vectors
     that are null, empty or nought, or hold a null or non-finite component, link with
-    nothing, nor do vectors of different lengths. Equal vectors count once and are linked with
-    each other. component_id is the least id reachable; kept marks the row that bears it.
+    nothing, nor do vectors of different lengths. Equal vectors are compared once and are linked with
+    each other. component_id is the least id reachable, null where only null ids are; kept marks the rows that bear it.
+    Ids may be null or repeated: links are those of rows, whatever their ids. Other columns are left out.
 
     Vectors meet in coarse cells of several tables. In a cell, the projections on LINES random
     lines are sorted, and the pairs within a window around each vector counted over all
@@ -137,7 +138,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
     plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(usable, numbers).alias("v"))
     keyed = plain.withColumn("key", F.when(F.col("v").isNotNull(), F.md5(F.array_join(F.transform("v", lambda x: F.hex(F.xxhash64(x + 0.0))), "").cast("binary"))))
     made = stored(keyed.select("id", "key", "v"))
-    classes = stored(made.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.min_by("v", "id").alias("v")))
+    equal = made.where("key IS NOT NULL").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = stored(equal.withColumn("id", F.monotonically_increasing_id()))  # numbers of classes, the same ever after as they are written
     depths = {r["size"]: max(1, round(math.log(max(r["n"] / CELL, 1)) / math.log(2 * FAN))) for r in classes.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).collect()}
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,10 +200,12 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9, recall: f
     found = stored(pairs.groupBy("cell", "low", "high").applyInArrow(compare, "id long, links long, root long"))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     groups = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    known = classes.select("key", "id", "n").join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    known = stored(known.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")))
+    known = classes.select("key", "id", "n", "least").join(links, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
+    known = stored(known.select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component"), "least"))
+    least = stored(known.groupBy("component").agg(F.min("least").alias("component_id")))
+    known = stored(known.join(least, "component").select("key", "n_links", "component_id"))
     out = made.select("id", "key").join(known, "key", "left")
-    component = F.coalesce("component_id", "id")
+    component = F.when(F.col("n_links").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
