@@ -36,6 +36,8 @@ def test_licenses_base_against_plain_search(spark, texts):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == want
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == bool(r["labels"])
+        spans = [x.split(":") for x in r["found"].split(",") if x]
+        assert all(label in r["labels"].split(",") and 0 <= int(a) < int(b) <= len(texts[r["doc_id"]].encode()) and int(n) >= 0 for label, a, b, n in spans)
 
 
 def test_packing_keeps_every_id_once(spark, texts):

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.llm._spark import slices, table
 from tidemill.llm._words import ALNUM, LOWER, hashes, spans
@@ -185,4 +186,5 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents")).drop("found")
+    each = F.transform("found", lambda f: F.concat_ws(":", f["label"], f["start_byte"].cast("string"), f["end_byte"].cast("string"), f["edits"].cast("string")))
+    return scan_licenses(table(spark, sf_dir, "documents")).withColumn("found", F.array_join(each, ","))
