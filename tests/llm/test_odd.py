@@ -460,6 +460,28 @@ def test_leaks_with_edited_characters_against_brute_force(spark, share):
     assert len(want) >= 50 and got == want
 
 
+@pytest.mark.parametrize("spread", ["even", "spaces", "deleted"])
+def test_leaks_by_pieces_miss_nothing_however_edits_are_spread(spark, spread):
+    """Edits at even distances, lost spaces and lost characters: as many as may be."""
+    rng = np.random.default_rng(51)
+    prose = lambda n: " ".join("".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(n))
+    items = [prose(int(rng.integers(12, 45))) for _ in range(40)]
+    docs = []
+    for text in items:
+        most, copy = int(0.2 * len(text)), list(text)
+        if spread == "even":
+            for k in range(2, len(copy), 5)[:most]:
+                copy[k] = "z" if copy[k] != "z" else "y"
+        elif spread == "spaces":
+            copy = list(text.replace(" ", "", most))
+        else:
+            copy = [c for k, c in enumerate(copy) if k % 5 != 3 or k // 5 >= most]
+        docs.append(f"{prose(60)} {''.join(copy)} {prose(60)}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = rows(decontamination.find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench, all_by_pieces=True))
+    assert {(k, k) for k in range(40)} <= {(r["doc_id"], r["item_id"]) for r in got}
+
+
 @pytest.mark.parametrize("kind", ["short words", "no spaces"])
 def test_leaks_finds_exact_copies(spark, kind):
     """Without an item of few words, and of one word inside a longer one."""

@@ -67,10 +67,10 @@ def keys(text: np.ndarray, begin: np.ndarray, walk: int, seen: list[Seen] | None
 
 
 def shares_met(texts: list[np.ndarray], edit_share: float, trials: int = 200) -> np.ndarray:
-    """For each level, the share of an item's beginnings of which a copy with edit_share of random edits has a key of some walk too."""
+    """For each level, the share of an item's beginnings of which a copy with edit_share of random edits has a key of some walk too; of many items some from everywhere among them are tried."""
     rng, met, every = np.random.default_rng(3), np.zeros(len(LEVELS)), 0
     for trial in range(trials):
-        item = texts[trial % len(texts)]
+        item = texts[trial * len(texts) // trials if len(texts) > trials else trial % len(texts)]
         copy = item.tolist()
         for _ in range(int(edit_share * len(item))):
             at, kind = int(rng.integers(0, len(copy))), int(rng.integers(0, 3))

@@ -155,7 +155,7 @@ class Pieces:
         self.keys, self.first = np.unique(keys[order], return_index=True)
         self.first = np.append(self.first, len(keys))
         self.item, self.at = item[order], place[order]
-        self.bits = np.uint64(max(10, (16 * len(self.keys)).bit_length()))
+        self.bits = np.uint64(max(10, (64 * len(self.keys)).bit_length()))
         self.seen = np.zeros(1 << int(self.bits), bool)
         self.seen[self.keys >> (np.uint64(64) - self.bits)] = True
 
@@ -229,10 +229,10 @@ class Items:
     An item's embedding is that of walks from each of its beginnings (a single walk over the whole item would lose
     step after a few edits). A window of the item's size must meet some number of its beginnings: the longest keys, and
     with them the largest number, that reach the recall wanted on passages with edit_share of random edits, by
-    simulation. Items with too few beginnings for that are looked for by their pieces, those without room for any edit as they are.
+    simulation. Items with too few beginnings for that are looked for by their pieces, with all_by_pieces all others too, those without room for any edit as they are.
     """
 
-    def __init__(self, rows: list[tuple[int, str]], edit_share: float, recall: float) -> None:
+    def __init__(self, rows: list[tuple[int, str]], edit_share: float, recall: float, all_by_pieces: bool = False) -> None:
         raw = [(text or "").encode() for _, text in rows]
         data, first, edge = normal(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(x) for x in raw], dtype=np.int64)))
         self.ids, self.size = [i for i, _ in rows], np.diff(edge)
@@ -242,9 +242,9 @@ class Items:
         self.plain = np.flatnonzero((self.length > 0) & (self.most == 0)).tolist()
         edited = np.flatnonzero(self.most > 0).tolist()
         begins = {i: cgk.starts(self.texts[i], first[edge[i] : edge[i + 1] + 1] - first[edge[i]]) for i in edited}
-        met = cgk.shares_met([self.texts[i] for i in edited], edit_share).tolist() if edited else []
+        met = cgk.shares_met([self.texts[i] for i in edited], edit_share).tolist() if edited and not all_by_pieces else []
         self.need, level = np.zeros(len(rows), np.int64), {}
-        for i in edited:
+        for i in [] if all_by_pieces else edited:
             for k, share in enumerate(met):
                 # walks that surely end inside the item, all of which an exact copy meets
                 whole = int((begins[i] + cgk.LEVELS[k] <= self.length[i]).sum())
@@ -397,14 +397,16 @@ def _find(docs: DataFrame, items: Items, id_col: str, text_col: str) -> DataFram
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, edits long, first_word long, end_word long, likeness double")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", all_by_pieces: bool = False) -> DataFrame:
     """id_col, item_id, edits, first_word, end_word and likeness for each document that holds a benchmark item.
 
     Words are runs of ASCII letters and digits (A-Z lower-cased) and of bytes beyond ASCII. A document
     holds an item when some part of its words, one space between them, is within edit_share of
-    the item's bytes in edits; likeness is 1 less that share. Of several places the best is given.
+    the item's bytes in edits; likeness is 1 less that share. Of several places the best is given, of equally good ones the first.
     Candidates come from keys of random walks, enough of them to find a passage with edit_share of random edits with a
     chance of recall (one with less edits more surely, an exact copy always), or from pieces of short items, which miss nothing.
+    Edits that aren't random, such as one every five bytes, may spoil all of a passage's keys; with all_by_pieces no passage within edit_share is missed,
+    however its edits are spread, at about twice the time. Other columns of docs are left out.
     Items of no words are never found; null
     and empty texts hold none. Rows that repeat give their pairs as often. The benchmark is looked for
     in blocks of about BLOCK_BYTES, one scan of docs each.
@@ -415,7 +417,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, edit_share: float = 0.2, r
     found = None
     for block in range(blocks):
         own = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).dropDuplicates(["id"]).orderBy("id").collect()
-        part = _find(docs, Items([(r["id"], r["text"]) for r in own], edit_share, recall), id_col, text_col)
+        part = _find(docs, Items([(r["id"], r["text"]) for r in own], edit_share, recall, all_by_pieces), id_col, text_col)
         found = part if found is None else found.union(part)
     return found
 
