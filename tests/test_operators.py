@@ -3,11 +3,13 @@ from __future__ import annotations
 import datetime as dt
 
 import pytest
+from compare import DATA
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemill.operators.joins import asof_join, interval_join, salted_join, top_per_group
+from tidemill.plans.registry import QUERIES
 from tidemill.sources.ranges import register
 from tidemill.sources.tables import round_trip
 
@@ -25,9 +27,9 @@ def frame(spark, rows):
 
 
 @QUICK
-@given(left=ROWS, right=ROWS)
-def test_asof_join_against_plain(spark, left, right):
-    got = asof_join(frame(spark, left), frame(spark, right), "key", "ts", "ts", {"ts": "before"})
+@given(left=ROWS, right=ROWS, bucket=st.sampled_from([None, 1, 10, 1000]))
+def test_asof_join_against_plain(spark, left, right, bucket):
+    got = asof_join(frame(spark, left), frame(spark, right), "key", "ts", "ts", {"ts": "before"}, bucket)
     want = []
     for k, (key, s) in enumerate(left):
         earlier = [r for own, r in right if own == key and r <= s]
@@ -60,10 +62,15 @@ def test_formats_keep_rows(spark, kind):
     assert sorted(map(tuple, round_trip(df, kind).collect())) == sorted(map(tuple, df.collect()))
 
 
-def test_custom_source_reads_every_part(spark):
+def test_custom_source_reads_every_part(spark, tmp_path):
     register(spark)
-    assert [r["square"] for r in spark.read.format("squares").option("rows", 11).option("parts", 3).load().orderBy("n").collect()] == [n * n for n in range(11)]
-    assert not spark.read.format("squares").option("rows", 0).load().collect()
+    spark.range(101).select("id", (F.col("id") % 4).cast("string").alias("kind")).repartition(3).write.option("parquet.block.size", "64").parquet(str(tmp_path / "in"))
+    read = spark.read.format("stretches").option("path", str(tmp_path / "in")).option("rows", 7).schema("kind string, id long").load()
+    assert sorted(r["id"] for r in read.collect()) == [*range(101)] and read.rdd.getNumPartitions() >= 15
+    some = read.where("kind = '3' AND id > 50")
+    assert sorted(r["id"] for r in some.collect()) == [k for k in range(51, 101) if k % 4 == 3]
+    spark.range(0).select("id", F.lit("x").alias("kind")).write.parquet(str(tmp_path / "none"))
+    assert not spark.read.format("stretches").option("path", str(tmp_path / "none")).schema("kind string, id long").load().collect()
 
 
 def test_late_rows_are_left_out_and_others_counted(spark, tmp_path):
@@ -77,3 +84,8 @@ def test_late_rows_are_left_out_and_others_counted(spark, tmp_path):
     query = counted.writeStream.outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).foreachBatch(lambda b, _: out.extend(b.collect())).start()
     query.awaitTermination()
     assert {(r["window"]["start"], r["n"]) for r in out} == {(at(0), 1), (at(7200), 2), (at(10800), 1)}
+
+
+def test_hints_choose_the_joins(spark):
+    plan = QUERIES["join_hints"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert all(plan.count(x) == 1 for x in ("SortMergeJoin", "ShuffledHashJoin", "BroadcastHashJoin"))

@@ -23,6 +23,24 @@ def spread(value: pd.Series) -> float:
     return float(value.max() - value.min())
 
 
+@F.pandas_udf(T.DoubleType())
+def lowest(value: pd.Series) -> float:
+    return float(value.min())
+
+
+@F.pandas_udf(T.DoubleType())
+def highest(value: pd.Series) -> float:
+    return float(value.max())
+
+
+def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Least and largest value (columns low and high) of each key (first column) in each batch."""
+    for batch in batches:
+        key = batch.schema.names[0]
+        got = pa.Table.from_batches([batch]).group_by(key).aggregate([("value", "min"), ("value", "max")]).select([key, "value_min", "value_max"])
+        yield from got.rename_columns([key, "low", "high"]).to_batches()
+
+
 def above_least(group: pd.DataFrame) -> pd.DataFrame:
     """Values of a group less their least."""
     return group.assign(value=group["value"] - group["value"].min())[["event_id", "user_id", "value"]]

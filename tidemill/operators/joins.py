@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, take: dict[str, str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, take: dict[str, str], bucket_seconds: int | None = None) -> DataFrame:
     """left with columns of the last row of right at or before each left row, within `by`.
 
     take maps columns of right to their new names. Both sides are put in one sorted run per
     key, so it costs one exchange and one sort and no pair is ever built. Left rows without
-    an earlier right row have nulls. Rows of one key are sorted in one task, with spilling.
+    an earlier right row have nulls. Without bucket_seconds the rows of one key are sorted in one task, with spilling; with it, a run is that of a
+    key within a bucket of so many seconds, and the last right row of the buckets before comes along by a window over one row a bucket, so a hot key is spread over its buckets.
     """
     right_row = F.struct(*[F.col(c).alias(n) for c, n in take.items()])
     kept = F.struct(*[F.col(c) for c in left.columns])
@@ -20,8 +21,18 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on
     both = left.select(F.col(by).alias("by__"), F.col(left_on).alias("at__"), F.lit(1).alias("side__"), kept.alias("left__"), F.lit(None).cast(told).alias("right__")).union(
         right.select(F.col(by), F.col(right_on), F.lit(0), F.lit(None).cast(shape), right_row)
     )
-    run = Window.partitionBy("by__").orderBy("at__", "side__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    keys = ["by__"]
+    if bucket_seconds:
+        keys.append("bucket__")
+        both = both.withColumn("bucket__", F.floor(F.unix_micros(F.col("at__").cast("timestamp")) / (bucket_seconds * 1_000_000)))
+    run = Window.partitionBy(*keys).orderBy("at__", "side__").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = both.withColumn("right__", F.last("right__", ignorenulls=True).over(run))
+    if bucket_seconds:
+        last = both.groupBy(*keys).agg(F.max_by("right__", F.when(F.col("side__") == 0, F.col("at__"))).alias("last__"))
+        before = Window.partitionBy("by__").orderBy("bucket__").rowsBetween(Window.unboundedPreceding, -1)
+        carried = last.select(F.col("by__").alias("of__"), F.col("bucket__").alias("in__"), F.last("last__", ignorenulls=True).over(before).alias("carried__"))
+        met = seen.where("side__ = 1").join(carried, F.col("by__").eqNullSafe(F.col("of__")) & F.col("bucket__").eqNullSafe(F.col("in__")))
+        seen = met.withColumn("right__", F.coalesce("right__", "carried__"))
     return seen.where("side__ = 1").select("left__.*", *[F.col(f"right__.{n}").alias(n) for n in take.values()])
 
 

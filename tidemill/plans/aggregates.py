@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.sources.tables import load, views
+from tidemill.operators.frames import groups_frame, running_sum
+from tidemill.operators.quantiles import exact_quantiles
+from tidemill.sources.tables import load, stored, views
 
 
 def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,9 +30,9 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact quantiles, by sorting values within their group."""
-    views(spark, sf_dir, "events")
-    return spark.sql("SELECT event_type, round(percentile_cont(0.5) WITHIN GROUP (ORDER BY value), 6) AS middle, round(percentile_cont(0.9) WITHIN GROUP (ORDER BY value), 6) AS high FROM events GROUP BY event_type")
+    """Exact quantiles: a sketch brackets them, and what lies within the brackets is ranked."""
+    got = exact_quantiles(load(spark, sf_dir, "events"), "event_type", "value", [0.5, 0.9])
+    return got.select("event_type", F.round(F.col("q")[0], 6).alias("middle"), F.round(F.col("q")[1], 6).alias("high"))
 
 
 def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,14 +42,54 @@ def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     by a rank of one in 10,000.
     """
     events = load(spark, sf_dir, "events").select("event_type", "user_id", "value")
-    got = events.groupBy("event_type").agg(
-        F.approx_count_distinct("user_id", 0.02).alias("about"), F.countDistinct("user_id").alias("users"), F.percentile_approx("value", 0.5, 10000).alias("m"),
-        F.expr("percentile(value, 0.4999)").alias("low"), F.expr("percentile(value, 0.5001)").alias("high"), F.count("value").alias("n"), F.expr("percentile(value, 0.5)").alias("middle"),
-    )
+    sketched = events.groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.percentile_approx("value", 0.5, 10000).alias("m"))
+    users = events.select("event_type", "user_id").distinct().groupBy("event_type").agg(F.count("user_id").alias("users"))
+    exact = exact_quantiles(events, "event_type", "value", [0.4999, 0.5, 0.5001]).select("event_type", "n", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
+    got = sketched.join(users, "event_type").join(exact, "event_type")
     beside = F.expr("m BETWEEN low AND high OR n < 10000 AND abs(m - middle) <= high - low + 1")
     return got.select("event_type", "users", F.round("middle", 6).alias("middle"), (F.abs(F.col("about") - F.col("users")) <= 0.08 * F.col("users")).alias("users_close"), beside.alias("middle_close"))
 
 
+def grouping_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and their most common status (of equals the first) by priority, by priority and year, and in all, told apart by grouping_id."""
+    views(spark, sf_dir, "orders")
+    return spark.sql("""SELECT o_orderpriority, year(o_orderdate) AS year, cast(grouping_id() AS int) AS level, mode() WITHIN GROUP (ORDER BY o_orderstatus) AS status, count(*) AS n
+        FROM orders GROUP BY ROLLUP (o_orderpriority, year(o_orderdate))""")
+
+
+def stored_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and the median of values in every stretch of seven days, merged from sketches kept by day, beside the exact figures.
+
+    A day's sketches are of bounded size (2**12 registers; 400 values a level) and are written once; a stretch of days reads seven of them and no
+    events. The estimate of users is off by 1.6% (one standard deviation), the median's rank by 1%: within four times that both hold almost surely.
+    """
+    events = load(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "user_id", "value")
+    daily = stored(events.groupBy("day").agg(F.hll_sketch_agg("user_id", 12).alias("users"), F.kll_sketch_agg_double("value", F.lit(400)).alias("values")))
+    stretch = F.explode(F.sequence(F.date_sub("day", 6), F.col("day")))
+    merged = daily.withColumn("begin", stretch).groupBy("begin").agg(F.hll_sketch_estimate(F.hll_union_agg("users")).alias("about"), F.kll_merge_agg_double("values").alias("values"))
+    exact = events.withColumn("begin", stretch)
+    exact = exact.groupBy("begin", "user_id").agg(F.count("*").alias("n")).groupBy("begin").agg(F.count("user_id").alias("users"), F.sum("n").alias("n"))
+    got = merged.select("begin", "about", F.kll_sketch_get_quantile_double("values", F.lit(0.5)).alias("m")).join(exact, "begin")
+    below = events.withColumn("begin", stretch).join(F.broadcast(got.select("begin", "m")), "begin").groupBy("begin").agg(F.sum((F.col("value") < F.col("m")).cast("long")).alias("below"), F.sum((F.col("value") <= F.col("m")).cast("long")).alias("upto"))
+    got = got.join(below, "begin")
+    reach = 0.04 * F.col("n") + 1
+    return got.select("begin", "n", "users", (F.abs(F.col("about") - F.col("users")) <= 0.07 * F.col("users") + 1).alias("users_close"), ((F.col("below") <= 0.5 * F.col("n") + reach) & (F.col("upto") >= 0.5 * F.col("n") - reach)).alias("middle_close"))
+
+
+def group_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the day before, the same day and the day after on which a user did something, with and without the row itself, its day, and the others of its day."""
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", F.to_date("ts").alias("day"), "value")
+    for k, exclude in enumerate(("no others", "current row", "group", "ties")):
+        events = groups_frame(events, "user_id", "day", "value", 1, 1, exclude).withColumnsRenamed({"frame_sum": f"sum_{k}", "frame_count": f"n_{k}"})
+    return events.select("event_id", *[F.round(f"sum_{k}", 4).alias(f"sum_{k}") for k in range(4)], *[f"n_{k}" for k in range(4)])
+
+
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each kind of event has come to so far; each kind is spread over the days."""
+    got = running_sum(load(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value"), "event_type", "ts", "value", 86400)
+    return got.select("event_id", F.round("running", 3).alias("running"))
+
+
 def strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir, "events")
     return spark.sql("SELECT user_id, listagg(DISTINCT event_type, ',') WITHIN GROUP (ORDER BY event_type) AS kinds FROM events GROUP BY user_id")
@@ -105,6 +147,7 @@ QUERIES = {
     "rollup": _sql(_SETS.replace("::INT", "").replace("grouping(event_type)", "cast(grouping(event_type) AS int)").format("ROLLUP (event_type, user_id % 7)"), "events"),
     "filtered_aggregates": filtered, "quantiles": quantiles, "approximate": approximate, "string_aggregates": strings, "pivot": pivot, "unpivot": unpivot, "moments": moments,
     "ranks": ranks, "neighbours": neighbours, "frames": frames, "sessionized": sessionized,
+    "grouping_ids": grouping_ids, "stored_sketches": stored_sketches, "group_frames": group_frames, "running_totals": running_totals,
 }
 
 SQL = {
@@ -129,6 +172,13 @@ SQL = {
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts), a AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "frames": """SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS last_three,
         count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS last_day FROM events""",
+    "grouping_ids": """WITH o AS (SELECT o_orderpriority, year(o_orderdate)::INT AS year, o_orderstatus FROM orders),
+        c AS (SELECT o_orderpriority, year, o_orderstatus, grouping(o_orderpriority, year)::INT AS level, count(*) AS n FROM o GROUP BY GROUPING SETS ((o_orderpriority, year, o_orderstatus), (o_orderpriority, o_orderstatus), (o_orderstatus)))
+        SELECT o_orderpriority, year, level, arg_max(o_orderstatus, n * 1000 - ascii(o_orderstatus)) AS status, sum(n)::BIGINT AS n FROM c GROUP BY ALL""",
+    "stored_sketches": """WITH d AS (SELECT unnest(generate_series(ts::DATE - 6, ts::DATE, INTERVAL 1 DAY))::DATE AS begin, user_id FROM events)
+        SELECT begin, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_close, true AS middle_close FROM d GROUP BY begin""",
+    "group_frames": "SELECT event_id, " + ", ".join(f"round(sum(value) OVER ({f}), 4) AS sum_{k}, count(value) OVER ({f}) AS n_{k}" for k, f in enumerate(f"PARTITION BY user_id ORDER BY ts::DATE GROUPS BETWEEN 1 PRECEDING AND 1 FOLLOWING EXCLUDE {x}" for x in ("NO OTHERS", "CURRENT ROW", "GROUP", "TIES"))) + " FROM events",
+    "running_totals": "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts), 3) AS running FROM events",
     "sessionized": """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
         s AS (SELECT user_id, ts, (sum(new) OVER (PARTITION BY user_id ORDER BY ts))::BIGINT AS session FROM g)
         SELECT user_id, session, count(*) AS n, min(ts) AS begin, max(ts) AS "end" FROM s GROUP BY ALL""",

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.joins import asof_join, interval_join, salted_join, top_per_group
+from tidemill.operators.overlaps import overlap_join
 from tidemill.sources.tables import load, views
 
 
@@ -76,7 +77,7 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = load(spark, sf_dir, "events")
     buys = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
     clicks = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return asof_join(buys, clicks, "user_id", "ts", "ts", {"event_id": "click_id", "ts": "click_ts"})
+    return asof_join(buys, clicks, "user_id", "ts", "ts", {"event_id": "click_id", "ts": "click_ts"}, bucket_seconds=86400)
 
 
 def interval(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +87,25 @@ def interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_join(views_, buys, "user_id", "ts", "ts", 6 * 3600).select("event_id", "user_id", F.col("r_event_id").alias("purchase_id"))
 
 
+def overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Purchases and views of one user whose times overlap: each lasts two to the power of a number in its properties, seconds to years."""
+    events = load(spark, sf_dir, "events")
+    seconds = F.pow(F.lit(2.0), F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(26))).cast("long")
+    spans = events.select("event_id", "user_id", "event_type", F.col("ts").alias("begin"), (F.col("ts") + F.make_dt_interval(secs=seconds)).alias("end"))
+    buys, looks = (spans.where(F.col("event_type") == kind).drop("event_type") for kind in ("purchase", "view"))
+    return overlap_join(buys, looks, "user_id", "begin", "end").select("event_id", "r_event_id")
+
+
+def join_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by segment and nation, each join by a strategy asked for: merged for the two large sides, hashed after an exchange, and nations, 25 at every size, sent to all tasks."""
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    customer = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    items = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("items"))
+    met = orders.join(items.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).join(customer.hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey"))
+    nation = load(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return met.join(nation.hint("broadcast"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("orders"), F.sum("items").alias("items"))
+
+
 def salted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items by brand, the items of a part dealt to eight parts of the join."""
     items = load(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("partkey"), "l_orderkey", "l_linenumber", "l_quantity")
@@ -142,7 +162,7 @@ def piped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "pricing_summary": pricing_summary, "projection": projection, "filters": filters, "shipping_priority": shipping_priority, "nation_volume": nation_volume,
-    "outer_joins": outer_joins, "semi_join": semi_join, "anti_join": anti_join, "band_join": band_join, "asof_join": asof, "interval_join": interval, "salted_join": salted,
+    "outer_joins": outer_joins, "semi_join": semi_join, "anti_join": anti_join, "band_join": band_join, "asof_join": asof, "interval_join": interval, "overlap_join": overlaps, "join_hints": join_hints, "salted_join": salted,
     "sorting": sorting, "top_per_group": top_orders, "set_operations": set_operations, "lateral_subquery": lateral, "recursive_dates": recursive, "piped": piped,
 }
 
@@ -167,6 +187,10 @@ SQL = {
         ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts""",
     "interval_join": """SELECT v.event_id, v.user_id, p.event_id AS purchase_id FROM events v JOIN events p ON v.user_id = p.user_id AND p.ts BETWEEN v.ts AND v.ts + INTERVAL 6 HOUR
         WHERE v.event_type = 'view' AND p.event_type = 'purchase'""",
+    "join_hints": """SELECT n_name, c_mktsegment, count(*) AS orders, sum(items)::BIGINT AS items FROM orders JOIN (SELECT l_orderkey, count(*) AS items FROM lineitem GROUP BY l_orderkey) ON o_orderkey = l_orderkey
+        JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL""",
+    "overlap_join": """WITH s AS (SELECT *, ts + to_seconds(pow(2, (props->>'$.k')::INT % 26)::BIGINT) AS stop FROM events)
+        SELECT p.event_id, v.event_id AS r_event_id FROM s p JOIN s v ON p.user_id = v.user_id AND p.ts < v.stop AND v.ts < p.stop WHERE p.event_type = 'purchase' AND v.event_type = 'view'""",
     "salted_join": "SELECT p_brand, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL",
     "sorting": "SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS balance FROM customer ORDER BY balance DESC NULLS LAST, c_custkey LIMIT 100 OFFSET 100",
     "top_per_group": "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.functions.python import Letters, above_least, matched, positive, spread, squash
+from tidemill.functions.python import Letters, above_least, extremes, highest, lowest, matched, positive, spread, squash
 from tidemill.sources.ranges import register
 from tidemill.sources.tables import load, round_trip
 
@@ -43,12 +43,31 @@ def json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", F.get_json_object("props", "$.k").cast("int").alias("by_path"), F.from_json("props", "k int")["k"].alias("by_schema"), F.expr("variant_get(parse_json(props), '$.k', 'int')").alias("as_variant"))
 
 
+def merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's counts by kind put together with the count of all: maps concatenated, filtered and turned about."""
+    counts = load(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    grouped = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("m"), F.sum("n").alias("n"))
+    both = grouped.withColumn("m", F.map_concat("m", F.create_map(F.lit("all"), "n")))
+    return both.select("user_id", F.size("m").alias("keys"), F.array_join(F.array_sort(F.map_keys(F.map_filter("m", lambda k, n: n * 4 >= F.col("n")))), ",").alias("common"))
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as lines of plain text, partitioned by flag, read again and taken apart."""
+    items = load(spark, sf_dir, "lineitem").select(F.concat_ws("|", "l_orderkey", "l_linenumber", F.round("l_quantity").cast("long")).alias("value"), "l_returnflag")
+    told = F.split("value", "\\|")
+    return round_trip(items, "text", ("l_returnflag",)).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(told[0].cast("long")).alias("orders"), F.sum(told[2].cast("long")).alias("quantity"))
+
+
 def scalar_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "events").select("event_id", F.round(squash("value"), 6).alias("squashed"))
 
 
 def aggregate_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").groupBy("event_type").agg(F.round(spread("value"), 6).alias("spread"))
+    """Spreads by functions over groups: of each batch of rows first, then of parts of what the batches gave, then of the parts, so no function gets a whole group."""
+    partial = load(spark, sf_dir, "events").select("event_type", "value").mapInArrow(extremes, "event_type string, low double, high double")
+    parts = partial.groupBy("event_type", F.pmod(F.xxhash64("low", "high"), F.lit(64)).alias("part")).agg(lowest("low").alias("low"), highest("high").alias("high"))
+    whole = parts.groupBy("event_type").agg(lowest("low").alias("low"), highest("high").alias("high"))
+    return whole.select("event_type", F.round(F.col("high") - F.col("low"), 6).alias("spread"))
 
 
 def window_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,13 +106,15 @@ def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders by a source of our own, which reads Parquet in stretches of rows and takes the filter along."""
     register(spark)
-    return spark.read.format("squares").option("rows", 1000).option("parts", 8).load()
+    orders = spark.read.format("stretches").option("path", f"{sf_dir}/orders.parquet").option("rows", 20_000).schema("o_orderkey long, o_orderstatus string, o_totalprice double").load()
+    return orders.where("o_orderstatus = 'O'").select("o_orderkey", "o_totalprice")
 
 
 QUERIES = {
-    "texts": texts, "dates": dates, "numbers": numbers, "arrays": arrays, "maps": maps, "json": json, "scalar_udf": scalar_udf, "aggregate_udf": aggregate_udf, "window_udf": window_udf,
-    "grouped_map": grouped_map, "cogrouped_map": cogrouped_map, "batch_map": batch_map, "table_function": table_function, "formats": formats, "custom_source": custom_source,
+    "texts": texts, "dates": dates, "numbers": numbers, "arrays": arrays, "maps": maps, "merged_maps": merged_maps, "json": json, "scalar_udf": scalar_udf, "aggregate_udf": aggregate_udf, "window_udf": window_udf,
+    "grouped_map": grouped_map, "cogrouped_map": cogrouped_map, "batch_map": batch_map, "table_function": table_function, "formats": formats, "text_files": text_files, "custom_source": custom_source,
 }
 
 SQL = {
@@ -106,6 +127,9 @@ SQL = {
     "arrays": """SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, len(list_filter(embedding, lambda x: x > 0))::INT AS positive,
         list_position(embedding, list_max(embedding))::BIGINT AS largest FROM embeddings""",
     "maps": "SELECT user_id, count(DISTINCT event_type)::INT AS kinds, count(*) FILTER (event_type = 'click') AS clicks, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS keys FROM events GROUP BY user_id",
+    "merged_maps": """WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT user_id, 'all', count(*) FROM events GROUP BY user_id),
+        a AS (SELECT *, max(n) OVER (PARTITION BY user_id) AS most FROM c)
+        SELECT user_id, count(*)::INT AS keys, string_agg(event_type, ',' ORDER BY event_type) FILTER (n * 4 >= most) AS common FROM a GROUP BY user_id""",
     "json": "SELECT event_id, (props->>'$.k')::INT AS by_path, (props->>'$.k')::INT AS by_schema, (props->>'$.k')::INT AS as_variant FROM events",
     "scalar_udf": "SELECT event_id, round(value / (1 + abs(value)), 6) AS squashed FROM events",
     "aggregate_udf": "SELECT event_type, round(max(value) - min(value), 6) AS spread FROM events GROUP BY event_type",
@@ -117,5 +141,6 @@ SQL = {
     "table_function": """WITH k AS (SELECT event_type, count(*) AS n FROM events GROUP BY ALL), l AS (SELECT event_type, n, unnest(range(1, len(event_type) + 1)) AS place FROM k)
         SELECT place::INT AS place, substr(event_type, place, 1) AS letter, sum(n)::BIGINT AS n FROM l GROUP BY ALL""",
     "formats": "SELECT f AS format, n_nationkey, n_name, n_regionkey FROM nation, (SELECT unnest(['csv', 'json', 'orc', 'parquet']) AS f)",
-    "custom_source": "SELECT n, n * n AS square FROM range(1000) t(n)",
+    "text_files": "SELECT l_returnflag, count(*) AS n, sum(l_orderkey)::BIGINT AS orders, sum(round(l_quantity)::BIGINT)::BIGINT AS quantity FROM lineitem GROUP BY l_returnflag",
+    "custom_source": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'",
 }

@@ -9,7 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemill.sources.tables import load, scratch
+from tidemill.sources.tables import load, scratch, stored
+
+
+def stateful(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep state in RocksDB; spark's own settings stay as they are."""
+    other = spark.newSession()
+    for key in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        other.conf.set(key, spark.conf.get(key))
+    other.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return other
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
@@ -19,9 +28,10 @@ def stream(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drain(rows: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what there is and read what it wrote. In complete mode the last batch's rows stay."""
-    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+def drain(rows: DataFrame, mode: str = "append", spark: SparkSession | None = None) -> DataFrame:
+    """Run a stream over what there is and read what it wrote, with spark or the stream's own session. In complete mode the last batch's rows stay."""
+    spark = spark or rows.sparkSession
+    path = scratch(spark)
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/batch={number}")
@@ -98,14 +108,69 @@ class Running(StatefulProcessor):
 
 def running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's count and largest value, kept in state from batch to batch."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        rows = stream(spark, sf_dir).select("user_id", "value").groupBy("user_id").transformWithStateInPandas(Running(), "user_id long, n long, most double", "Update", "None")
-        out = drain(rows, "update")
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    return out.groupBy("user_id").agg(F.max("n").alias("n"), F.max("most").alias("most"))
+    rows = stream(stateful(spark), sf_dir).select("user_id", "value").groupBy("user_id").transformWithStateInPandas(Running(), "user_id long, n long, most double", "Update", "None")
+    return drain(rows, "update", spark).groupBy("user_id").agg(F.max("n").alias("n"), F.max("most").alias("most"))
+
+
+class Visits(StatefulProcessor):
+    """Visits of a user: each row puts off a timer to six hours after the latest; when it fires, the visit is given out and forgotten.
+
+    Rows of one batch are taken by time, so that a pause within it ends a visit too.
+    """
+
+    def __init__(self, pause_ms: int) -> None:
+        self.pause = pause_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.open = handle, handle.getValueState("open", "begin long, last long, n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        begin, last, n = self.open.get() if self.open.exists() else (None, None, 0)
+        if n:
+            self.handle.deleteTimer(last + self.pause)
+        ended = []
+        for at in sorted(t for part in rows for t in part["at"].tolist()):
+            if n and at - last >= self.pause:
+                ended.append((key[0], begin, last, n))
+                n = 0
+            begin, last, n = (min(begin, at), max(last, at), n + 1) if n else (at, at, 1)
+        self.open.update((begin, last, n))
+        self.handle.registerTimer(last + self.pause)
+        yield pd.DataFrame(ended, columns=["user_id", "begin", "last", "n"]).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        begin, last, n = self.open.get()
+        self.open.clear()
+        yield pd.DataFrame({"user_id": [key[0]], "begin": [begin], "last": [last], "n": [n]})
+
+    def close(self) -> None:
+        pass
+
+
+def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events by the three days in which they arrive: their own, but for each seventh, which comes three times as long after where there are such days."""
+    own = F.floor(F.datediff(F.col("ts"), F.lit("2024-01-01").cast("date")) / 3)
+    events = load(spark, sf_dir, "events").select("event_id", "user_id", "ts", own.alias("own"))
+    last = events.agg(F.max("own")).first()[0] or 0
+    late = (F.col("event_id") % 7 == 0) & (F.col("own") + 3 <= last)
+    return events.select("event_id", "user_id", "ts", (F.col("own") + F.when(late, 3).otherwise(0)).alias("arrival"))
+
+
+def timed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits, ended by six hours without an event, from a file for each three days of arrival; state expires by timers on event time.
+
+    The watermark is a day behind the latest event. An event counts unless it is older than the watermark that was in force before the batch
+    in which it arrives (set by the batches up to the one before last); a user's last visit isn't given where the last watermark lies before its end.
+    """
+    path, rows = scratch(spark), arrivals(spark, sf_dir)
+    rows = stored(rows)
+    for k in sorted(r[0] for r in rows.select("arrival").distinct().collect()):  # files in order of arrival
+        rows.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.parquet(f"{path}/arrived={k:06}")
+    other = stateful(spark)
+    read = other.readStream.schema("event_id long, user_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
+    read = read.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").withColumn("at", F.unix_millis("ts"))
+    visits = read.groupBy("user_id").transformWithStateInPandas(Visits(6 * 3600 * 1000), "user_id long, begin long, last long, n long", "Append", "EventTime")
+    return drain(visits, spark=spark).select("user_id", F.timestamp_millis("begin").cast("timestamp_ntz").alias("begin"), F.timestamp_millis("last").cast("timestamp_ntz").alias("last"), "n")
 
 
 _DAYS = "date_trunc('day', ts)"
@@ -118,6 +183,7 @@ QUERIES = {
     "stream_static_join": with_customers,
     "stream_stream_join": clicks_to_purchases,
     "stream_state": running,
+    "stream_timers": timed_visits,
 }
 
 SQL = {
@@ -132,4 +198,12 @@ SQL = {
     "stream_stream_join": """SELECT c.user_id, count(*) AS pairs FROM events c JOIN events p ON c.user_id = p.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 DAY
         WHERE c.event_type = 'click' AND p.event_type = 'purchase' GROUP BY c.user_id""",
     "stream_state": "SELECT user_id, count(*) AS n, max(value) AS most FROM events GROUP BY user_id",
+    "stream_timers": """WITH o AS (SELECT *, date_diff('day', DATE '2024-01-01', ts::DATE) // 3 AS own FROM events),
+        a AS (SELECT user_id, date_trunc('millisecond', ts) AS ts, ts AS exact, own + CASE WHEN event_id % 7 = 0 AND own + 3 <= max(own) OVER () THEN 3 ELSE 0 END AS arrival FROM o),
+        b AS (SELECT arrival, row_number() OVER (ORDER BY arrival) AS k, max(exact) AS latest FROM a GROUP BY arrival),
+        m AS (SELECT k, arrival, max(latest) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS seen FROM b),
+        r AS (SELECT a.user_id, a.ts FROM a JOIN m USING (arrival) WHERE seen IS NULL OR a.exact > date_trunc('millisecond', seen) - INTERVAL 1 DAY),
+        g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM r WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+        s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+        SELECT user_id, min(ts) AS begin, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, k QUALIFY lead(k) OVER (PARTITION BY user_id ORDER BY k) IS NOT NULL OR last + INTERVAL 6 HOUR <= (SELECT date_trunc('millisecond', max(latest)) FROM b) - INTERVAL 1 DAY""",
 }
