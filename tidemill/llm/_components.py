@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import stored
+from tidemill.llm._spark import discard, stored
 
 
 def _pointing(edges: DataFrame) -> bool:
@@ -26,8 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.select("v", "u"))
         least = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = stored(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        first, least = least, stored(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        now = stored(small)
+        before, now = now, stored(small)
+        discard(before, first, large, least)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select("v", "v").distinct())

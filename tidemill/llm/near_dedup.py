@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
-from tidemill.llm._spark import Slice, slices, stored, table
+from tidemill.llm._spark import Slice, discard, slices, stored, table
 from tidemill.llm._words import LOWER, NOT_SPACE, grams, hashes, mix, spans
 
 #: Trees, and values in a tree's first key. A pair of similarity 0.8 shares the key of some tree
@@ -21,7 +21,7 @@ REGION, PARTS, STEP, VALUE_BITS = 64, 6, 2, 10
 #: Rows of a group whose pairs are looked at one by one; larger groups are compared in blocks of about BLOCK rows on either side.
 FEW, BLOCK = 32, 512
 #: Shingles are ranked by how often their bucket occurs; sizes in one class differ by less than this factor.
-BUCKETS, CLASS = 1 << 18, 1.12
+BUCKETS, CLASS = 1 << 18, 1.02
 
 _rng = np.random.default_rng(811)
 _XOR = _rng.integers(0, 2**64, TREES * DEPTH, np.uint64)
@@ -143,7 +143,8 @@ def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     """group, id and component: rows that share a group are all that may be similar.
 
     rows: id, component and shingles. Similar sets share one of the first of their shingles, the rarest first; how many of these
-    must be looked at follows from both sizes, so a group is a shingle and the classes of two sizes.
+    must be looked at follows from both sizes, so a group is a shingle and the classes of two sizes, both of which have rows in it. Classes are
+    narrow, since a set looked at as if the other were smaller is looked at too far: sets of one template, alike by a little less than the threshold, would all meet at the template's own shingles.
     """
     counts = rows.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(BUCKETS)).cast("int").alias("bucket")).count().toPandas()
     often = np.zeros(BUCKETS, np.int64)
@@ -167,10 +168,12 @@ def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     own = F.floor(F.log(F.col("n").cast("double")) / F.lit(np.log(CLASS)) + 1e-9)
     reach = int(np.ceil(np.log(1 / threshold) / np.log(CLASS)))
     sized = first.withColumn("class", own).withColumn("other", F.explode(F.sequence(F.col("class") - reach, F.col("class") + reach)))
-    least = F.greatest(F.floor(F.pow(F.lit(CLASS), "other") - 1e-6), F.lit(threshold) * F.col("n"), F.lit(1.0))
+    least = F.greatest(F.ceil(F.pow(F.lit(CLASS), "other") - 1e-6), F.lit(threshold) * F.col("n"), F.lit(1.0))
     both = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("n") + least) - 1e-6)
     sized = sized.where(F.col("place") < F.col("n") - both + 1)
-    return apart(sized.select(F.xxhash64("shingle", F.least("class", "other"), F.greatest("class", "other")).alias("group"), "id", "component"), "group")
+    sized = sized.select(F.xxhash64("shingle", F.least("class", "other"), F.greatest("class", "other")).alias("group"), "id", "component", "class", (F.col("class") == F.col("other")).alias("alike"))
+    both = sized.groupBy("group").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("class").alias("least"), F.max("class").alias("most"), F.first("alike").alias("same"))
+    return sized.select("group", "id", "component").join(both.where("x < y AND (same OR least < most)").select("group"), "group")
 
 
 def _remainder(rows: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -246,7 +249,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, threshold: float = 0.8
     is one shingle; without words (or text) it is empty, and linked with nothing. Documents are
     linked when their sets' Jaccard similarity is at least threshold, confirmed on full sets.
     component_id is the least id reachable and kept marks the row that bears it. Rows that
-    repeat an id share its fate; a row with a null id teaches nothing and keeps a null component.
+    repeat an id share its fate, that of the least of their sets in order where their texts differ; a row with a null id teaches nothing and keeps a null component.
 
     Documents of equal sets count once. In each tree of the forest, a region is what shares a first key; large regions
     are parted by longer prefixes until they are small. A document is compared with the hub of each of its regions and parts
@@ -266,7 +269,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, threshold: float = 0.8
     hubs = stored(levels.groupBy("key").agg(F.max(F.struct("fame", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub")))
     to_hubs = stored(levels.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
     involved = stored(shared.select("id").distinct())
-    sets = stored(shingle_table(docs.join(involved.select(F.col("id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi"), words_each, id_col, text_col).dropDuplicates(["id"]))
+    sets = stored(shingle_table(docs.join(involved.select(F.col("id").alias(id_col)).hint("shuffle_hash"), id_col, "left_semi"), words_each, id_col, text_col).groupBy("id").agg(F.min("shingles").alias("shingles")))
     links = stored(_verified(to_hubs, sets, threshold))
     nodes = stored(_with_components(involved, links))
 
@@ -281,8 +284,9 @@ def near_duplicates(docs: DataFrame, words_each: int = 5, threshold: float = 0.8
     waiting = shared.join(open_keys, "key").select("id").distinct()
     found = components(stored(links.union(_remainder(stored(nodes.join(waiting, "id").join(sets, "id")), sets, threshold))))
 
-    known = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_low", "set_high", F.coalesce("component", "id").alias("component"))
-    out = made.select("id", "n", "set_low", "set_high").join(stored(known), ["set_low", "set_high"], "left")
+    known = stored(classes.join(found.withColumnRenamed("node", "id"), "id", "left").select("set_low", "set_high", F.coalesce("component", "id").alias("component")))
+    discard(regions, shared, hubs, to_hubs, involved, sets, beside)
+    out = made.select("id", "n", "set_low", "set_high").join(known, ["set_low", "set_high"], "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
