@@ -9,13 +9,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import Slice, give_back_memory, slices, stored, table
+from tidemill.llm._spark import Slice, discard, give_back_memory, slices, stored, table
 from tidemill.llm._words import NOT_SPACE, _power_tables, grams, hashes, mix, spans
 from tidemill.llm.fm_index import FMIndex
 
 #: Words of an anchor, windows of a first document that share a route, and windows in one streamed piece.
 ANCHOR, STRETCH, PIECE = 12, 1024, 256
-#: A route with an anchor of more rows is split, and words of one shard, about.
+#: A route with an anchor of more rows is hot; words of one shard, about.
 HOT, SHARD_WORDS = 256, 1 << 18
 #: As many word ranges (about 12 MB) are sent to every task; more are joined by exchange.
 FEW_RANGES = 1 << 19
@@ -79,12 +79,11 @@ def _anchor_table(docs: DataFrame, window: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, low long, high long, anchor array<long>, start array<int>, stop array<int>")
 
 
-def _pieces(texts: DataFrame, window: int, role: int) -> DataFrame:
+def _pieces(texts: DataFrame, window: int) -> DataFrame:
     """Words of the marked windows of each text (id, text, marks), in pieces of one route.
 
-    role: 1 to be indexed, 2 to be searched for, 3 for both. Under role 3 a route that is split gives
-    pieces to be searched for only, dealt by document, and a document never searches for what it was
-    the first to hold.
+    A mark's role is 1 for windows to be indexed, 2 for those to be searched for, 3 for both. Of a route in several parts, pieces to
+    be searched for are dealt out by document, and those to be indexed go to each part.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -94,27 +93,27 @@ def _pieces(texts: DataFrame, window: int, role: int) -> DataFrame:
             out: dict[str, list] = {k: [] for k in ("route", "salt", "salts", "id", "begin", "role", "words", "text")}
             for k, marks in enumerate(part.rows.column(2).to_pylist()):
                 runs: list[list[int]] = []
-                for m in sorted({(m["start"], m["stop"], m["route"], m["salts"], m["first"]) for m in marks}):
+                for m in sorted({(m["start"], m["stop"], m["route"], m["salts"], m["role"]) for m in marks}):
                     if runs and runs[-1][1] == m[0] and runs[-1][2:] == list(m[2:]):
                         runs[-1][1] = m[1]
                     else:
                         runs.append(list(m))
-                for start, stop, route, salts, first in runs:
-                    own = role if salts == 1 or role != 3 else 2
-                    own = own & 1 if first == ids[k] and role == 3 else own
-                    for low in range(start, stop if own else start, PIECE):
+                for start, stop, route, salts, role in runs:
+                    for low in range(start, stop, PIECE):
                         high = min(low + PIECE, stop) + window - 1
                         a, b = edge[k] + low, edge[k] + high
-                        for key, value in zip(out, (route, int(mix(np.array([ids[k]]).astype(np.uint64))[0] % np.uint64(salts)), salts, ids[k], low, own, high - low, b" ".join(raw[begin[i] : end[i]] for i in range(a, b))), strict=True):
+                        for key, value in zip(out, (route, int(mix(np.array([ids[k]]).astype(np.uint64))[0] % np.uint64(salts)), salts, ids[k], low, role, high - low, b" ".join(raw[begin[i] : end[i]] for i in range(a, b))), strict=True):
                             out[key].append(value)
             kinds = {"salt": pa.int32(), "salts": pa.int32(), "role": pa.int32(), "text": pa.binary()}
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
-    return texts.mapInArrow(run, "route long, salt int, salts int, id long, begin long, role int, words long, text binary")
+    pieces = texts.mapInArrow(run, "route long, salt int, salts int, id long, begin long, role int, words long, text binary")
+    parts = F.when((F.col("role") == 1) & (F.col("salts") > 1), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array("salt"))
+    return pieces.withColumn("salt", F.explode(parts))
 
 
 def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
-    """A 128-bit hash of each window of the split routes, and where it stands."""
+    """A 128-bit hash of each window of the hot routes, and where it stands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             begin, end, counts = spans(part.data, part.offsets, NOT_SPACE)
@@ -123,17 +122,33 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
             totals = [np.append(np.uint64(0), np.cumsum(w * up[: len(w)])) for w in (word, mix(word ^ np.uint64(0x2545F4914F6CDD1D)))]
             ids = part.rows.column(0).to_pylist()
             for k, marks in enumerate(part.rows.column(2).to_pylist()):
-                hot = [m for m in marks if m["salts"] > 1]
+                hot = [m for m in marks if m["hot"]]
                 if not hot:
                     continue
-                n = np.array([m["stop"] - m["start"] for m in hot])
                 at = np.concatenate([np.arange(m["start"], m["stop"]) for m in hot])
                 a = edge[k] + at
                 low, high = (mix((t[a + window] - t[a]) * down[a]).view(np.int64) for t in totals)
-                each = [np.repeat(np.array([m[c] for m in hot], np.int64), n) for c in ("route", "salts", "first")]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (low, high, np.full(len(at), ids[k]), at, *each)], names=["low", "high", "id", "start", "route", "salts", "first"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (low, high, np.full(len(at), ids[k]), at)], names=["low", "high", "id", "start"])
 
-    return texts.mapInArrow(run, "low long, high long, id long, start long, route long, salts long, first long")
+    return texts.mapInArrow(run, "low long, high long, id long, start long")
+
+
+def _hot_marks(texts: DataFrame, window: int) -> DataFrame:
+    """id and marks of what repeats among the windows of hot routes: id, text, marks.
+
+    A window that stands in several documents is routed anew, by where it stands first, so each is indexed once. A new route
+    indexes the windows of one stretch of a document at most; where many search it, it has several parts, each with that small index.
+    """
+    windows = stored(_window_hashes(texts.where(F.exists("marks", lambda m: m["hot"])), window))
+    twice = stored(windows.groupBy("low", "high").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("low", "high", "f"))
+    role = F.when((F.col("id") == F.col("f.id")) & (F.col("start") == F.col("f.start")), 1).when(F.col("id") > F.col("f.id"), 2)
+    route = F.xxhash64("f.id", F.floor(F.col("f.start") / STRETCH), F.lit("hot"))
+    met = windows.join(twice, ["low", "high"]).select("id", F.col("start").cast("int").alias("start"), route.alias("route"), role.alias("role")).where("role IS NOT NULL")
+    met = stored(met.groupBy("id", "route", "role").agg(F.collect_list("start").alias("starts")))
+    discard(windows, twice)
+    salts = stored(met.where("role = 2").groupBy("route").agg(F.ceil(F.sum(F.size("starts")) / SHARD_WORDS).cast("int").alias("salts")))
+    marks = F.transform("starts", lambda s: F.struct(s.alias("start"), (s + 1).alias("stop"), F.col("route"), F.col("salts"), F.col("role")))
+    return met.join(salts, "route").groupBy("id").agg(F.flatten(F.collect_list(marks)).alias("hot_marks"))
 
 
 def _search(group: pa.Table, window: int) -> pa.Table:
@@ -175,8 +190,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     Texts of equal words are one class; all but the least id repeat wholly. The others are cut at
     anchors, and only windows whose anchor stands in several documents go on. They are routed by
     where the anchor's first document holds it, so that all windows of an anchor meet in one shard,
-    which indexes and searches them. A route with an anchor in over HOT rows is split: its windows are
-    first counted, what repeats there is indexed in every part, and the documents are dealt to the parts.
+    which indexes and searches them. A route with an anchor in over HOT rows is hot: its windows are
+    first counted, and only those that repeat go on, each by a route of its own first place.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     made = stored(_anchor_table(plain, window))
@@ -185,22 +200,22 @@ def repeated_spans(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     rows = firsts.select("id", F.explode(F.arrays_zip("anchor", "start", "stop")).alias("x")).select("id", "x.*")
     shared = rows.groupBy("anchor").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("last"), F.count("*").alias("n")).where("f.id < last")
     shared = stored(shared.select("anchor", "n", F.col("f.id").alias("first"), F.xxhash64("f.id", F.floor(F.col("f.start") / STRETCH)).alias("route")))
-    salts = shared.groupBy("route").agg(F.ceil(F.max("n") / HOT).cast("int").alias("salts"))
-    marks = rows.join(stored(shared.join(salts, "route").drop("n")), "anchor")
-    marks = marks.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "route", "salts", "first")).alias("marks"))
+    hot = shared.groupBy("route").agg((F.max("n") > HOT).alias("hot"))
+    marks = rows.join(stored(shared.join(hot, "route").drop("n")), "anchor")
+    marks = marks.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "route", F.when(F.col("id") == F.col("first"), 1).otherwise(3).alias("role"), "hot")).alias("marks"))
     texts = stored(plain.join(marks.hint("shuffle_hash"), "id").select("id", "text", "marks"))
-
-    windows = _window_hashes(texts.where(F.exists("marks", lambda m: m["salts"] > 1)), window)
-    twice = windows.groupBy("low", "high").agg(F.min(F.struct("id", "start", "route", "salts", "first")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("f.*")
-    twice = stored(twice.select("id", F.col("start").cast("int"), (F.col("start") + 1).cast("int").alias("stop"), "route", F.col("salts").cast("int"), "first"))
-    again = texts.select("id", "text").join(twice.groupBy("id").agg(F.collect_list(F.struct("start", "stop", "route", "salts", "first")).alias("marks")), "id").select("id", "text", "marks")
-    spread = _pieces(again, window, 1).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    pieces = stored(_pieces(texts, window, 3).unionByName(spread))
+    # of an anchor's first document windows are indexed only; the hot routes' windows go by routes of their own
+    cool = F.transform(F.filter("marks", lambda m: ~m["hot"]), lambda m: F.struct(m["start"].alias("start"), m["stop"].alias("stop"), m["route"].alias("route"), F.lit(1).alias("salts"), m["role"].alias("role")))
+    hot_marks = stored(_hot_marks(texts, window))
+    every = F.concat(cool, F.coalesce("hot_marks", F.array().cast("array<struct<start:int,stop:int,route:long,salts:int,role:int>>")))
+    pieces = stored(_pieces(texts.join(hot_marks, "id", "left").select("id", "text", every.alias("marks")), window))
     words = pieces.agg(F.sum("words")).first()[0] or 0
     shard = F.pmod(F.xxhash64("route", "salt"), F.lit(max(1, -(-words // SHARD_WORDS))))
     found = pieces.select(shard.alias("shard"), "id", "begin", "role", "text").groupBy("shard").applyInArrow(lambda t: _search(t, window), "id long, begin long, end long")
     copies = made.where(F.col("n_words") >= window).join(classes, ["low", "high"]).where("id > first").select("id", F.lit(0).cast("long").alias("begin"), F.col("n_words").alias("end"))
-    return stored(found.union(copies))
+    found = stored(found.union(copies))
+    discard(made, classes, shared, texts, hot_marks, pieces)
+    return found
 
 
 def remove_spans(docs: DataFrame, ranges: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
