@@ -311,15 +311,17 @@ class Items:
             both[:-1] += (cell[1:] == cell[:-1] + 1) * n[1:]
             cell = cell[both >= self.need[cell // rows]]
             item = cell // rows
-            low = cell % rows * width[item] - self.length[item] - self.most[item]
-            high = low + self.length[item] + 2 * self.most[item] + 2 * width[item]
-            low, high = np.maximum(low, 0), np.minimum(high, len(text))
-            kept = self._within_reach(text, item, low, high)
+            first_low = cell % rows * width[item] - self.length[item] - self.most[item]
+            low, high = np.maximum(first_low, 0), np.minimum(first_low + self.length[item] + 2 * self.most[item] + 2 * width[item], len(text))
+            kept = self._within_reach(text, item, first_low, 2 * self.most[item] + 2 * width[item])
             parts.append(by_document(begins, item[kept], low[kept], high[kept], self.length - self.most))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (none, none, none, none)
 
-    def _within_reach(self, text: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Windows in which the least edits of an item's stretches of 64 bytes, each wherever it fits best, come to no more than most."""
+    def _within_reach(self, text: np.ndarray, item: np.ndarray, low: np.ndarray, slack: np.ndarray) -> np.ndarray:
+        """Windows in which the least edits of an item's stretches of 64 bytes, each wherever it fits best, come to no more than most.
+
+        A window has the item's length and slack; a stretch is looked for as far from the window's begin as it is from the item's, and within the slack.
+        """
         if self.masks is None:
             stretches = -(-self.length // 64)
             self.first_mask = np.append(0, np.cumsum(stretches))
@@ -332,7 +334,9 @@ class Items:
         for k in range(int((-(-self.length[item] // 64)).max(initial=0))):
             some = np.flatnonzero(self.length[item[kept]] > 64 * k)
             own = kept[some]
-            edits[own] += least_edits_of_stretches(self.masks, self.first_mask[item[own]] + k, np.minimum(64, self.length[item[own]] - 64 * k), text, low[own], high[own])
+            size = np.minimum(64, self.length[item[own]] - 64 * k)
+            begin, end = (np.clip(x, 0, len(text)) for x in (low[own] + 64 * k, low[own] + 64 * k + size + slack[own]))
+            edits[own] += least_edits_of_stretches(self.masks, self.first_mask[item[own]] + k, size, text, begin, end)
             kept = kept[edits[kept] <= self.most[item[kept]]]
         return kept
 
