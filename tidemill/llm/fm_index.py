@@ -1,4 +1,4 @@
-"""A compressed full-text index over words: BWT in a wavelet matrix, searched backwards for many patterns at once."""
+"""A compressed full-text index over words: BWT in a wavelet matrix shaped by how often words occur, searched backwards for many patterns at once."""
 
 from __future__ import annotations
 
@@ -6,20 +6,40 @@ import numpy as np
 
 
 class Bits:
-    """A packed bit vector with a count every 64 bits."""
+    """A packed bit vector with a count of ones every 64 bits, from the last of those kept every 1,024 bits: some 0.3 bits more a bit."""
 
     def __init__(self, bits: np.ndarray) -> None:
         padded = np.zeros(-(-(len(bits) + 1) // 64) * 64, np.uint8)
         padded[: len(bits)] = bits
         self.words = np.packbits(padded, bitorder="little").view(np.uint64)
-        self.before = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1]).astype(np.int32)
+        before = np.append(0, np.cumsum(np.bitwise_count(self.words), dtype=np.int64)[:-1])
+        self.far = before[::16].astype(np.int32)
+        self.near = (before - np.repeat(before[::16], 16)[: len(before)]).astype(np.uint16)
         self.zeros = len(bits) - int(bits.sum())
 
     def ones(self, end: np.ndarray) -> np.ndarray:
         """How many ones stand before each end."""
         block = end >> 6
         mask = (np.uint64(1) << (end & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[block] + np.bitwise_count(self.words[block] & mask)
+        return self.far[block >> 4] + self.near[block].astype(np.int64) + np.bitwise_count(self.words[block] & mask)
+
+
+def shaped_codes(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A code for each symbol, first bit lowest, and its length: a symbol's share of 1 / 2**k or more gives it k bits.
+
+    Symbols that end at a level take its largest codes (read with the last bit highest), so they stand at the end of what the level
+    orders, and the levels below hold the others where they would stand without them.
+    """
+    share = np.maximum(counts, 1) / max(1, counts.sum())
+    length = np.maximum(1, np.ceil(-np.log2(np.minimum(share, 1)) - 1e-9)).astype(np.int64)
+    length[counts == 0] = 0
+    code, free = np.zeros(len(counts), np.int64), np.zeros(1, np.int64)
+    for level in range(int(length.max(initial=0))):
+        free = np.concatenate([free, free + (1 << level)])
+        own = np.flatnonzero(length == level + 1)
+        code[own] = free[len(free) - len(own) :]
+        free = free[: len(free) - len(own)]
+    return code, length
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,12 +70,13 @@ def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Least:
-    """The least of any run of values, from the least of each block's beginnings and ends and of 1, 2, 4, ... blocks: some 16 bytes a value."""
+    """The least of any run of values, from the least of each block's beginnings and ends and of 1, 2, 4, ... blocks: some four times the values' own bytes."""
 
     BLOCK = 16
 
     def __init__(self, values: np.ndarray) -> None:
-        padded = np.full(-(-max(1, len(values)) // self.BLOCK) * self.BLOCK, np.iinfo(np.int32).max, np.int32)
+        self.none = np.iinfo(values.dtype).max
+        padded = np.full(-(-max(1, len(values)) // self.BLOCK) * self.BLOCK, self.none, values.dtype)
         padded[: len(values)] = values
         blocks = padded.reshape(-1, self.BLOCK)
         self.values = padded
@@ -72,7 +93,7 @@ class Least:
         out = np.minimum(self.onward[low], self.up_to[high - 1])
         inside = np.flatnonzero(first == last)
         at = low[inside][:, None] + np.arange(self.BLOCK)
-        out[inside] = np.where(at < high[inside][:, None], self.values[np.minimum(at, len(self.values) - 1)], np.iinfo(np.int32).max).min(1)
+        out[inside] = np.where(at < high[inside][:, None], self.values[np.minimum(at, len(self.values) - 1)], self.none).min(1)
         level = np.frexp((last - first - 1).astype(float))[1] - 1
         for k in np.unique(level[last - first > 1]).tolist():
             some = np.flatnonzero((level == k) & (last - first > 1))
@@ -119,30 +140,37 @@ class FMIndex:
 
     def __init__(self, texts: np.ndarray, owners: np.ndarray, alphabet: int) -> None:
         order, shared = suffix_order(texts)
-        bwt = texts[order - 1]
-        self.size, self.levels = len(texts), max(1, int(alphabet).bit_length())
-        self.first = np.append(0, np.cumsum(np.bincount(texts, minlength=alphabet + 1)))
-        self.planes, now = [], bwt
-        for level in range(self.levels - 1, -1, -1):
-            bit = (now >> level & 1).astype(np.uint8)
+        bwt, self.size = texts[order - 1], len(texts)
+        counts = np.bincount(texts, minlength=alphabet + 1)
+        self.first = np.append(0, np.cumsum(counts))
+        self.code, self.length = shaped_codes(counts)
+        #: Where each symbol begins in the order of the level at which it ends.
+        self.start, self.planes, now = np.zeros(alphabet + 1, np.int64), [], bwt
+        for level in range(int(self.length.max(initial=0))):
+            bit = (self.code[now] >> level & 1).astype(np.uint8)
             self.planes.append(Bits(bit))
             now = np.concatenate([now[bit == 0], now[bit == 1]])
-        # the wavelet matrix leaves symbols in bit-reversed order; where each begins there
-        head = np.flatnonzero(np.diff(now, prepend=-1))
-        self.start = np.zeros(alphabet + 1, np.int64)
-        self.start[now[head]] = head
+            left = int((self.length[now] > level + 1).sum())
+            head = left + np.flatnonzero(np.diff(now[left:], prepend=-1))
+            self.start[now[head]] = head
+            now = now[:left]
         self.owners, rank = np.unique(owners, return_inverse=True)
-        self.least = Least(rank[order].astype(np.int32))
+        self.least = Least(rank[order].astype(np.min_scalar_type(len(self.owners))))
         self.shared = Below(np.append(shared, 0))
 
     def extend(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Intervals of the patterns with one more word in front."""
         begin = self.first[symbol] - self.start[symbol]
         ends = np.concatenate([low, high]).astype(np.int64)
-        twice = np.concatenate([symbol, symbol])
-        for level, plane in zip(range(self.levels - 1, -1, -1), self.planes, strict=True):
-            ones = plane.ones(ends)
-            ends = np.where(twice >> level & 1, plane.zeros + ones, ends - ones)
+        code, length = (np.concatenate([x[symbol], x[symbol]]) for x in (self.code, self.length))
+        on = np.flatnonzero(length > 0)
+        for level, plane in enumerate(self.planes):
+            some = length[on] > level
+            if not some.all():
+                on = on[some]
+            ones = plane.ones(at := ends[on])
+            ends[on] = np.where(code[on] >> level & 1, plane.zeros + ones, at - ones)
+        ends[length == 0] = 0  # a symbol that doesn't occur has an empty interval
         return ends[: len(low)] + begin, ends[len(low) :] + begin
 
     def widen(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
