@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,7 +20,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         made = spark.sparkContext.getCheckpointDir()
         if made is None:
-            if not spark.sparkContext.master.startswith("local"):
+            if spark.sparkContext.master.partition("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidemill-"))
             made = spark.sparkContext.getCheckpointDir()
@@ -56,6 +57,11 @@ def discard(*tables: DataFrame) -> None:
         files.delete(place, True)
 
 
+def fold(id_col: str, folds: int) -> Column:
+    """The remainder of the CRC-32 of an id as text; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,6 +74,11 @@ def give_back_memory() -> None:
         trim(0)
 
 
+def lists(values: np.ndarray, sizes: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Lists of so many consecutive values each."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(values, kind))
+
+
 class Slice:
     """Consecutive rows of a batch: their texts' UTF-8 bytes end to end, and where each begins."""
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import give_back_memory, slices, table
+from tidemill.llm._spark import fold, give_back_memory, slices, table
 from tidemill.llm._words import LOWER, NOT_SPACE, hashes, spans, stretch_hashes, totals
 
 #: Words of one lattice, languages whose sums are made at once, and numbers held for words met of late or summed at once.
@@ -188,8 +188,9 @@ class Model:
         out = np.empty((len(begin), len(self.languages)))
         for low in range(0, len(begin), BLOCK):
             lattice = Lattice(pieces, *spaced(data, begin[low : low + BLOCK], end[low : low + BLOCK]))
-            own, which = np.unique(lattice.ahead.piece, return_inverse=True)
-            rows = self.rows(own)
+            met = np.zeros(self.size, bool)
+            met[lattice.ahead.piece] = True
+            rows, which = self.rows(np.flatnonzero(met)), (np.cumsum(met) - 1).take(lattice.ahead.piece)
             for k in range(0, len(self.languages), AT_ONCE):
                 out[low : low + BLOCK, k : k + AT_ONCE] = lattice.logs(rows[:, k : k + AT_ONCE], which)
         return out
@@ -305,10 +306,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return letters.mapInArrow(run, schema)
 
 
-def fold(id_col: str, folds: int):
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-
-
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(fold("doc_id", 3) != 1))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm._components import components
-from tidemill.llm._spark import Slice, discard, slices, stored, table
+from tidemill.llm._spark import Slice, discard, lists, slices, stored, table
 from tidemill.llm._words import LOWER, NOT_SPACE, grams, hashes, mix, spans
 
 #: Trees, and values in a tree's first key. A pair of similarity 0.8 shares the key of some tree
@@ -50,11 +50,6 @@ def shingle_sets(part: Slice, words_each: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets), np.array([len(s) for s in sets], np.int64)
 
 
-def _lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
-    offsets = pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1])
-    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), kind))
-
-
 def signatures(docs: DataFrame, words_each: int, id_col: str, text_col: str) -> DataFrame:
     """id, n, a 128-bit hash of the shingle set, and for each tree a shallow and a deep key.
 
@@ -80,9 +75,9 @@ def signatures(docs: DataFrame, words_each: int, id_col: str, text_col: str) ->
             for k in range(PARTS):
                 own = np.roll(blocks[:, :, k % DEPTH], -1 - 7 * k, axis=1)
                 deep = deep << np.uint64(VALUE_BITS) | mix(own) >> np.uint64(64 - VALUE_BITS)
-            ids = part.rows.column(part.rows.schema.get_field_index("id"))
+            ids, each = part.rows.column(part.rows.schema.get_field_index("id")), np.full(len(n), TREES)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), _lists(shallow.view(np.int64), pa.int64()), _lists(deep.view(np.int64), pa.int64())],
+                [ids, pa.array(n), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), lists(shallow.ravel().view(np.int64), each, pa.int64()), lists(deep.ravel().view(np.int64), each, pa.int64())],
                 names=["id", "n", "set_low", "set_high", "shallow", "deep"],
             )
 
@@ -94,8 +89,7 @@ def shingle_table(docs: DataFrame, words_each: int, id_col: str, text_col: str)
         for part in slices(batches, text_col):
             flat, n = shingle_sets(part, words_each)
             ids = part.rows.column(part.rows.schema.get_field_index("id"))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids, lists], names=["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([ids, lists(flat.view(np.int64), n, pa.int64())], names=["id", "shingles"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, shingles array<long>")
 

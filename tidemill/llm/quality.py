@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import slices, stored, table
+from tidemill.llm._spark import fold, slices, stored, table
 from tidemill.llm._words import LOWER, NOT_SPACE, hashes, spans
 
 #: Byte classes whose shares of a text are statistics.
@@ -163,10 +163,6 @@ def fit(labelled: DataFrame, label_col: str, most_rows: int = 20_000, trees: int
     return Ensemble([chosen[i] for i in used], weights[used].tolist(), intercept)
 
 
-def fold(id_col: str, folds: int) -> Column:
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-
-
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; labels of rows whose fold is 2 are never read into the fit."""
     stats = stored(text_statistics(table(spark, sf_dir, "documents")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm._spark import Slice, discard, give_back_memory, slices, stored, table
+from tidemill.llm._spark import Slice, discard, give_back_memory, lists, slices, stored, table
 from tidemill.llm._words import NOT_SPACE, _power_tables, grams, hashes, mix, spans
 from tidemill.llm.fm_index import FMIndex
 
@@ -63,17 +63,12 @@ def anchors(part: Slice, window: int) -> tuple[np.ndarray, ...]:
     return counts, *sequence, of[head], gram[anchor[head]].view(np.int64), inside[head] - edge[of[head]], inside[last] + 1 - edge[of[head]]
 
 
-def _lists(values: np.ndarray, owner: np.ndarray, n: int, kind: pa.DataType) -> pa.Array:
-    offsets = np.append(0, np.cumsum(np.bincount(owner, minlength=n))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
-
-
 def _anchor_table(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             counts, low, high, of, hashed, start, stop = anchors(part, window)
             columns = [part.rows.column(0), pa.array(counts), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))]
-            columns += [_lists(x, of, len(part), k) for x, k in ((hashed, pa.int64()), (start, pa.int32()), (stop, pa.int32()))]
+            columns += [lists(x, np.bincount(of, minlength=len(part)), k) for x, k in ((hashed, pa.int64()), (start, pa.int32()), (stop, pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "low", "high", "anchor", "start", "stop"])
 
     return docs.mapInArrow(run, "id long, n_words long, low long, high long, anchor array<long>, start array<int>, stop array<int>")
