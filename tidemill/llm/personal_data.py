@@ -26,7 +26,7 @@ LOOKALIKES = {
 }
 UNSEEN = "­​‌‍‎‏⁠﻿"
 DIGITS = ("zero oh zéro null cero", "one un eins uno", "two deux zwei dos", "three trois drei tres", "four quatre vier cuatro", "five cinq fünf cinco", "six sechs seis", "seven sept sieben siete", "eight huit acht ocho", "nine neuf neun nueve")
-PLUS, DOT, AT = "plus más", "dot point punkt punto", "at arobase arroba"
+PLUS, DOT, AT, TIMES = "plus más", "dot point punkt punto", "at arobase arroba klammeraffe", {"double": 2, "triple": 3}
 LAST_LABELS = "com org net edu gov mil int info biz io co ai app dev eu uk us de fr es it nl ch at be ca au nz in jp cn ru br mx ar cl pt pl se no dk fi ie example test invalid"
 
 _VALUE = {w: str(k) for k, own in enumerate(DIGITS) for w in own.split()} | {w: "+" for w in PLUS.split()} | {w: "." for w in DOT.split()}
@@ -111,50 +111,60 @@ def _any(words: str) -> str:
 
 
 _WRAPPED = regex.compile(rf"(?i)[ \t]{{0,3}}[(\[{{<][ \t]?(?:(?P<at>{_any(AT)}|@)|{_any(DOT)}|\.)[ \t]?[)\]}}>][ \t]{{0,3}}")
-_CODED = regex.compile(r"(?i)(?P<at>&#0{0,4}64;|&#x0{0,4}40;|&commat;|%40)|&#0{0,4}46;|&#x0{0,4}2e;|&period;|%2e")
+_CODED = regex.compile(r"(?i)(?P<at>&commat;|%40)|(?P<dot>&period;|%2e)|&#(?:0{0,4}(?P<ten>[0-9]{2,3})|x0{0,4}(?P<hex>[0-9a-f]{2}));")
+_JOINED = regex.compile(rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+]++(?P<at>[_-](?:{_any(AT)})[_-])[A-Za-z0-9]++(?:(?P<dot>[_-](?:{_any(DOT)})[_-])[A-Za-z0-9]++){{0,4}}(?P<dot>[_-](?:{_any(DOT)})[_-])(?:{_any(LAST_LABELS)})(?![A-Za-z0-9-])")
 
 
 def wrapped_signs(text: str) -> Edits:
-    """(at), [dot], &#64; and their like."""
-    found: list[regex.Match] = []
+    """(at), [dot], name_at_host_dot_com, &#64; and other references to ASCII characters."""
+    out: Edits = []
     if any(opening in text for opening in "([{<"):
-        found += _WRAPPED.finditer(text)
+        out += [(m.start(), m.end(), "@" if m["at"] else ".") for m in _WRAPPED.finditer(text)]
     if "&" in text or "%" in text:
-        found += _CODED.finditer(text)
-    return [(m.start(), m.end(), "@" if m["at"] else ".") for m in sorted(found, key=lambda m: m.start())]
+        for m in _CODED.finditer(text):
+            code = 64 if m["at"] else 46 if m["dot"] else int(m["ten"]) if m["ten"] else int(m["hex"], 16)
+            if 33 <= code <= 126:
+                out.append((m.start(), m.end(), chr(code)))
+    if "_" in text or "-" in text:
+        for m in _JOINED.finditer(text):
+            out += [(*m.span("at"), "@"), *[(a, b, ".") for a, b in m.spans("dot")]]
+    return sorted(out)
 
 
 _SPOKEN_DOT = rf"[ \t]{{1,3}}(?:{_any(DOT)})[ \t]{{1,3}}"
 _SPOKEN = regex.compile(
     rf"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?P<dot>{_SPOKEN_DOT})[A-Za-z0-9._%+-]++){{0,4}}?"
-    rf"(?:(?P<word>[ \t]{{1,3}}(?:{_any(AT)})[ \t]{{1,3}})|(?P<sign>[ \t]{{0,3}}@[ \t]{{0,3}}))[A-Za-z0-9-]++(?:(?:(?P<dot>{_SPOKEN_DOT})|\.)[A-Za-z0-9-]++){{0,4}}(?:(?P<dot>{_SPOKEN_DOT})|\.)(?:{_any(LAST_LABELS)})(?![A-Za-z0-9-])"
+    rf"(?:(?P<word>[ \t]{{1,3}}(?:{_any(AT)})[ \t]{{1,3}})|(?P<sign>[ \t]{{0,3}}@[ \t]{{0,3}}))[A-Za-z0-9-]++(?:(?:(?P<dot>{_SPOKEN_DOT}|[ \t]\.[ \t])|\.)[A-Za-z0-9-]++){{0,4}}(?:(?P<dot>{_SPOKEN_DOT}|[ \t]\.[ \t])|\.)(?:{_any(LAST_LABELS)})(?![A-Za-z0-9-])"
 )
-_HINT = regex.compile(rf"(?i)(?<!\w)(?:{_any(DOT)})(?!\w)|[ \t]@|@[ \t]")
+_SPOKEN_IP = regex.compile(rf"(?i)(?<![\w.])[0-9]{{1,3}}(?:(?P<dot>{_SPOKEN_DOT}|[ \t]\.[ \t])[0-9]{{1,3}}){{3}}(?!\w)")
+_HINT = regex.compile(rf"(?i)(?<!\w)(?:{_any(DOT)})(?!\w)|[ \t]@|@[ \t]|[ \t]\.[ \t]|[ \t](?-i:AT)[ \t]")
 
 
 def spoken_addresses(text: str) -> Edits:
-    """name at host dot com, and name @ host . com: `at` counts only where a `dot` is spoken too, and the last label must be a common one."""
+    """name at host dot com, name @ host . com, name AT host.com and 10 dot 0 dot 0 dot 1: `at` counts only where a `dot` is spoken too or AT alone is in capitals, and the last label must be a common one."""
     if not _HINT.search(text):
         return []
     out = []
     for m in _SPOKEN.finditer(text):
-        if m["word"] and not m.captures("dot") or m["sign"] == "@" and not m.captures("dot"):
+        spoken = any(d.strip() != "." for d in m.captures("dot"))
+        shouted = m["word"] and m["word"].strip() == "AT" and any(c.islower() for c in text[m.start() : m.start("word")])
+        if not (spoken or shouted) if m["word"] else m["sign"] == "@" and not m.captures("dot"):
             continue
         out += [(*m.span("word" if m["word"] else "sign"), "@"), *[(a, b, ".") for a, b in m.spans("dot")]]
+    out += [(a, b, ".") for m in _SPOKEN_IP.finditer(text) for a, b in m.spans("dot")]
     return sorted(out)
 
 
 _SAID = "|".join(sorted((w for w, v in _VALUE.items() if v.isdigit()), key=len, reverse=True))
 _GAP = r"[ \t,()\-]{1,3}"
-_SAID_RUN = regex.compile(
-    rf"(?i)(?<![\w+])(?:(?:{_any(PLUS)}){_GAP}|\+[ \t]?)?(?:(?:{_SAID})|[0-9]++)(?!\w)(?:(?:{_GAP}(?:(?:{_any(DOT)}){_GAP})?|\.)(?:(?:{_SAID})|[0-9]++)(?!\w)){{2,}}+"
-)
-_SAID_PART = regex.compile(rf"(?i)(?P<word>{_SAID}|{_any(PLUS)}|{_any(DOT)})(?!\w)|(?P<other>[0-9.+]++)|(?P<gap>{_GAP})")
-_SAID_TWICE = regex.compile(rf"(?i)(?<!\w)(?:{_SAID})(?!\w)(?:{_GAP}|{_GAP}(?:{_any(DOT)}){_GAP})(?:{_SAID}|[0-9])")
+_ITEM = rf"(?:(?:(?:{_any(' '.join(TIMES))}){_GAP})?(?:{_SAID})|[0-9]++)(?!\w)"
+_SAID_RUN = regex.compile(rf"(?i)(?<![\w+])(?:(?:{_any(PLUS)}){_GAP}|\+[ \t]?)?{_ITEM}(?:(?:{_GAP}(?:(?:{_any(DOT)}){_GAP})?|\.){_ITEM}){{2,}}+")
+_SAID_PART = regex.compile(rf"(?i)(?:(?P<times>{_any(' '.join(TIMES))}){_GAP})?(?P<word>{_SAID}|{_any(PLUS)}|{_any(DOT)})(?!\w)|(?P<other>[0-9.+]++)|(?P<gap>{_GAP})")
+_SAID_TWICE = regex.compile(rf"(?i)(?<!\w)(?:{_SAID})(?!\w)(?:{_GAP}|{_GAP}(?:{_any(DOT)}){_GAP})(?:{_SAID}|{_any(' '.join(TIMES))}|[0-9])")
 
 
 def said_digits(text: str) -> Edits:
-    """four one one two, plus four nine, ten digits and more in words, with figures between them: at least two words stand in a row."""
+    """four one one two, plus four nine, double five, ten digits and more in words, with figures between them: at least two words stand in a row."""
     if not _SAID_TWICE.search(text):
         return []
     out = []
@@ -162,11 +172,24 @@ def said_digits(text: str) -> Edits:
         if _SAID_TWICE.search(m[0]):
             for p in _SAID_PART.finditer(text, *m.span()):
                 if not p["other"]:
-                    out.append((*p.span(), _VALUE[p["word"].lower()] if p["word"] else ""))
+                    out.append((*p.span(), _VALUE[p["word"].lower()] * TIMES.get((p["times"] or "").lower(), 1) if p["word"] else ""))
+    return out
+
+
+_MIXED = regex.compile(r"(?<![A-Za-z0-9])\+?[0-9OoIl](?:[\x20.()-]{0,2}[0-9OoIl]){7,}+(?![A-Za-z0-9])")
+
+
+def letters_as_digits(text: str) -> Edits:
+    """O and o for 0, I and l for 1, in a run of eight figures and more of which most are real ones."""
+    out = []
+    for m in _MIXED.finditer(text):
+        letters = [k for k in range(*m.span()) if text[k] in "OoIl"]
+        if letters and sum(c.isdigit() for c in m[0]) > 2 * len(letters):
+            out += [(k, k + 1, "0" if text[k] in "Oo" else "1") for k in letters]
     return out
 
 
-TRANSDUCERS: tuple[Callable[[str], Edits], ...] = (lookalikes, wrapped_signs, spoken_addresses, said_digits)
+TRANSDUCERS: tuple[Callable[[str], Edits], ...] = (lookalikes, wrapped_signs, spoken_addresses, said_digits, letters_as_digits)
 
 
 class Layer:
@@ -239,8 +262,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """id_col, the columns of keep, and found: the spans of e-mail and IP addresses, card and telephone numbers in every whole text.
 
     Spans count code points, end exclusive, and stand by kind (KINDS), start and end. Plain ones are matched as they are written, leftmost and
-    not overlapping within a kind. Others are matched after look-alike characters, wrapped, coded or spoken signs and
-    spoken digits are undone, one after another; a span is then traced back through each step to the characters it came from.
+    not overlapping within a kind. Others are matched after look-alike characters, wrapped, coded or spoken signs,
+    spoken digits and letters for digits are undone, one after another; a span is then traced back through each step to the characters it came from.
     Null and empty texts have none. Each row is searched by itself: nulls, ties and repeated rows in other columns change nothing. A column named found in keep raises ValueError.
     """
     names = [id_col, *[c for c in dict.fromkeys(keep) if c != id_col]]
