@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
@@ -84,7 +85,7 @@ def _looks_like(c: str) -> str | None:
 
 
 @lru_cache(maxsize=1)
-def _seen_as() -> tuple[dict[str, str], regex.Pattern]:
+def _seen_as() -> tuple[dict[str, str], re.Pattern]:
     """What each character beyond ASCII looks like, of those that look like an ASCII one or show nothing, and a pattern for them."""
     places = [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]
     known = {c: p for c in map(chr, places) if (p := _looks_like(c)) is not None} | dict.fromkeys(UNSEEN, "")
@@ -95,7 +96,7 @@ def _seen_as() -> tuple[dict[str, str], regex.Pattern]:
             runs[-1][1] = c
         else:
             runs.append([c, c])
-    return known, regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in runs) + "]")
+    return known, re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" if a < b else chr(a) for a, b in runs) + "]")
 
 
 def lookalikes(text: str) -> Edits:
