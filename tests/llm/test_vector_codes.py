@@ -86,7 +86,7 @@ def test_odd_tables(spark):
     assert not none.rows.collect() and none.books.size == 0
     out = vector_codes.compress_vectors(spark.createDataFrame([(1, None, 1, 1, "x"), (2, [None] * 8, 1, 1, "x")], SCHEMA))
     assert not out.rows.collect()
-    for bad in ([[0.0] * 8, [0.0] * 16], [[0.0] * 9], [[1e30] * 8]):
+    for bad in ([[0.0] * 8, [0.0] * 16], [[0.0] * 9], [[1e30] * 8], [[0.0] * 8, [2.0**18] * 8]):
         with pytest.raises(ValueError):
             vector_codes.compress_vectors(spark.createDataFrame([(k, v, 1, 1, "x") for k, v in enumerate(bad)], SCHEMA))
     empty = vector_codes.compress_vectors(spark.createDataFrame([(1, [], 1, 1, "x"), (2, [], 1, 1, "x")], SCHEMA))

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from tidemill.llm._spark import stored, table
 
-#: The largest whole-number component; squared distances of vectors of up to 64 of them stay below 2**62.
-LARGEST = 1 << 27
+#: Components up to this are held as they are, and squared distances of whole vectors must surely stay below MOST.
+LARGEST, MOST = 1 << 30, 1 << 62
 
 
 def _squares(rows: np.ndarray, entry: np.ndarray) -> np.ndarray:
@@ -99,7 +99,7 @@ def compress_vectors(vectors: DataFrame, parts: int = 8, entries: int = 16, roun
     ids by components; fewer vectors give fewer entries), and each round replaces an entry by the floor of the mean of the parts nearest to it; an entry
     nearest to none stays. error is the sum of squared distances. All sums are of whole numbers, so nothing depends on how Spark deals the rows out.
     Repeated rows count each time; an empty table gives no rows and no entries. Vectors of several lengths, a length that
-    parts doesn't divide, or a component beyond LARGEST raise ValueError.
+    parts doesn't divide, or components so large that a vector's error might not fit a long raise ValueError.
 
     Each round is one pass: a task returns counts and sums by entry, never rows. The codebooks, of fixed size, go to all tasks.
     """
@@ -112,8 +112,8 @@ def compress_vectors(vectors: DataFrame, parts: int = 8, entries: int = 16, roun
     size, other, wide_most = made.agg(F.min(F.size("v")), F.max(F.size("v")), F.max("wide")).first()
     if size is not None and (size != other or size % parts):
         raise ValueError(f"vectors must be of one length that {parts} divides, not of {size} to {other}")
-    if wide_most is not None and wide_most > LARGEST:
-        raise ValueError(f"a component is {wide_most:.0f} after scaling, beyond {LARGEST}")
+    if wide_most is not None and (2 * wide_most) ** 2 * size >= MOST:
+        raise ValueError(f"a component is {wide_most:.0f} after scaling, too much for the errors of {size} components to fit a long")
     first = made.orderBy(F.asc_nulls_last("id"), "v").select("v").limit(entries).collect()
     width = (size or 0) // parts
     books = np.array([r["v"] for r in first], np.int64).reshape(len(first), parts, width).transpose(1, 0, 2)
