@@ -56,6 +56,31 @@ def test_a_hot_route_indexes_in_proportion(spark, monkeypatch):
     assert 1.2 < indexed[1] / indexed[0] < 2.1
 
 
+def test_first_places_of_windows_in_batches_of_any_size(spark):
+    """Rows of a hash over many batches and, where it is heavy, over many tasks: each first place once, each later document's place once."""
+    import random
+
+    from tidemill.llm import substring_dedup
+
+    rng = random.Random(6)
+    rows = sorted({(rng.choice([1, 1, 1, 2, 3, rng.randrange(4, 90)]), 7, rng.randrange(60), rng.randrange(3)) for _ in range(600)})
+    first = {}
+    for low, _, d, start in rows:
+        first[low] = min(first.get(low, (d, start)), (d, start))
+    later = {(d, start, low) for low, _, d, start in rows if d > first[low][0]}
+    want = sorted([(d, start, 2) for d, start, _ in later] + [(*first[low], 1) for low in {x[2] for x in later}])
+    table = spark.createDataFrame(rows, "low long, high long, id long, start long").repartition(5)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 3, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for heavy in ({}, {(1, 7): first[1]}, {(k, 7): f for k, f in first.items() if any(x[2] == k for x in later)}):
+                got = substring_dedup._repeats(table, heavy).collect()
+                assert sorted((r["id"], r["start"], r["role"]) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_documents_of_one_template_are_not_compared_in_pairs(spark, monkeypatch):
     """Similarity a little below the threshold: the exact step is asked for a few rows a document at most, however many documents there are."""
     from tidemill.llm import near_dedup

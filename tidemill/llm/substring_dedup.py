@@ -16,7 +16,7 @@ from tidemill.llm.fm_index import FMIndex
 #: Words of an anchor, windows of a first document that share a route, and windows in one streamed piece.
 ANCHOR, STRETCH, PIECE = 12, 1024, 256
 #: A route with an anchor of more rows is hot; words of one shard, about.
-HOT, SHARD_WORDS = 256, 1 << 18
+HOT, SHARD_WORDS = 256, 1 << 17
 #: As many word ranges (about 12 MB) are sent to every task; more are joined by exchange.
 FEW_RANGES = 1 << 19
 
@@ -128,6 +128,45 @@ def _window_hashes(texts: DataFrame, window: int) -> DataFrame:
     return texts.mapInArrow(run, "low long, high long, id long, start long")
 
 
+def _repeats(windows: DataFrame, heavy: dict[tuple[int, int], tuple[int, int]]) -> DataFrame:
+    """id, start, route and role of the windows (low, high, id, start) that stand in several documents.
+
+    Rows come sorted by hash, id and start, and all of a hash in one task but for those of heavy, a bounded number of hashes whose first
+    places are given. The first place gets role 1, those in later documents 2; a route is the stretch of the first place.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, first, told = None, (0, 0), False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            low, high, ids, start = (batch.column(k).to_numpy() for k in range(4))
+            head = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+            keys = list(zip(low[head].tolist(), high[head].tolist(), strict=True))
+            firsts = [heavy.get(k, f) for k, f in zip(keys, zip(ids[head].tolist(), start[head].tolist(), strict=True), strict=True)]
+            if keys[0] == before:
+                firsts[0] = first
+            of = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(low))))
+            first_id, first_start = (np.array([f[i] for f in firsts], np.int64) for i in (0, 1))
+            later = ids > first_id[of]
+            any_later = np.logical_or.reduceat(later, head)
+            # the first place is given once, by whichever batch shows a later document first; a heavy hash's where it stands
+            given = any_later & np.array([k not in heavy for k in keys])
+            given[0] &= not (keys[0] == before and told)
+            own = np.array([k in heavy for k in keys])[of] & (ids == first_id[of]) & (start == first_start[of])
+            some, ones = np.flatnonzero(later), np.flatnonzero(own)
+            g = np.flatnonzero(given)
+            out = [np.concatenate(x) for x in ((ids[some], ids[ones], first_id[g]), (start[some], start[ones], first_start[g]), (first_id[of[some]], first_id[of[ones]], first_id[g]), (first_start[of[some]], first_start[of[ones]], first_start[g]))]
+            route = mix(mix(out[2].astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)) + (out[3] // STRETCH).astype(np.uint64)).view(np.int64)
+            role = np.append(np.full(len(some), 2, np.int32), np.ones(len(ones) + len(g), np.int32))
+            told = bool(any_later[-1]) or (len(keys) == 1 and keys[0] == before and told)
+            before, first = keys[-1], firsts[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1].astype(np.int32)), pa.array(route), pa.array(role)], names=["id", "start", "route", "role"])
+
+    deal = F.when(F.col("low").isin([k[0] for k in heavy]), F.xxhash64("id")).otherwise(F.lit(0)) if heavy else F.lit(0)
+    ordered = windows.withColumn("deal", deal).repartition("low", "high", "deal").sortWithinPartitions("low", "high", "id", "start")
+    return ordered.select("low", "high", "id", "start").mapInArrow(run, "id long, start int, route long, role int")
+
+
 def _hot_marks(texts: DataFrame, window: int) -> DataFrame:
     """id and marks of what repeats among the windows of hot routes: id, text, marks.
 
@@ -135,12 +174,12 @@ def _hot_marks(texts: DataFrame, window: int) -> DataFrame:
     indexes the windows of one stretch of a document at most; where many search it, it has several parts, each with that small index.
     """
     windows = stored(_window_hashes(texts.where(F.exists("marks", lambda m: m["hot"])), window))
-    twice = stored(windows.groupBy("low", "high").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("last")).where("f.id < last").select("low", "high", "f"))
-    role = F.when((F.col("id") == F.col("f.id")) & (F.col("start") == F.col("f.start")), 1).when(F.col("id") > F.col("f.id"), 2)
-    route = F.xxhash64("f.id", F.floor(F.col("f.start") / STRETCH), F.lit("hot"))
-    met = windows.join(twice, ["low", "high"]).select("id", F.col("start").cast("int").alias("start"), route.alias("route"), role.alias("role")).where("role IS NOT NULL")
-    met = stored(met.groupBy("id", "route", "role").agg(F.collect_list("start").alias("starts")))
-    discard(windows, twice)
+    total = windows.count()
+    counts = windows.groupBy("low", "high").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("last"), F.count("*").alias("n"))
+    # hashes with a thousandth of all rows or more: a thousand at most
+    heavy = {(r["low"], r["high"]): (r["f"]["id"], r["f"]["start"]) for r in counts.where((F.col("n") * 1000 >= total) & (F.col("n") > HOT) & F.expr("f.id < last")).collect()}
+    met = stored(_repeats(windows, heavy).groupBy("id", "route", "role").agg(F.collect_list("start").alias("starts")))
+    discard(windows)
     salts = stored(met.where("role = 2").groupBy("route").agg(F.ceil(F.sum(F.size("starts")) / SHARD_WORDS).cast("int").alias("salts")))
     marks = F.transform("starts", lambda s: F.struct(s.alias("start"), (s + 1).alias("stop"), F.col("route"), F.col("salts"), F.col("role")))
     return met.join(salts, "route").groupBy("id").agg(F.flatten(F.collect_list(marks)).alias("hot_marks"))
@@ -176,6 +215,9 @@ def _search(group: pa.Table, window: int) -> pa.Table:
             own = np.flatnonzero(np.diff(met[edge[i] : edge[i + 1]].astype(np.int8), prepend=0, append=0))
             for a, b in zip(own[::2].tolist(), own[1::2].tolist(), strict=True):
                 out["id"].append(int(ids[i])), out["begin"].append(int(begins[i]) + a), out["end"].append(int(begins[i]) + b + window - 1)
+        del index, texts, codes, vocabulary, known
+    del raw, data, word, begin, end, text
+    give_back_memory()
     return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
 
