@@ -17,6 +17,8 @@ from tidemill.llm.fm_index import FMIndex
 ANCHOR, STRETCH, PIECE = 12, 1024, 256
 #: A route with an anchor of more rows is hot; words of one shard, about.
 HOT, SHARD_WORDS = 256, 1 << 17
+#: A window with one of so many parts of all hot windows is heavy; there are as many heavy ones at most.
+HEAVY_PARTS = 8192
 #: As many word ranges (about 12 MB) are sent to every task; more are joined by exchange.
 FEW_RANGES = 1 << 19
 
@@ -176,8 +178,7 @@ def _hot_marks(texts: DataFrame, window: int) -> DataFrame:
     windows = stored(_window_hashes(texts.where(F.exists("marks", lambda m: m["hot"])), window))
     total = windows.count()
     counts = windows.groupBy("low", "high").agg(F.min(F.struct("id", "start")).alias("f"), F.max("id").alias("last"), F.count("*").alias("n"))
-    # hashes with a thousandth of all rows or more: a thousand at most
-    heavy = {(r["low"], r["high"]): (r["f"]["id"], r["f"]["start"]) for r in counts.where((F.col("n") * 1000 >= total) & (F.col("n") > HOT) & F.expr("f.id < last")).collect()}
+    heavy = {(r["low"], r["high"]): (r["f"]["id"], r["f"]["start"]) for r in counts.where((F.col("n") * HEAVY_PARTS >= total) & (F.col("n") > HOT) & F.expr("f.id < last")).collect()}
     met = stored(_repeats(windows, heavy).groupBy("id", "route", "role").agg(F.collect_list("start").alias("starts")))
     discard(windows)
     salts = stored(met.where("role = 2").groupBy("route").agg(F.ceil(F.sum(F.size("starts")) / SHARD_WORDS).cast("int").alias("salts")))
