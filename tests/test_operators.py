@@ -51,6 +51,12 @@ def test_salted_join_gives_the_plain_join(spark):
     assert sorted(map(tuple, salted_join(left, right, "k", 4).collect())) == sorted(map(tuple, left.join(right, "k").collect()))
 
 
+def test_salted_join_sends_no_copies_through_the_driver(spark):
+    left, right = spark.range(100).select("id", (F.col("id") % 7).alias("k")), spark.range(7).select(F.col("id").alias("k"))
+    plan = salted_join(left, right, "k", 4)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_top_per_group_breaks_ties_by_order(spark):
     df = spark.createDataFrame([(1, 5, 2), (1, 5, 1), (1, 9, 3), (2, None, 1)], "g int, v int, n int")
     assert sorted(map(tuple, top_per_group(df, "g", [F.desc_nulls_last("v"), F.col("n")], 2).collect()), key=repr) == [(1, 5, 1), (1, 9, 3), (2, None, 1)]

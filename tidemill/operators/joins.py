@@ -56,10 +56,13 @@ def interval_join(left: DataFrame, right: DataFrame, by: str, left_on: str, righ
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: str, salts: int) -> DataFrame:
-    """Inner join where a key may hold much of left: left rows are dealt to `salts` parts, right rows copied to each."""
+    """Inner join where a key may hold much of left: left rows are dealt to `salts` parts, right rows copied to each.
+
+    Both sides are sorted and merged: Spark takes the copies to be as small as right itself, and would send them all to the driver and each executor.
+    """
     dealt = left.withColumn("salt__", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
     copied = right.withColumn("salt__", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return dealt.join(copied, [on, "salt__"]).drop("salt__")
+    return dealt.join(copied.hint("merge"), [on, "salt__"]).drop("salt__")
 
 
 def top_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
