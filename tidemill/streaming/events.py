@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tidemill.sources.tables import load, scratch, stored
+from tidemill.sources.tables import load, scratch
+
+#: Keys of state that the users of stream_timers are dealt to.
+BUCKETS = 1024
 
 
 def stateful(spark: SparkSession) -> SparkSession:
@@ -113,8 +117,9 @@ def running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Visits(StatefulProcessor):
-    """Visits of a user: each row puts off a timer to six hours after the latest; when it fires, the visit is given out and forgotten.
+    """Visits of a bucket's users: each row puts off its visit's end to six hours after the latest; a timer at the first end due gives out the visits that have ended, and they are forgotten.
 
+    One value and one timer serve all users of a bucket, so calls to the state store don't grow with the number of users.
     Rows of one batch are taken by time, so that a pause within it ends a visit too.
     """
 
@@ -122,26 +127,37 @@ class Visits(StatefulProcessor):
         self.pause = pause_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.open = handle, handle.getValueState("open", "begin long, last long, n long")
+        self.handle, self.open = handle, handle.getValueState("open", "user array<bigint>, begin array<bigint>, last array<bigint>, n array<bigint>, due long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        begin, last, n = self.open.get() if self.open.exists() else (None, None, 0)
-        if n:
-            self.handle.deleteTimer(last + self.pause)
-        ended = []
-        for at in sorted(t for part in rows for t in part["at"].tolist()):
-            if n and at - last >= self.pause:
-                ended.append((key[0], begin, last, n))
-                n = 0
-            begin, last, n = (min(begin, at), max(last, at), n + 1) if n else (at, at, 1)
-        self.open.update((begin, last, n))
-        self.handle.registerTimer(last + self.pause)
-        yield pd.DataFrame(ended, columns=["user_id", "begin", "last", "n"]).astype("int64")
+        held = self.open.get() if self.open.exists() else ([], [], [], [], None)
+        if held[4] is not None:
+            self.handle.deleteTimer(held[4])
+        fresh = [part[["user_id", "at"]].to_numpy(np.int64) for part in rows]
+        who, at = np.concatenate(fresh).T
+        user, begin, last, n = (np.append(np.array(a, np.int64), b) for a, b in zip(held[:4], (who, at, at, np.ones_like(at)), strict=True))
+        order = np.lexsort([begin, np.arange(len(user)) >= len(held[0]), user])  # a user's open visit, then rows by time
+        user, begin, last, n = user[order], begin[order], last[order], n[order]
+        first = np.append(True, user[1:] != user[:-1])
+        latest = np.maximum(last, last[np.flatnonzero(first)[np.cumsum(first) - 1]])
+        edge = np.flatnonzero(first | np.append(True, last[1:] - latest[:-1] >= self.pause))
+        user, begin, last, n = user[edge], np.minimum.reduceat(begin, edge), np.maximum.reduceat(last, edge), np.add.reduceat(n, edge)
+        yield from self._give(key, (user, begin, last, n), np.append(user[1:] == user[:-1], False))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        begin, last, n = self.open.get()
-        self.open.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "begin": [begin], "last": [last], "n": [n]})
+        visits = [np.array(x, np.int64) for x in self.open.get()[:4]]
+        yield from self._give(key, visits, visits[2] + self.pause <= timerValues.getCurrentWatermarkInMs())
+
+    def _give(self, key, visits, ended: np.ndarray) -> Iterator[pd.DataFrame]:
+        """Give out the visits that have ended and keep the others, with a timer at the first end due."""
+        if ended.all():
+            self.open.clear()
+        else:
+            due = int(visits[2][~ended].min()) + self.pause
+            self.open.update((*(x[~ended].tolist() for x in visits), due))
+            self.handle.registerTimer(due)
+        if ended.any():
+            yield pd.DataFrame({"bucket": key[0]} | {c: x[ended] for c, x in zip(("user_id", "begin", "last", "n"), visits, strict=True)})
 
     def close(self) -> None:
         pass
@@ -162,15 +178,18 @@ def timed_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     The watermark is a day behind the latest event. An event counts unless it is older than the watermark that was in force before the batch
     in which it arrives (set by the batches up to the one before last); a user's last visit isn't given where the last watermark lies before its end.
     """
-    path, rows = scratch(spark), arrivals(spark, sf_dir)
-    rows = stored(rows)
-    for k in sorted(r[0] for r in rows.select("arrival").distinct().collect()):  # files in order of arrival
+    path, dealt, rows = scratch(spark), scratch(spark), arrivals(spark, sf_dir)
+    rows.write.partitionBy("arrival").parquet(dealt)
+    rows = spark.read.schema(rows.schema).parquet(dealt)
+    for k in sorted(r[0] for r in rows.select("arrival").distinct().collect()):  # files in order of arrival, each from its own part
         rows.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.parquet(f"{path}/arrived={k:06}")
     other = stateful(spark)
     read = other.readStream.schema("event_id long, user_id long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(path)
-    read = read.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").withColumn("at", F.unix_millis("ts"))
-    visits = read.groupBy("user_id").transformWithStateInPandas(Visits(6 * 3600 * 1000), "user_id long, begin long, last long, n long", "Append", "EventTime")
-    return drain(visits, spark=spark).select("user_id", F.timestamp_millis("begin").cast("timestamp_ntz").alias("begin"), F.timestamp_millis("last").cast("timestamp_ntz").alias("last"), "n")
+    bucket = F.when(F.col("user_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(BUCKETS))).cast("long")
+    read = read.select(bucket.alias("bucket"), F.coalesce("user_id", F.lit(0)).alias("user_id"), F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "1 day").withColumn("at", F.unix_millis("ts"))
+    visits = read.groupBy("bucket").transformWithStateInPandas(Visits(6 * 3600 * 1000), "bucket long, user_id long, begin long, last long, n long", "Append", "EventTime")
+    user = F.when(F.col("bucket") >= 0, F.col("user_id")).alias("user_id")
+    return drain(visits, spark=spark).select(user, F.timestamp_millis("begin").cast("timestamp_ntz").alias("begin"), F.timestamp_millis("last").cast("timestamp_ntz").alias("last"), "n")
 
 
 _DAYS = "date_trunc('day', ts)"
