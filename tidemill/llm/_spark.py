@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -67,7 +68,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def give_back_memory() -> None:
-    """Return freed memory to the system, which a Python worker otherwise keeps from task to task."""
+    """Return freed memory to the system, which a Python worker otherwise keeps from task to task.
+
+    A task's function, with all that it was sent with, lies in a cycle of references and stays until these are collected.
+    """
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

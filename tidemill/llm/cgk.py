@@ -37,6 +37,13 @@ class Seen:
         self.flags = np.zeros(1 << (64 - int(self.shift)), bool)
         self.flags[keys >> self.shift] = True
 
+    def __getstate__(self) -> tuple[np.uint64, np.ndarray]:
+        """A bit a flag, as each Python worker holds what it was sent besides the set made of it."""
+        return self.shift, np.packbits(self.flags)
+
+    def __setstate__(self, state: tuple[np.uint64, np.ndarray]) -> None:
+        self.shift, self.flags = state[0], np.unpackbits(state[1]).view(bool)
+
     def places(self, keys: np.ndarray) -> np.ndarray:
         return np.flatnonzero(self.flags.take((keys >> self.shift).view(np.int64)))
 

@@ -159,6 +159,12 @@ class Pieces:
         self.seen = np.zeros(1 << int(self.bits), bool)
         self.seen[self.keys >> (np.uint64(64) - self.bits)] = True
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": np.packbits(self.seen)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, seen=np.unpackbits(state["seen"]).view(bool))
+
     @staticmethod
     def _hash(keys: np.ndarray, size: int) -> np.ndarray:
         return (keys ^ _TAGS[size]) * _ODD
